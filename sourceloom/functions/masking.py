@@ -18,22 +18,26 @@ _DOUBLE = r'"(?:|[^\n"]|[^\n]*?[^\\\n])(?:\\\\)*+"'
 _SINGLE = r"'(?:|[^\n']|[^\n]*?[^\\\n])(?:\\\\)*+'"
 _REGEX = r"(?<=[(=,:\[!&|?{};\n][ \t]{0,8})/(?![*/ ])(?:[^\n/]|[^\n]*?[^\\\n])(?:\\\\)*+/[a-z]*"
 
-PYTHON_TOKENS = rf"({_TRIPLE})|{_DOUBLE}|{_SINGLE}|#[^\n]*"
-SCRIPT_TOKENS = rf"(/\*[\s\S]*?(?:\*/|\z)|`[\s\S]*?(?<!\\)(?:\\\\)*+`)|//[^\n]*|{_DOUBLE}|{_SINGLE}|{_REGEX}"
-BRACE_TOKENS = rf'(/\*[\s\S]*?(?:\*/|\z)|"""[\s\S]*?""")|//[^\n]*|{_DOUBLE}|{_SINGLE}'
-SQL_TOKENS = rf"(/\*[\s\S]*?(?:\*/|\z))|--[^\n]*|'[^'\n]*'"
+# the lookahead rejects ordinary characters at once
+PYTHON_TOKENS = rf"(?=[\"'#])(?:({_TRIPLE})|{_DOUBLE}|{_SINGLE}|#[^\n]*)"
+SCRIPT_TOKENS = (
+    rf"(?=[\"'`/])(?:(/\*[\s\S]*?(?:\*/|\z)|`[\s\S]*?(?<!\\)(?:\\\\)*+`)|//[^\n]*|{_DOUBLE}|{_SINGLE}|{_REGEX})"
+)
+BRACE_TOKENS = rf'(?=["\'/])(?:(/\*[\s\S]*?(?:\*/|\z)|"""[\s\S]*?""")|//[^\n]*|{_DOUBLE}|{_SINGLE})'
+SQL_TOKENS = rf"(?=['/-])(?:(/\*[\s\S]*?(?:\*/|\z))|--[^\n]*|'[^'\n]*')"
 
 
 def _normalised(content: Column) -> Column:
-    plain = F.translate(content, OPEN + CLOSE + JOIN + CONTINUED, "")
-    return F.regexp_replace(plain, r"\r\n?", "\n")
+    """Line breaks as \\n and no marks; most texts need no change."""
+    cleaned = F.regexp_replace(F.regexp_replace(content, rf"[{OPEN}-{CONTINUED}]", ""), r"\r\n?", "\n")
+    return F.when(content.rlike(rf"[\r{OPEN}-{CONTINUED}]"), cleaned).otherwise(content)
 
 
 def _blank(text: Column, tokens: str) -> Column:
     marked = F.regexp_replace(text, tokens, f"{OPEN}$1{CLOSE}")
     # within a mark drop everything but line breaks; \G carries on from the previous match
     emptied = F.regexp_replace(marked, rf"(?:{OPEN}|(?!\A)\G([\n{JOIN}]))[^\n{JOIN}{CLOSE}]*+", "$1")
-    return F.translate(emptied, CLOSE, "")
+    return F.replace(emptied, F.lit(CLOSE), F.lit(""))
 
 
 def mask_python(content: Column) -> Column:

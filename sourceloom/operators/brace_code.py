@@ -27,14 +27,14 @@ _MODIFIER = (
 )
 
 # (language, kind, pattern, replacement groups for name, parameters, heritage); the user may add rows
-# kinds: function, method, constructor, class, interface, struct, table; 'lambda' is a function without a block
+# the kind may be a group; kinds: function, method, constructor, class, interface, struct, table; 'lambda' is a function without a block
 DECLARATIONS: list[tuple[str, str, str, str, str, str]] = []
 for _language in ("javascript", "typescript"):
     DECLARATIONS += [
         (
             _language,
             "function",
-            r"(?<![.\w$])(?:(?:const|let|var)\s+([\w$]+)\s*=\s*)?(?:async\s+)?function\b\s*\*?\s*([\w$]*)(?=\s*("
+            r"(?=[aclvf])(?<![.\w$])(?:(?:const|let|var)\s+([\w$]+)\s*=\s*)?(?:async\s+)?function\b\s*\*?\s*([\w$]*)(?=\s*("
             + _PARAMS
             + "))",
             "$1$2",
@@ -44,7 +44,7 @@ for _language in ("javascript", "typescript"):
         (
             _language,
             "function",
-            r"(?<![.\w$])(?:const|let)(?=\s+([\w$]+)\s*(?::[^=;\n]+)?=\s*(?:async\b\s*)?("
+            r"(?=[cl])(?<![.\w$])(?:const|let)(?=\s+([\w$]+)\s*(?::[^=;\n]+)?=\s*(?:async\b\s*)?("
             + _PARAMS
             + r"|[\w$]+)\s*(?::[^=;{\n]+)?=>\s*\{)",
             "$1",
@@ -54,7 +54,7 @@ for _language in ("javascript", "typescript"):
         (
             _language,
             "lambda",
-            r"(?<![.\w$\u0002])(?:const|let)(?=\s+([\w$]+)\s*(?::[^=;\n]+)?=\s*(?:async\b\s*)?("
+            r"(?=[cl])(?<![.\w$\u0002])(?:const|let)(?=\s+([\w$]+)\s*(?::[^=;\n]+)?=\s*(?:async\b\s*)?("
             + _PARAMS
             + r"|[\w$]+)\s*(?::[^=;{\n]+)?=>)",
             "$1",
@@ -74,7 +74,7 @@ for _language in ("javascript", "typescript"):
         (
             _language,
             "class",
-            r"(?<![.\w$])(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([\w$]+)(?:<[^>{]*>)?(?=\s*(extends\s[^{]+?)?\s*\{)",
+            r"(?=[eadc])(?<![.\w$])(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([\w$]+)(?:<[^>{]*>)?(?=\s*(extends\s[^{]+?)?\s*\{)",
             "$1",
             "",
             "$2",
@@ -100,17 +100,15 @@ for _language in ("java", "csharp"):
             "$3",
             "",
         ),
-        *[
-            (
-                _language,
-                _word,
-                rf"(?<![.\w])(?:{_MODIFIER}\s+)*+{_word}\s+(\w+)(?:<[^>{{]*>)?(?=\s*((?:extends|implements|:)\s?[^{{;]+?)?\s*\{{)",
-                "$1",
-                "",
-                "$2",
-            )
-            for _word in ("class", "interface")
-        ],
+        (
+            _language,
+            "$1",
+            rf"(?=[a-z])(?<![.\w])(?:{_MODIFIER}\s+)*+(class|interface)\s+(\w+)(?:<[^>{{]*>)?"
+            + r"(?=\s*((?:extends|implements|:)\s?[^{;]+?)?\s*\{)",
+            "$2",
+            "",
+            "$3",
+        ),
     ]
 DECLARATIONS += [
     (
@@ -128,9 +126,9 @@ DECLARATIONS += [
 _BRANCH = r"(?<![.\w$#])(?:if|for|while|case|catch)\b(?!\s*:)"
 _LOGICAL = r"&&(?!=)|\|\|(?!=)|\?\?(?!=)"
 _TERNARY = r"\?(?![?:),;\]=]|\.(?!\d))"
-DECISIONS = rf"{_BRANCH}|{_LOGICAL}|{_TERNARY}"
+DECISIONS = rf"(?=[ifwc&|?])(?:{_BRANCH}|{_LOGICAL}|{_TERNARY})"
 
-_STREAM = rf"{_OPEN}[^{_CLOSE}]*+{_CLOSE}|[{{}}()\[\]\n;]|{DECISIONS}"
+_STREAM = rf"(?=[{_OPEN}{{}}()\[\]\n;ifwc&|?])(?:{_OPEN}[^{_CLOSE}]*+{_CLOSE}|[{{}}()\[\]\n;]|{DECISIONS})"
 SCRIPT_LANGUAGES = ("javascript", "typescript")
 
 
@@ -179,10 +177,11 @@ def declarations(
     code = (
         files.withColumn("language", parser_language(F.col("path")))
         .where(F.col("language").isin(*languages))
+        .repartition("path")  # a few large input splits become many tasks before the text is worked on
         .select("path", "language", masked(F.col("language"), F.col("content")).alias("code"))
         .select("path", "language", _by_language(F.col("language"), F.col("code"), languages, rules).alias("code"))
     )
-    stream = code.repartition("path").select(
+    stream = code.select(
         "path", "language", F.posexplode(F.regexp_extract_all("code", F.lit(_STREAM), F.lit(0))).alias("pos", "t")
     )
     t = F.col("t")

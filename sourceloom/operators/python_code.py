@@ -17,7 +17,7 @@ from ..functions.text import metric_language
 _SCOPE = r"^[ \t\f]*(?:async[ \t]+)?(def|class)[ \t]+(\w+)"
 _SIGNATURE = r"^[ \t\f]*(?:async[ \t]+)?def[ \t]+\w+\s*(?:\[[^\]]*\])?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?:->[^:]*)?:"
 _CLAUSE = r"^[ \t\f]*(?:async[ \t]+)?(if|elif|for|while|try|except|else)\b"
-_DECISIONS = r"\b(?:if|elif|for|while|except|and|or|assert)\b"
+_DECISIONS = r"\b(?=[aefiow])(?:if|elif|for|while|except|and|or|assert)\b"
 _CASE = r"^[ \t\f]*case[ \t]+\S.*:"
 _CASE_REST = r"^[ \t\f]*case[ \t]+_[ \t]*:"
 
@@ -45,13 +45,13 @@ def python_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     ``keep`` names file columns to carry along; they are set on the first line only.
     """
-    code = files.select("path", *keep, mask_python(F.col("content")).alias("code"))
+    # a few large input splits become many tasks before the text is worked on
+    code = files.repartition("path").select("path", *keep, mask_python(F.col("content")).alias("code"))
     leads = F.regexp_extract_all("code", F.lit(r"(?md)^([ \t\f]*)(?:async[ \t]+)?(?:def|class)[ \t]"), F.lit(1))
     # everything per file is computed before its lines are exploded
     code = code.select("path", *keep, "code", F.array_distinct(F.transform(leads, _indent)).alias("levels"))
     lines = (
-        code.repartition("path")
-        .select("path", *keep, "levels", F.posexplode(F.split("code", "\n")).alias("pos", "text"))
+        code.select("path", *keep, "levels", F.posexplode(F.split("code", "\n")).alias("pos", "text"))
         .select(
             "path",
             *[F.when(F.col("pos") == 0, F.col(k)).alias(k) for k in keep],
@@ -133,11 +133,11 @@ def _events(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     closing = F.transform(left, lambda v: event("C", 0, v, before=F.col("before")))
     ending = F.transform("levels", lambda v: event("C", 7, v, before=F.col("line_no")))
     rows = F.concat(
-        F.when(head, closing).otherwise(empty).cast(_EVENT),
-        F.when(F.col("scope").isNotNull(), scope).otherwise(empty).cast(_EVENT),
-        line.cast(_EVENT),
-        F.when(F.col("word").isNotNull(), clause).otherwise(empty).cast(_EVENT),
-        F.when(F.col("is_last"), ending).otherwise(empty).cast(_EVENT),
+        F.when(head, closing).otherwise(empty),
+        F.when(F.col("scope").isNotNull(), scope).otherwise(empty),
+        line,
+        F.when(F.col("word").isNotNull(), clause).otherwise(empty),
+        F.when(F.col("is_last"), ending).otherwise(empty),
     )
     after = F.col("depth") + F.col("delta")
     broken = (after < 0) | F.col("text").rlike("[\"']") | (F.col("is_last") & (after != 0))
