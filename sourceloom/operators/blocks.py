@@ -1,39 +1,72 @@
-"""Ordered windows over keys of any size.
+"""Ordered look-back over keys of any size.
 
-A window partitioned by a hot key would put all of its rows in one task. Here the rows are range-partitioned by
-(key, order), so a hot key is spread over many balanced blocks. Each block is scanned on its own; only one summary row per
-(key, block) is combined across blocks.
+A window partitioned by a hot key would put all of its rows in one task. Keys with many rows are therefore cut into time
+blocks of similar size. Each block is scanned on its own; only one summary row per (key, block) is combined
+across blocks. The cuts are constants of the plan, so every part of the query, and every retried task, sees the same blocks.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+BLOCK_ROWS = 1_000_000  # rows one window task may hold
+MAX_CUTS = 10_000  # bound on what is kept on the driver
+
+
+def hot_cuts(rows: DataFrame, key: str, ts: str, block_rows: int = BLOCK_ROWS) -> dict[str, list[int]]:
+    """Time cuts (microseconds) of the keys with more than ``block_rows`` rows.
+
+    At most total/block_rows keys are hot, and blocks grow once there would be more than ``MAX_CUTS`` of them, so the
+    result is small whatever the input.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    size = max(block_rows, math.ceil(2 * total / MAX_CUTS))
+    hot = {r[key]: math.ceil(r["n"] / size) for r in counts.where(F.col("n") > size).collect()}
+    if not hot:
+        return {}
+    most = max(hot.values())
+    steps = [k / most for k in range(1, most)]
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    found = (
+        rows.where(F.col(key).isin(*hot))
+        .groupBy(key)
+        .agg(F.percentile_approx(micros, steps, 100 * most).alias("cuts"))
+        .collect()
+    )
+    # a smaller hot key takes every m-th cut
+    return {r[key]: sorted(set(r["cuts"][:: max(1, most // hot[r[key]])])) for r in found}
+
 
-def in_blocks(rows: DataFrame, key: str, order: list[str], blocks: int | None = None) -> DataFrame:
-    """Rows with a column ``block`` that rises with (key, order). ``blocks`` defaults to the shuffle partitions."""
-    count = blocks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(count, key, *order).withColumn("block", F.spark_partition_id())
+def _block(key: str, ts: str, cuts: dict[str, list[int]]) -> Column:
+    table = F.create_map(*[x for k, c in cuts.items() for x in (F.lit(k), F.array(*map(F.lit, c)))])
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    passed = F.size(F.filter(table[F.col(key)], lambda c: c < micros))
+    return F.greatest(F.coalesce(passed, F.lit(0)), F.lit(0))
 
 
 def last_before(
-    rows: DataFrame, key: str, order: list[str], values: dict[str, Column], blocks: int | None = None
+    rows: DataFrame,
+    key: str,
+    ts: str,
+    tie: str,
+    values: dict[str, Column],
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Adds, per named expression, its last non-null value on an earlier row of the same key."""
-    placed = in_blocks(rows, key, order, blocks)
-    inside = W.partitionBy(key, "block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    """Adds, per named expression, its last non-null value on an earlier row of the same key (by ``ts``, ``tie``)."""
+    cuts = hot_cuts(rows, key, ts, block_rows)
+    earlier = lambda *keys: W.partitionBy(*keys).orderBy(ts, tie).rowsBetween(W.unboundedPreceding, -1)
+    if not cuts:
+        return rows.select("*", *[F.last(v, True).over(earlier(key)).alias(n) for n, v in values.items()])
+    placed = rows.withColumn("block", _block(key, ts, cuts))
+    inside = earlier(key, "block")
     local = placed.select("*", *[F.last(v, True).over(inside).alias(f"_in_{n}") for n, v in values.items()])
-    sequence = F.struct(*order)
     summary = placed.groupBy(key, "block").agg(
-        *[F.max_by(v, F.when(v.isNotNull(), sequence)).alias(f"_s_{n}") for n, v in values.items()]
+        *[F.max_by(v, F.when(v.isNotNull(), F.struct(ts, tie))).alias(n) for n, v in values.items()]
     )
     across = W.partitionBy(key).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    carried = summary.select(
-        F.col(key).alias("_key"),
-        F.col("block").alias("_block"),
-        *[F.last(f"_s_{n}", True).over(across).alias(f"_b_{n}") for n in values],
-    )
-    joined = local.join(carried, (F.col(key) == F.col("_key")) & (F.col("block") == F.col("_block")))
-    return joined.select(
-        *rows.columns, *[F.coalesce(f"_in_{n}", f"_b_{n}").alias(n) for n in values]
-    )
+    carried = summary.select(key, "block", *[F.last(n, True).over(across).alias(f"_from_{n}") for n in values])
+    joined = local.join(carried, [key, "block"])
+    return joined.select(*rows.columns, *[F.coalesce(f"_in_{n}", f"_from_{n}").alias(n) for n in values])

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.masking import mask_braces, mask_script, mask_sql
-from ..functions.text import parser_language
+from ..functions.text import count_lines, parser_language
 
 # a declaration mark: OPEN kind | name | parameters | heritage CLOSE
 _OPEN, _CLOSE = "\u0001", "\u0002"
@@ -178,11 +178,19 @@ def declarations(
         files.withColumn("language", parser_language(F.col("path")))
         .where(F.col("language").isin(*languages))
         .repartition("path")  # a few large input splits become many tasks before the text is worked on
-        .select("path", "language", masked(F.col("language"), F.col("content")).alias("code"))
-        .select("path", "language", _by_language(F.col("language"), F.col("code"), languages, rules).alias("code"))
+        .select(
+            "path",
+            "language",
+            count_lines(F.col("content")).alias("lines"),
+            masked(F.col("language"), F.col("content")).alias("code"),
+        )
+        .select("path", "language", "lines", _by_language(F.col("language"), F.col("code"), languages, rules).alias("code"))
     )
     stream = code.select(
-        "path", "language", F.posexplode(F.regexp_extract_all("code", F.lit(_STREAM), F.lit(0))).alias("pos", "t")
+        "path",
+        "language",
+        "lines",
+        F.posexplode(F.regexp_extract_all("code", F.lit(_STREAM), F.lit(0))).alias("pos", "t"),
     )
     t = F.col("t")
     opening, closing = t.isin("{", "(", "["), t.isin("}", ")", "]")
@@ -198,7 +206,6 @@ def declarations(
     whole = W.partitionBy("path")
     stream = (
         stream.where(t.isin("\n", ";", "}") | mark)
-        .withColumn("last_line", F.max("line_no").over(whole))
         .withColumn("all_decisions", F.max("decisions").over(whole))
     )
     part = F.split(F.translate("t", _OPEN + _CLOSE, ""), "\\|", 4)
@@ -224,7 +231,7 @@ def declarations(
             F.max(F.when(mark, F.struct("language", "kind", part.alias("part"), "line_no", "decisions"))).alias("d"),
             F.min(F.when(~mark, F.col("line_no"))).alias("end_line"),
             F.min(F.when(~mark, F.col("decisions"))).alias("end_decisions"),
-            F.max("last_line").alias("last_line"),
+            F.max("lines").alias("last_line"),
             F.max("all_decisions").alias("all_decisions"),
         )
         .where(F.col("d").isNotNull())

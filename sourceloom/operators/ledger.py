@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
-from .blocks import last_before
+from .blocks import BLOCK_ROWS, last_before
 
 SUGGESTION_DATA = (
     "struct<suggestions:array<struct<type:string,title:string,description:string,strategy:string,"
@@ -154,7 +154,7 @@ def remove(state: DataFrame, tombstones: DataFrame) -> DataFrame:
     return state.join(tombstones.select("id").distinct(), "id", "left_anti")
 
 
-def transitions(events: DataFrame) -> DataFrame:
+def transitions(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each event with whether it is allowed.
 
     Approving needs a record that is neither approved nor executed; rejecting and resetting are always allowed. So an
@@ -164,7 +164,7 @@ def transitions(events: DataFrame) -> DataFrame:
     status = F.col("status")
     approval = status.isin("approved", "executed", "failed")
     deciding = F.when(status != "failed", status)
-    seen = last_before(events, "id", ["ts", "event_id"], {"decided": deciding})
+    seen = last_before(events, "id", "ts", "event_id", {"decided": deciding}, block_rows)
     refused = approval & F.coalesce(F.col("decided").isin("approved", "executed"), F.lit(False))
     return seen.select(
         "id",

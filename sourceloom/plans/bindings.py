@@ -27,12 +27,17 @@ def _pick(expr: str, choices: list[str]) -> str:
     return "element_at(array(" + ", ".join(f"'{c}'" for c in choices) + f"), CAST({expr} AS INT) + 1)"
 
 
+CODE_PATH = (
+    f"{_pick('doc_id % 6', CODE_FOLDERS)} || 'm' || CAST(doc_id AS STRING) || {_pick('doc_id % 7', CODE_EXTENSIONS)}"
+)
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source file per document in seven languages, one line per word."""
     cases = [lt.PYTHON, lt.PYTHON, lt.JAVASCRIPT, lt.TYPESCRIPT, lt.JAVA, lt.CSHARP, lt.SQL]
     picked = "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN {_lines(c)}" for k, c in enumerate(cases)) + " END"
     return table(spark, sf_dir, "documents").selectExpr(
-        f"{_pick('doc_id % 6', CODE_FOLDERS)} || 'm' || CAST(doc_id AS STRING) || {_pick('doc_id % 7', CODE_EXTENSIONS)} AS path",
+        f"{CODE_PATH} AS path",
         f"array_join({picked}, '\n') AS content",
         "doc_id",
     )
