@@ -105,6 +105,11 @@ def line_array(content: Column) -> Column:
     )
 
 
+def is_json_object(text: Column) -> Column:
+    """Whether a text is a valid JSON object."""
+    return F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(text)), F.lit("OBJECT")), F.lit(False))
+
+
 def module_path(source: Column, target: Column) -> Column:
     """Relative module name used to import ``target`` from ``source``.
 

@@ -205,7 +205,8 @@ def declarations(
     )
     whole = W.partitionBy("path")
     stream = (
-        stream.where(t.isin("\n", ";", "}") | mark)
+        stream.withColumn("is_last", F.lead("pos").over(order).isNull())
+        .where(t.isin("\n", ";", "}") | mark | F.col("is_last"))
         .withColumn("all_decisions", F.max("decisions").over(whole))
     )
     part = F.split(F.translate("t", _OPEN + _CLOSE, ""), "\\|", 4)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.text import is_json_object
 from .blocks import BLOCK_ROWS, last_before
 
 SUGGESTION_DATA = (
@@ -16,17 +17,12 @@ SUGGESTION_DATA = (
 # --- suggestions ----------------------------------------------------------------------
 
 
-def _is_object(data: Column) -> Column:
-    """Whether a text is a valid JSON object."""
-    return F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(data)), F.lit("OBJECT")), F.lit(False))
-
-
 def ingest(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New suggestions as pending records, and the requests whose data is no JSON object.
 
     The id is a hash of the request, so a retried task produces the same record.
     """
-    checked = requests.withColumn("ok", _is_object(F.col("data")))
+    checked = requests.withColumn("ok", is_json_object(F.col("data")))
     text = F.concat_ws("\u0001", "file_path", "data", F.col("created_at").cast("string"), F.col("request").cast("string"))
     accepted = checked.where("ok").select(
         F.sha2(text, 256).substr(1, 32).alias("id"),
@@ -73,7 +69,7 @@ def preview(records: DataFrame) -> DataFrame:
     """What applying the first suggestion of each record would do, or why it cannot be applied."""
     parsed = F.from_json("data", SUGGESTION_DATA)["suggestions"]
     error = (
-        F.when(~_is_object(F.col("data")), "Invalid JSON in suggestion_json")
+        F.when(~is_json_object(F.col("data")), "Invalid JSON in suggestion_json")
         .when(F.coalesce(F.size(parsed), F.lit(0)) <= 0, "suggestion_json must contain at least one suggestion")
         .when(_first("diff").isNull(), "Suggestion must contain a 'diff' field")
     )

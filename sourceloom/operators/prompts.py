@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import lookup, prompt_language
+from ..functions.text import is_json_object, lookup, prompt_language
 
 RESPONSE = (
     "struct<file_path:string,language:string,strategy_used:string,suggestions:array<struct<title:string,"
@@ -72,7 +72,7 @@ def render_prompts(files: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def validate_responses(responses: DataFrame) -> DataFrame:
     """Answers (id, body) checked against the required fields: valid, number of suggestions, first missing field."""
-    parsed = responses.select("id", F.from_json("body", RESPONSE).alias("r"))
+    parsed = responses.select("id", F.when(is_json_object(F.col("body")), F.from_json("body", RESPONSE)).alias("r"))
     incomplete = lambda f: F.exists("r.suggestions", lambda s: s[f].isNull())
     missing = F.coalesce(
         *[F.when(F.col(f"r.{f}").isNull(), f) for f in _TOP_FIELDS],

@@ -56,7 +56,7 @@ def exclude_glob(spark, sf_dir):
 def decode_text(spark, sf_dir):
     """Texts with bad bytes spliced in; decoding drops them again."""
     raw = b.table(spark, sf_dir, "documents").select(
-        "doc_id", "text", F.concat(F.unhex(F.lit("FF41C3")), F.encode("text", "UTF-8"), F.unhex(F.lit("E28200"))).alias("raw")
+        "doc_id", "text", F.concat(F.unhex(F.lit("FF41C3")), F.encode("text", "UTF-8"), F.unhex(F.lit("E282"))).alias("raw")
     )
     decoded = text.decode_utf8(F.col("raw"))
     return raw.select("doc_id", F.length(decoded).alias("chars"), F.md5(F.substring(decoded, 2, 2000000000)).alias("digest"))
