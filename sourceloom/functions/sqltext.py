@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed_values as fv
-from .text import BLANKS, count_lines
+from .text import BLANKS
 
-_IDENT = r"""([`"']?\w+[`"']?)"""
+_IDENT = r"""([`"']?(?U:\w+)[`"']?)"""
+
+
+def _keyword(pattern: str) -> str:
+    """Case-insensitive pattern; the lookahead on its first letter rejects other positions at once."""
+    first = pattern.removeprefix(r"\b")[0]
+    return rf"(?=[{first}{first.lower()}])(?i:{pattern})"
 
 
 def table_names(content: Column) -> Column:
     """Distinct table names after CREATE TABLE, FROM, JOIN, INSERT INTO and UPDATE, sorted, without quotes."""
     found = F.concat(
-        *[F.regexp_extract_all(content, F.lit(rf"(?i)(?U){lead}{_IDENT}"), F.lit(1)) for lead in fv.SQL_TABLE_LEADS]
+        *[F.regexp_extract_all(content, F.lit(_keyword(lead) + _IDENT), F.lit(1)) for lead in fv.SQL_TABLE_LEADS]
     )
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.btrim(x, F.lit("`\"'")))))
 
 
 def statement_types(content: Column) -> Column:
     """Statement kinds that occur, in a fixed order."""
-    hits = [F.when(content.rlike("(?i)" + pattern), kind) for kind, pattern in fv.SQL_STATEMENTS.items()]
+    hits = [F.when(content.rlike(_keyword(pattern)), kind) for kind, pattern in fv.SQL_STATEMENTS.items()]
     return F.array_compact(F.array(*hits))
 
 
@@ -37,14 +43,14 @@ def has_subquery(content: Column) -> Column:
     return after("select", paren, 1) > 0
 
 
-def complexity(content: Column) -> Column:
+def complexity(content: Column, kinds: Column | None = None) -> Column:
     """2 per statement kind, 3 per JOIN and UNION, 1 per WHERE and 5 for a nested SELECT."""
 
     def words(word: str) -> Column:
-        return F.regexp_count(content, F.lit(rf"(?i)\b{word}\b"))
+        return F.regexp_count(content, F.lit(_keyword(rf"\b{word}\b")))
 
     return (
-        2 * F.size(statement_types(content))
+        2 * F.size(statement_types(content) if kinds is None else kinds)
         + 3 * (words("JOIN") + words("UNION"))
         + words("WHERE")
         + F.when(has_subquery(content), 5).otherwise(0)
@@ -83,16 +89,6 @@ def rollback_script(script: Column) -> Column:
     return F.array_join(F.array_compact(undo), "\n\n")
 
 
-def analysis(content: Column) -> Column:
-    return F.struct(
-        F.lit("sql").alias("file_type"),
-        table_names(content).alias("tables"),
-        statement_types(content).alias("statements"),
-        complexity(content).alias("complexity"),
-        count_lines(content).alias("line_count"),
-    )
-
-
 # --- query extraction --------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.masking import mask_braces, mask_script, mask_sql
 from ..functions.text import count_lines, parser_language
+from .placement import spread
 
 # a declaration mark: OPEN kind | name | parameters | heritage CLOSE
 _OPEN, _CLOSE = "\u0001", "\u0002"
@@ -177,7 +178,10 @@ def declarations(
     code = (
         files.withColumn("language", parser_language(F.col("path")))
         .where(F.col("language").isin(*languages))
-        .repartition("path")  # a few large input splits become many tasks before the text is worked on
+    )
+    # a few large input splits become many tasks before the text is worked on
+    code = (
+        spread(code, "path")
         .select(
             "path",
             "language",

@@ -29,16 +29,17 @@ def path_checks(files: DataFrame) -> DataFrame:
 def sql_analysis(files: DataFrame) -> DataFrame:
     """Tables, statement kinds, complexity and line count; a missing text becomes an error record."""
     content = F.col("content")
+    bad = content.isNull()
     empty = F.array().cast("array<string>")
-    result = files.select("path", sqltext.analysis(content).alias("a"), content.isNull().alias("bad"))
-    return result.select(
+    first = files.select("path", "content", sqltext.statement_types(content).alias("kinds"))
+    return first.select(
         "path",
         F.lit("sql").alias("file_type"),
-        F.when(F.col("bad"), empty).otherwise(F.col("a.tables")).alias("tables"),
-        F.when(F.col("bad"), empty).otherwise(F.col("a.statements")).alias("statements"),
-        F.when(F.col("bad"), 0).otherwise(F.col("a.complexity")).alias("complexity"),
-        F.col("a.line_count").alias("line_count"),
-        F.when(F.col("bad"), "content could not be read").alias("error"),
+        F.when(bad, empty).otherwise(sqltext.table_names(content)).alias("tables"),
+        F.when(bad, empty).otherwise(F.col("kinds")).alias("statements"),
+        F.when(bad, 0).otherwise(sqltext.complexity(content, F.col("kinds"))).alias("complexity"),
+        text.count_lines(content).alias("line_count"),
+        F.when(bad, "content could not be read").alias("error"),
     )
 
 
@@ -77,17 +78,32 @@ def migration_analysis(files: DataFrame) -> DataFrame:
 
 
 def analysis(files: DataFrame) -> DataFrame:
-    """One analysis record per database file, chosen by file type. Other files give no row."""
-    files = typed(files).where(F.col("file_type") != "unknown").withColumnRenamed("file_type", "detected")
-    detected = F.col("detected")
-    sql = sql_analysis(files.where(detected == "sql_file"))
-    models = files.where(detected.isin("django_model", "sqlalchemy_model")).withColumn(
-        "orm", F.when(detected == "django_model", "django").otherwise("sqlalchemy")
-    )
-    migrations = files.where(detected.isin("migration_file", "alembic_migration", "flask_migrate"))
-    return (
-        sql.unionByName(orm_analysis(models), allowMissingColumns=True)
-        .unionByName(migration_analysis(migrations), allowMissingColumns=True)
+    """One analysis record per database file, chosen by file type, in one pass. Other files give no row."""
+    content, detected = F.col("content"), F.col("detected")
+    files = files.select("path", "content", ormtext.file_type(F.col("path"), content).alias("detected"))
+    is_sql = detected == "sql_file"
+    is_model = detected.isin("django_model", "sqlalchemy_model")
+    is_migration = detected.isin("migration_file", "alembic_migration", "flask_migrate")
+    orm = F.when(detected == "django_model", "django").when(detected == "sqlalchemy_model", "sqlalchemy")
+    kind = ormtext.migration_kind(content)
+    kinds = F.when(is_sql, sqltext.statement_types(content))
+    models = F.when(is_model, ormtext.models(content, orm))
+    found = files.withColumns({"kind": F.when(is_migration, kind), "kinds": kinds, "models": models})
+    alembic = F.col("kind") == "alembic_migration"
+    return found.where(detected != "unknown").select(
+        "path",
+        F.when(is_sql, "sql").when(is_model, detected).otherwise(F.col("kind")).alias("file_type"),
+        F.when(is_sql, sqltext.table_names(content)).otherwise(ormtext.model_tables(content, orm)).alias("tables"),
+        F.col("kinds").alias("statements"),
+        F.when(is_sql, sqltext.complexity(content, F.col("kinds"))).alias("complexity"),
+        F.when(is_sql, text.count_lines(content)).alias("line_count"),
+        orm.alias("orm_type"),
+        "models",
+        F.when(is_model, F.size("models")).alias("model_count"),
+        F.when(is_migration, ormtext.migration_operations(content)).alias("operations"),
+        F.when(F.col("kind") == "django_migration", ormtext.dependency_fragments(content)).alias("dependencies"),
+        F.when(alembic, ormtext.revision(content)).alias("revision"),
+        F.when(alembic, ormtext.down_revision(content)).alias("down_revision"),
     )
 
 

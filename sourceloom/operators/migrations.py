@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import ormtext, sqltext, text
+from .placement import spread
 
 UNSPLIT_SQL = "SQL migration does not need splitting"
 UNSPLIT_DJANGO = "Migration does not need splitting"
@@ -42,10 +43,12 @@ def _part_path(path: Column, part: Column, ext: str) -> Column:
 
 def split_sql(files: DataFrame, size: int = 5) -> DataFrame:
     """Parts of the scripts with more than ``size`` statements: path, part, statements, new path and text."""
-    script = files.select("path", sqltext.statements(F.col("content")).alias("s")).where(F.size("s") > size)
+    script = files.select("path", sqltext.statements(F.col("content")).alias("s"))
     starts = F.sequence(F.lit(0), F.size("s") - 1, F.lit(size))
     chunks = F.transform(starts, lambda k: F.slice("s", k + 1, size))
-    parts = script.select("path", F.posexplode(chunks).alias("pos", "chunk"))
+    # a condition inside the expression, as a filter would compute the statements twice
+    none = F.array().cast("array<array<string>>")
+    parts = script.select("path", F.posexplode(F.when(F.size("s") > size, chunks).otherwise(none)).alias("pos", "chunk"))
     part = F.col("pos") + 1
     return parts.select(
         "path",
@@ -58,8 +61,8 @@ def split_sql(files: DataFrame, size: int = 5) -> DataFrame:
 
 def sql_rollbacks(files: DataFrame) -> DataFrame:
     """Rollback script per SQL file."""
-    script = sqltext.statements(F.col("content"))
-    return files.select("path", F.size(script).alias("statements"), sqltext.rollback_script(script).alias("rollback"))
+    scripts = files.select("path", sqltext.statements(F.col("content")).alias("s"))
+    return scripts.select("path", F.size("s").alias("statements"), sqltext.rollback_script(F.col("s")).alias("rollback"))
 
 
 # --- Django migrations ----------------------------------------------------------------
@@ -92,7 +95,7 @@ def django_operations(files: DataFrame) -> DataFrame:
     A line at nesting zero that ends in a comma closes an operation, and so does one that starts the next.
     Files are shuffled once by path; a file bounds each window.
     """
-    body = files.select("path", "content").repartition("path")
+    body = spread(files.select("path", "content"), "path")
     body = body.select("path", operations_text(F.col("content")).alias("ops")).where(F.col("ops") != "")
     lines = body.select("path", F.posexplode(F.split("ops", "\n")).alias("pos", "line"))
 

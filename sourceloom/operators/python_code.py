@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.masking import CONTINUED, mask_python
 from ..functions.text import metric_language
+from .placement import spread
 
 _SCOPE = r"^[ \t\f]*(?:async[ \t]+)?(def|class)[ \t]+(\w+)"
 _SIGNATURE = r"^[ \t\f]*(?:async[ \t]+)?def[ \t]+\w+\s*(?:\[[^\]]*\])?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?:->[^:]*)?:"
@@ -46,7 +47,7 @@ def python_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ``keep`` names file columns to carry along; they are set on the first line only.
     """
     # a few large input splits become many tasks before the text is worked on
-    code = files.repartition("path").select("path", *keep, mask_python(F.col("content")).alias("code"))
+    code = spread(files, "path").select("path", *keep, mask_python(F.col("content")).alias("code"))
     leads = F.regexp_extract_all("code", F.lit(r"(?md)^([ \t\f]*)(?:async[ \t]+)?(?:def|class)[ \t]"), F.lit(1))
     # everything per file is computed before its lines are exploded
     code = code.select("path", *keep, "code", F.array_distinct(F.transform(leads, _indent)).alias("levels"))
@@ -89,8 +90,11 @@ def _line_tokens(text: Column, is_head: Column) -> Column:
     return F.regexp_count(body, F.lit(_DECISIONS)) + arm
 
 
-def _events(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per line: closings it causes (C), a declaration (S), the line itself (L), a clause keyword (K)."""
+def _events(lines: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False) -> DataFrame:
+    """Per line: closings it causes (C), a declaration (S), the line itself (L), a clause keyword (K).
+
+    With ``sparse``, lines without decision points are left out unless they are the first or show an error.
+    """
     by_line = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     head = F.col("is_head")
     lines = (
@@ -117,7 +121,8 @@ def _events(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             extra.get("before", none).cast("int").alias("before"),
         )
 
-    line = F.array(event("L", 2, F.lit(-1), tokens=_line_tokens(F.col("text"), head)))
+    lines = lines.withColumn("tokens", _line_tokens(F.col("text"), head))
+    line = F.array(event("L", 2, F.lit(-1), tokens=F.col("tokens")))
     scope = F.array(
         event(
             "S",
@@ -132,23 +137,25 @@ def _events(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     left = F.filter("levels", lambda v: (v >= F.col("indent")) & (v <= top))
     closing = F.transform(left, lambda v: event("C", 0, v, before=F.col("before")))
     ending = F.transform("levels", lambda v: event("C", 7, v, before=F.col("line_no")))
+    after = F.col("depth") + F.col("delta")
+    broken = (after < 0) | F.col("text").rlike("[\"']") | (F.col("is_last") & (after != 0))
+    lines = lines.withColumn("broken", broken)
+    wanted = (F.col("tokens") > 0) | F.col("broken") | (F.col("line_no") == 1) if sparse else F.lit(True)
     rows = F.concat(
         F.when(head, closing).otherwise(empty),
         F.when(F.col("scope").isNotNull(), scope).otherwise(empty),
-        line,
+        F.when(wanted, line).otherwise(empty),
         F.when(F.col("word").isNotNull(), clause).otherwise(empty),
         F.when(F.col("is_last"), ending).otherwise(empty),
     )
-    after = F.col("depth") + F.col("delta")
-    broken = (after < 0) | F.col("text").rlike("[\"']") | (F.col("is_last") & (after != 0))
-    return lines.select("path", *keep, broken.alias("broken"), F.explode(rows).alias("e")).select(
+    return lines.select("path", *keep, "broken", F.explode(rows).alias("e")).select(
         "path", *keep, "broken", "e.*"
     )
 
 
-def python_scope_events(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def python_scope_events(files: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False) -> DataFrame:
     """Ordered events with nesting depth: S opens a scope at ``depth``; C carries the scope it closes."""
-    events = _events(python_lines(files, keep), keep)
+    events = _events(python_lines(files, keep), keep, sparse)
     level = W.partitionBy("path", "level").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     kind = F.col("kind")
     mark = F.when(
@@ -176,7 +183,7 @@ def python_scope_events(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
 
 def python_declarations(files: DataFrame) -> DataFrame:
     """All defs and classes at any depth with first and last line."""
-    closed = python_scope_events(files).where(F.col("kind") == "C")
+    closed = python_scope_events(files, sparse=True).where(F.col("kind") == "C")
     return closed.select(
         "path",
         F.when(F.col("closes.word") == "class", "class").otherwise("function").alias("type"),
@@ -193,7 +200,7 @@ def _attributed(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     Measured are functions outside any other scope and methods of outermost classes. Lines of deeper
     scopes belong to nobody.
     """
-    events = python_scope_events(files, keep)
+    events = python_scope_events(files, keep, sparse=True)
     order = W.partitionBy("path").orderBy("seq", F.desc("level")).rowsBetween(W.unboundedPreceding, 0)
     opened = (F.col("kind") == "S").cast("boolean")
     at = lambda d: F.last(F.when(opened & (F.col("depth") == d), F.struct("line_no", "word")), True).over(order)

@@ -6,6 +6,7 @@ from string import Template
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.placement import spread
 from . import line_templates as lt
 
 # extensions of the code corpus by doc_id % 7, folders by doc_id % 6
@@ -17,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts. Fewer files than cores are spread out first; a large table keeps its own splits."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if len(rows.inputFiles()) < spark.sparkContext.defaultParallelism:
+        rows = spread(rows, "doc_id")
+    return rows
+
+
+def _once(expression: str) -> str:
+    """Evaluates an expression once per row: filters are not pushed through a generator."""
+    return f"explode(array({expression}))"
+
+
 def _lines(case: str) -> str:
     """Array of lines, one per word of ``text``."""
     body = Template(case).substitute(i="i", n="length(w)").replace("\\", "\\\\")
@@ -36,17 +50,18 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source file per document in seven languages, one line per word."""
     cases = [lt.PYTHON, lt.PYTHON, lt.JAVASCRIPT, lt.TYPESCRIPT, lt.JAVA, lt.CSHARP, lt.SQL]
     picked = "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN {_lines(c)}" for k, c in enumerate(cases)) + " END"
-    return table(spark, sf_dir, "documents").selectExpr(
+    return documents(spark, sf_dir).selectExpr(
         f"{CODE_PATH} AS path",
-        f"array_join({picked}, '\n') AS content",
+        _once(f"array_join({picked}, '\n')") + " AS content",
         "doc_id",
     )
 
 
 def sql_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One SQL script per document."""
-    return table(spark, sf_dir, "documents").selectExpr(
-        "'db/s' || CAST(doc_id AS STRING) || '.sql' AS path", f"array_join({_lines(lt.SQL)}, '\n') AS content", "doc_id"
+    return documents(spark, sf_dir).selectExpr(
+        "'db/s' || CAST(doc_id AS STRING) || '.sql' AS path",
+        _once(f"array_join({_lines(lt.SQL)}, '\n')") + " AS content", "doc_id"
     )
 
 
@@ -57,6 +72,6 @@ def database_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         head, foot = lt.fill(lt.DATABASE_HEAD[kind]), lt.fill(lt.DATABASE_FOOT.get(kind, ""))
         paths.append(f"WHEN {kind} THEN {lt.fill(lt.DATABASE_PATH[kind])}")
         texts.append(f"WHEN {kind} THEN {head} || array_join({_lines(lt.database_case(kind))}, '\n') || {foot}")
-    return table(spark, sf_dir, "documents").selectExpr(
-        f"CASE doc_id % 8 {' '.join(paths)} END AS path", f"CASE doc_id % 8 {' '.join(texts)} END AS content", "doc_id"
+    return documents(spark, sf_dir).selectExpr(
+        f"CASE doc_id % 8 {' '.join(paths)} END AS path", _once(f"CASE doc_id % 8 {' '.join(texts)} END") + " AS content", "doc_id"
     )

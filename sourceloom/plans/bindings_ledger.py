@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .bindings import CODE_PATH, table
+from .bindings import CODE_PATH, documents, table
 
 # shared by Spark and DuckDB
 SUGGESTION_STATUS = (
@@ -127,9 +127,9 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(length(w) AS STRING) || '\n-old\n+new' || CAST(length(w) AS STRING) || '\n+more'"
     )
     found = f"filter(transform(split(text, ' '), (w, i) -> CASE WHEN i % 10 = 1 THEN {hunk} END), x -> x IS NOT NULL)"
-    documents = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{CODE_PATH} AS path", f"{found} AS h")
+    cut = documents(spark, sf_dir).selectExpr("doc_id", f"{CODE_PATH} AS path", f"explode(array({found})) AS h")
     body = "'--- a/x\n+++ b/x\n' || array_join(CASE WHEN doc_id % 9 = 7 THEN reverse(h) ELSE h END, '\n')"
-    return documents.selectExpr(
+    return cut.selectExpr(
         "doc_id",
         "CASE WHEN doc_id % 9 = 6 THEN 'gone/' || path ELSE path END AS path",
         f"CASE doc_id % 9 WHEN 4 THEN 'no hunks here' WHEN 5 THEN NULL ELSE {body} END AS diff",
