@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed_values as fv, scoring, text
 from ..functions.globs import excluded
 from .brace_code import script_complexity, script_function_count
-from .python_code import python_file_metrics
+from .python_code import measured_files
 
 
 def supported(files: DataFrame) -> DataFrame:
@@ -46,26 +46,36 @@ def lines_of_code(files: DataFrame) -> DataFrame:
 
 
 def file_metrics(files: DataFrame) -> DataFrame:
-    """Line, function and complexity numbers of every supported file, read once per language group.
+    """Line, function and complexity numbers of every supported file, in one scan and one shuffle.
 
-    JS and TS numbers are narrow. Python files are shuffled once by path; their line count
-    travels with them, so no join is needed.
+    Line counts and the numbers of JS and TS are narrow and computed first. Only Python text is shuffled (by path);
+    the other files pass through with an empty text, so neither a second scan nor a join is needed.
     """
-    base = supported(files).select("path", "content", text.metric_language(F.col("path")).alias("language"))
-    base = base.withColumn("loc", loc_column())
-    python = python_file_metrics(base.where(F.col("language") == "python"), ("language", "loc")).drop("functions")
-    blank = text.is_blank(F.col("content"))
-    complexity = F.when(blank, 1).otherwise(script_complexity(F.col("content")))
-    script = base.where(F.col("language") != "python").select(
+    content, is_python = F.col("content"), F.col("language") == "python"
+    blank = text.is_blank(content)
+    prepared = (
+        supported(files)
+        .select("path", "content", text.metric_language(F.col("path")).alias("language"))
+        .select(
+            "path",
+            loc_column().alias("loc"),
+            F.when(~is_python, F.when(blank, 0).otherwise(script_function_count(content))).alias("script_functions"),
+            F.when(~is_python, F.when(blank, 1).otherwise(script_complexity(content))).alias("script_complexity"),
+            F.when(is_python, content).otherwise("").alias("content"),
+        )
+    )
+    measured = measured_files(prepared, ("loc", "script_functions", "script_complexity"))
+    script = F.col("script_complexity").isNotNull()
+    either = lambda other, own: F.when(script, F.col(other)).otherwise(F.col(own))
+    return measured.select(
         "path",
-        "language",
+        text.metric_language(F.col("path")).alias("language"),
         "loc",
-        F.when(blank, 0).otherwise(script_function_count(F.col("content"))).cast("bigint").alias("function_count"),
-        complexity.cast("double").alias("cyclomatic_complexity"),
-        complexity.cast("bigint").alias("total_complexity"),
-        F.lit(None).cast("string").alias("python_metrics_error"),
+        either("script_functions", "function_count").cast("bigint").alias("function_count"),
+        either("script_complexity", "cyclomatic_complexity").cast("double").alias("cyclomatic_complexity"),
+        either("script_complexity", "total_complexity").cast("bigint").alias("total_complexity"),
+        "python_metrics_error",
     )
-    return python.unionByName(script)
 
 
 def metrics_batch(requests: DataFrame, files: DataFrame) -> DataFrame:

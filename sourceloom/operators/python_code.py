@@ -65,17 +65,22 @@ def python_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     delta = _count(F.col("text"), "([{") - _count(F.col("text"), ")]}")
     by_line = W.partitionBy("path").orderBy("line_no")
     before = by_line.rowsBetween(W.unboundedPreceding, -1)
-    lines = (
-        lines.withColumn("delta", delta)
-        .withColumn("depth", F.coalesce(F.sum("delta").over(before), F.lit(0)))
-        .withColumn("joined", F.coalesce(F.lag(F.endswith("text", F.lit(CONTINUED))).over(by_line), F.lit(False)))
-        .withColumn("before", F.lag("line_no").over(by_line))
-        .withColumn("is_last", F.lead("line_no").over(by_line).isNull())
-        .withColumn("text", F.translate("text", CONTINUED, ""))
-        .withColumn("is_head", (F.col("depth") <= 0) & ~F.col("joined") & F.col("text").rlike(r"\S"))
-        .withColumn("head_line", F.max(F.when(F.col("is_head"), F.col("line_no"))).over(by_line))
+    lines = lines.withColumns({"delta": delta, "continued": F.endswith("text", F.lit(CONTINUED))})
+    # windows of one ordering stand in one select, so that they share one pass
+    lines = lines.select(
+        "path",
+        *keep,
+        "levels",
+        "line_no",
+        F.translate("text", CONTINUED, "").alias("text"),
+        "delta",
+        F.coalesce(F.sum("delta").over(before), F.lit(0)).alias("depth"),
+        F.coalesce(F.lag("continued").over(by_line), F.lit(False)).alias("joined"),
+        F.lag("line_no").over(by_line).alias("before"),
+        F.lead("line_no").over(by_line).isNull().alias("is_last"),
     )
-    return lines
+    head = (F.col("depth") <= 0) & ~F.col("joined") & F.col("text").rlike(r"\S")
+    return lines.withColumn("is_head", head)
 
 
 def _line_tokens(text: Column, is_head: Column) -> Column:
@@ -101,8 +106,12 @@ def _events(lines: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False)
         lines.withColumn("indent", F.when(head, _indent(F.col("text"))))
         .withColumn("scope", F.when(head, F.nullif(F.regexp_extract("text", _SCOPE, 1), F.lit(""))))
         .withColumn("word", F.when(head, F.nullif(F.regexp_extract("text", _CLAUSE, 1), F.lit(""))))
-        .withColumn("last_indent", F.last("indent", True).over(by_line))
-        .withColumn("last_scope", F.last(F.when(head, F.col("scope").isNotNull()), True).over(by_line))
+        .withColumn("is_scope", F.when(head, F.col("scope").isNotNull()))
+        .select(
+            "*",
+            F.last("indent", True).over(by_line).alias("last_indent"),
+            F.last("is_scope", True).over(by_line).alias("last_scope"),
+        )
     )
     top = F.col("last_indent") - F.when(F.col("last_scope"), 0).otherwise(1)
     empty = F.array().cast(_EVENT)
@@ -163,8 +172,9 @@ def python_scope_events(files: DataFrame, keep: tuple[str, ...] = (), sparse: bo
         F.struct("kind", F.col("line_no").alias("start"), "name", "word", "detail"),
     )
     events = (
-        events.withColumn("opened", F.last(mark, True).over(level))
-        .withColumn("clause", F.last(F.when(kind == "K", F.col("word")), True).over(level))
+        events.withColumns({"mark": mark, "key": F.when(kind == "K", F.col("word"))})
+        .select("*", F.last("mark", True).over(level).alias("opened"), F.last("key", True).over(level).alias("clause"))
+        .drop("mark", "key")
         .withColumn("closes", F.when((kind == "C") & (F.col("opened.kind") == "S"), F.col("opened")))
     )
     # an else counts when it belongs to a loop or a try
@@ -203,9 +213,10 @@ def _attributed(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     events = python_scope_events(files, keep, sparse=True)
     order = W.partitionBy("path").orderBy("seq", F.desc("level")).rowsBetween(W.unboundedPreceding, 0)
     opened = (F.col("kind") == "S").cast("boolean")
-    at = lambda d: F.last(F.when(opened & (F.col("depth") == d), F.struct("line_no", "word")), True).over(order)
-    outer, inner = at(0), at(1)
-    events = events.withColumn("outer", outer).withColumn("inner", inner)
+    at = lambda d: F.when(opened & (F.col("depth") == d), F.struct("line_no", "word"))
+    events = events.withColumns({"at0": at(0), "at1": at(1)}).select(
+        "*", F.last("at0", True).over(order).alias("outer"), F.last("at1", True).over(order).alias("inner")
+    )
     inside = F.col("depth") + F.when(opened, 1).otherwise(0)
     owner = F.when((inside == 1) & (F.col("outer.word") == "def"), F.col("outer.line_no")).when(
         (inside == 2) & (F.col("outer.word") == "class") & (F.col("inner.word") == "def"), F.col("inner.line_no")
@@ -225,9 +236,12 @@ def _attributed(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def python_functions(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Complexity per function, and one row per file without a function number for module-level lines."""
+    """Complexity per function, and one row per file without a function number for module-level lines.
+
+    All given files are read as Python.
+    """
     return (
-        _attributed(python_files(files), keep)
+        _attributed(files, keep)
         .groupBy("path", "owner")
         .agg(
             (F.sum("tokens") + 1).alias("complexity"),
@@ -253,15 +267,19 @@ def python_function_complexity(files: DataFrame) -> DataFrame:
     """One row per measured function; files with syntax errors give none."""
     clean = F.max("broken").over(W.partitionBy("path"))
     return (
-        python_functions(files)
+        python_functions(python_files(files))
         .withColumn("broken", clean)
         .where(~F.col("broken") & F.col("line_number").isNotNull())
         .drop("broken")
     )
 
 
-def python_file_metrics(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per Python file: function count, mean and total complexity, function details, or an error.
+def python_file_metrics(files: DataFrame) -> DataFrame:
+    return measured_files(python_files(files))
+
+
+def measured_files(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per file, read as Python: function count, mean and total complexity, function details, or an error.
 
     Works from one row per function. The details list is bounded by the functions of one file.
     """
@@ -336,9 +354,17 @@ def _import_statements(lines: DataFrame) -> DataFrame:
     """Import statements glued to one line each."""
     order = W.partitionBy("path").orderBy("line_no")
     is_import = F.col("text").rlike(r"^[ \t\f]*(?:import|from)[ \t]")
-    first = F.last(F.when(F.col("is_head"), is_import), True).over(order)
+    lines = lines.withColumns(
+        {"starts": F.when(F.col("is_head"), is_import), "head": F.when(F.col("is_head"), F.col("line_no"))}
+    )
     return (
-        lines.withColumn("wanted", first)
+        lines.select(
+            "path",
+            "line_no",
+            "text",
+            F.last("starts", True).over(order).alias("wanted"),
+            F.last("head", True).over(order).alias("head_line"),
+        )
         .where("wanted")
         .groupBy("path", "head_line")
         .agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("part"))
