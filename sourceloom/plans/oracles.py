@@ -826,3 +826,15 @@ _add(
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS operation_type, count(*) AS operations FROM events
        WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""",
 )
+
+# --- ledger files -------------------------------------------------------------------------------------------
+
+_add("suggestions_load", "SELECT id, file_path, status FROM suggestions", SUGGESTIONS)
+_add("suggestions_save", "SELECT id, status, data FROM suggestions", SUGGESTIONS)
+_add("operations_load", "SELECT operation_id, timestamp, files_modified, rolled_back FROM ops", OPERATIONS)
+_add("operations_clear", "SELECT operation_id FROM ops WHERE false", OPERATIONS)
+_add(
+    "config_load",
+    """SELECT 'c' || c_custkey AS scope, unnest(['thresholds.maxLines', 'languages.python.testCommand', 'version']) AS key_path,
+       unnest([CAST(c_custkey % 2000 AS VARCHAR), c_mktsegment, '1.0']) AS value FROM customer""",
+)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed_values as fv, globs, ormtext, scoring, sqltext, text
 from ..operators import brace_code, configs, constructs, dbfiles, diffs, ledger, metrics, migrations, prompts, python_code
+from ..session import shared_dir
+from ..sources import ledgers
 from ..sources.files import file_lines
 from ..streaming import ledger_stream
 from . import bindings as b, bindings_ledger as bl
@@ -827,3 +830,65 @@ def stream_ops_daily(spark, sf_dir):
         daily, ["day", "operation_type"], "append", "day timestamp, operation_type string, operations bigint"
     )
     return rows.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+# --- ledger files ---------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+
+
+def _full_suggestions(spark, sf_dir) -> DataFrame:
+    rows = bl.suggestions(spark, sf_dir).drop("request")
+    return rows.withColumns({"updated_at": F.col("created_at"), "execution_result": F.lit(None).cast("string")})
+
+
+@query
+def suggestions_load(spark, sf_dir):
+    """Suggestions written as JSON lines and loaded again; corrupt lines would be set aside."""
+    folder = _scratch(spark)
+    _full_suggestions(spark, sf_dir).write.json(folder)
+    records, _ = ledgers.load_suggestions(spark, folder)
+    return records.select("id", "file_path", "status")
+
+
+@query
+def suggestions_save(spark, sf_dir):
+    """Suggestions appended to the saved ledger and read back."""
+    folder = _scratch(spark)
+    ledgers.save_suggestions(_full_suggestions(spark, sf_dir), folder)
+    return ledgers.read_saved_suggestions(spark, folder).select("id", "status", "data")
+
+
+@query
+def operations_load(spark, sf_dir):
+    """Operations written as JSON lines and loaded strictly."""
+    folder = _scratch(spark)
+    _operations(spark, sf_dir).write.json(folder)
+    return _flat(ledgers.load_operations(spark, folder)).select("operation_id", "timestamp", "files_modified", "rolled_back")
+
+
+@query
+def operations_clear(spark, sf_dir):
+    """A saved operation ledger after a confirmed clearing: no rows."""
+    folder = _scratch(spark)
+    ledgers.save_operations(_operations(spark, sf_dir), folder)
+    ledgers.clear_operations(spark, folder, confirm=True)
+    return spark.read.schema(ledgers.OPERATIONS).parquet(folder).select("operation_id")
+
+
+@query
+def config_load(spark, sf_dir):
+    """Flat keys of one nested configuration document per customer."""
+    document = F.to_json(
+        F.struct(
+            F.struct((F.col("c_custkey") % 2000).alias("maxLines")).alias("thresholds"),
+            F.struct(F.struct(F.col("c_mktsegment").alias("testCommand")).alias("python")).alias("languages"),
+            F.lit("1.0").alias("version"),
+        )
+    )
+    documents = b.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("config_path"), document.alias("document")
+    )
+    return ledgers.config_keys(documents).select("scope", "key_path", "value")

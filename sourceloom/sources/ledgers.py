@@ -41,7 +41,9 @@ def load_suggestion_object(spark: SparkSession, path: str) -> DataFrame:
 
 def save_suggestions(records: DataFrame, path: str) -> None:
     """Appends records, partitioned by day; nothing already written is touched."""
-    records.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+    # rebalancing gathers each day into few files, and splits a very large day
+    days = records.withColumn("day", F.to_date("created_at")).hint("rebalance", "day")
+    days.write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_saved_suggestions(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +56,8 @@ def load_operations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_operations(operations: DataFrame, path: str) -> None:
-    operations.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
+    days = operations.withColumn("day", F.to_date("timestamp")).hint("rebalance", "day")
+    days.write.mode("append").partitionBy("day").parquet(path)
 
 
 def clear_operations(spark: SparkSession, path: str, confirm: bool = False) -> None:
