@@ -865,7 +865,7 @@ def suggestions_save(spark, sf_dir):
 def operations_load(spark, sf_dir):
     """Operations written as JSON lines and loaded strictly."""
     folder = _scratch(spark)
-    _operations(spark, sf_dir).write.json(folder)
+    _operations(spark, sf_dir).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(folder)
     return _flat(ledgers.load_operations(spark, folder)).select("operation_id", "timestamp", "files_modified", "rolled_back")
 
 

@@ -39,15 +39,18 @@ def load_suggestion_object(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _by_month(rows: DataFrame, ts: str) -> DataFrame:
+    """Rows with their month, gathered into few files per month; a very large month is split."""
+    return rows.withColumn("month", F.date_format(ts, "yyyy-MM")).hint("rebalance", "month")
+
+
 def save_suggestions(records: DataFrame, path: str) -> None:
-    """Appends records, partitioned by day; nothing already written is touched."""
-    # rebalancing gathers each day into few files, and splits a very large day
-    days = records.withColumn("day", F.to_date("created_at")).hint("rebalance", "day")
-    days.write.mode("append").partitionBy("day").parquet(path)
+    """Appends records, partitioned by month; nothing already written is touched."""
+    _by_month(records, "created_at").write.mode("append").partitionBy("month").parquet(path)
 
 
 def read_saved_suggestions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("day")
+    return spark.read.parquet(path).drop("month")
 
 
 def load_operations(spark: SparkSession, path: str) -> DataFrame:
@@ -56,17 +59,16 @@ def load_operations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_operations(operations: DataFrame, path: str) -> None:
-    days = operations.withColumn("day", F.to_date("timestamp")).hint("rebalance", "day")
-    days.write.mode("append").partitionBy("day").parquet(path)
+    _by_month(operations, "timestamp").write.mode("append").partitionBy("month").parquet(path)
 
 
 def clear_operations(spark: SparkSession, path: str, confirm: bool = False) -> None:
     """Empties a saved operation ledger; refused unless confirmed."""
     if not confirm:
         raise ValueError("Must set confirm=True to clear history. This action is permanent.")
-    # partitionOverwriteMode is pinned: a dynamic overwrite with no rows would keep every day
-    empty = spark.createDataFrame([], OPERATIONS + ", day date")
-    empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day").parquet(path)
+    # partitionOverwriteMode is pinned: a dynamic overwrite with no rows would keep every month
+    empty = spark.createDataFrame([], OPERATIONS + ", month string")
+    empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("month").parquet(path)
 
 
 def load_configs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
