@@ -144,6 +144,13 @@ class Words:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
 
+    def span_hashes(self, firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Hashes of runs of words; equal to those of ``windows`` for equal words."""
+        powers, inverse = _powers(len(self.hashes))
+        sums = np.zeros(len(self.hashes) + 1, np.uint64)
+        np.cumsum(self.hashes * powers[: len(self.hashes)], out=sums[1:])
+        return mixed((sums[firsts + lengths] - sums[firsts]) * inverse[firsts] + lengths.astype(np.uint64))
+
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of all runs of ``length`` words inside a row."""
         n = len(self.hashes)
@@ -151,11 +158,8 @@ class Words:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         firsts = np.arange(n - length + 1)
         row_end = np.repeat(self.rows[1:], np.diff(self.rows))[: n - length + 1]
-        powers, inverse = _powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hashes * powers[:n], out=sums[1:])
         firsts = firsts[firsts + length <= row_end]
-        return firsts, mixed((sums[firsts + length] - sums[firsts]) * inverse[firsts] + np.uint64(length))
+        return firsts, self.span_hashes(firsts, np.full(len(firsts), length))
 
 
 # ----- connected components ---------------------------------------------------------------------------------------

@@ -7,17 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import exactdup, linededup
+from sourceloom.llm import exactdup, linededup, neardup, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = substring.without_repeats(docs, length=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.dedup_lines(docs, min_docs=10)
@@ -25,7 +35,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -41,6 +53,26 @@ WITH t AS (
     FROM t
 )
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM k
+""",
+    "op9_substring_dedup": r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+    SELECT doc_id, p, array_to_string(words[p:p + 49], ' ') AS win
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS p FROM w WHERE len(words) >= 50)
+), owned AS (
+    SELECT doc_id, p, min(doc_id) OVER (PARTITION BY win) AS owner FROM windows
+), hit AS (
+    SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM owned WHERE owner < doc_id
+), each AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w
+), kept AS (
+    SELECT each.doc_id, count(*) FILTER (hit.p IS NOT NULL) AS n_removed,
+           string_agg(word, ' ' ORDER BY each.p) FILTER (hit.p IS NULL) AS text
+    FROM each LEFT JOIN hit ON each.doc_id = hit.doc_id AND each.p = hit.p GROUP BY each.doc_id
+)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """,
     "op10_line_dedup": r"""
 WITH l AS (
