@@ -41,11 +41,11 @@ def exact_duplicates(
     several = groups.where("group_size > 1").select("hash", "keep_id")
     members = saved(texts.select("id", "hash", "norm").join(several, "hash").select("hash", "norm", F.col("id").eqNullSafe(F.col("keep_id")).alias("keeper")))
     keepers = saved(members.where("keeper").groupBy("hash").agg(F.first("norm").alias("kept_norm")))
-    collided = members.join(keepers, "hash").where("norm <> kept_norm").select("hash").distinct()
-    collided = saved(collided)
+    collided = saved(members.join(keepers, "hash").where("norm <> kept_norm").select("hash"))
 
     grouped = keys.join(groups, "hash")
     if not collided.isEmpty():
+        collided = saved(collided.distinct())
         apart = texts.join(collided, "hash").select("id", "hash", "norm", F.unhex(F.sha2("norm", 256)).alias("sha"), F.length("text").alias("points"))
         exact = apart.groupBy("hash", "norm").agg(*_best()).select("hash", "norm", "group_size", "best.keep_id")
         apart = apart.join(exact, ["hash", "norm"]).select("id", "sha", "group_size", "keep_id")
