@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,22 @@ BLANKS = r"[\x20\x09-\x0D]"
 STEP_BYTES = 1 << 20
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the tasks of the session, wherever its executors run."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="sourceloom-")) / "sourceloom.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))  # the driver's copy is sent to each executor
+        _SHIPPED.add(context.applicationId)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows, computed once and written to the shared checkpoint folder, so that no lost executor repeats more.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourceloom.llm.common import saved, text_or_empty
+from sourceloom.llm.common import saved, ship, text_or_empty
 
 BLANK_BYTES = b" \t\n\v\f\r"
 
@@ -130,6 +130,7 @@ def document_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             high, low = _halves([k for x in found for k in x])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(high), pa.array(low)], ["id", "mark", "high", "low"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), *_mark(text_col), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(keys, f"id {kind}, mark bigint, high bigint, low bigint")

@@ -31,7 +31,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import Words, buffers, byte_table, components, digest128, mixed, saved, steps, text_or_empty
+from sourceloom.llm.common import Words, buffers, byte_table, components, digest128, mixed, saved, ship, steps, text_or_empty
 
 _HASH_BITS = 44
 _HASH_MASK = np.uint64((1 << _HASH_BITS) - 1)
@@ -221,6 +221,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, sketch: Broadcast, n_docs: int,
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(doc_id, class_id, class_size), one row per row of ``docs``."""
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("node", digest128(F.col("text"))).select("id", "node", "text")
     n_docs = rows.count()

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourceloom.llm.common import Words, buffers, byte_table, mixed, saved, steps, text_or_empty
+from sourceloom.llm.common import Words, buffers, byte_table, mixed, saved, ship, steps, text_or_empty
 
 SEPARATORS = " \t\n\v\f\r"
 _MOST = np.uint64(2**64 - 1)
@@ -96,6 +96,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 16, id_col: st
 
     ``id`` and ``mark`` name the row as in ``without_repeats``; ``owner_start`` is null for copies of a whole document.
     """
+    ship(docs.sparkSession)
     width = length - seed + 1
     texts = docs.select(*_with_keys(docs, id_col, text_col), F.col(text_col).alias("text"))
     texts = texts.select(F.col("_sl_id").alias("id"), F.col("_sl_mark").alias("mark"), "text")
