@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,22 +84,24 @@ def _lists(rows: np.ndarray, n_rows: int, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
-def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """(id, mark) name a row: rows with equal ones have equal texts."""
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` and (_sl_id, _sl_mark), which name a row: rows with equal ones have equal texts."""
     mark = F.xxhash64(text_or_empty(text_col))
     last = F.lit(2**63 - 1) - F.abs(mark % F.lit(2**40))
-    return [F.coalesce(F.col(id_col).cast("bigint"), last).alias("_sl_id"), mark.alias("_sl_mark")]
+    keys = [F.coalesce(F.col(id_col).cast("bigint"), last).alias("_sl_id"), mark.alias("_sl_mark")]
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], *keys)
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, mark, start, words, owner, owner_start): runs of words to remove, and where the owner has them.
+def repeated_spans(keyed: DataFrame, length: int = 50, seed: int = 16, text_col: str = "text") -> DataFrame:
+    """(id, mark, start, words, owner, owner_start) for rows ``with_keys``: runs of words to remove, and where the owner has them.
 
-    ``id`` and ``mark`` name the row as in ``without_repeats``; ``owner_start`` is null for copies of a whole document.
+    ``owner_start`` is null for copies of a whole document. The rows are shuffled by their keys with all their columns, so
+    that a later join of the same rows by these keys can use the same shuffle.
     """
-    ship(docs.sparkSession)
+    ship(keyed.sparkSession)
     width = length - seed + 1
-    texts = docs.select(*_with_keys(docs, id_col, text_col), F.col(text_col).alias("text"))
-    texts = texts.select(F.col("_sl_id").alias("id"), F.col("_sl_mark").alias("mark"), "text")
+    n_columns, at_text = len(keyed.columns), keyed.columns.index(text_col)
+    texts = keyed.select(F.col("_sl_id").alias("id"), F.col("_sl_mark").alias("mark"), F.col(f"`{text_col}`").alias("text"))
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,9 +133,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 16, id_col: st
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop, words in _parts(batch.column(2)):
+            for start, stop, words in _parts(batch.column(at_text)):
                 runs, least, window = _seeds(words, length, seed)
-                marked = batch.column(3)[start:stop]
+                marked = batch.column(n_columns)[start:stop]
                 at = marked.flatten().to_numpy() + np.repeat(words.rows[:-1], marked.value_lengths().to_numpy())
                 known = np.full(len(runs), _MOST)
                 known[at] = runs[at]
@@ -142,23 +144,27 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 16, id_col: st
                 firsts = np.flatnonzero(window)
                 spans = np.full(len(firsts), length)
                 hashes = words.span_hashes(firsts, spans)
-                second = words.span_hashes(firsts + length // 3, spans - length // 3) ^ mixed(words.span_hashes(firsts, spans - length // 3))
+                second = mixed(words.span_hashes(firsts + length // 3, spans - length // 3))
                 row = words.row_of_word()[firsts]
                 take = pa.array(row + start)
                 columns = [
                     pa.array(hashes.view(np.int64)),
                     pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     pa.array((firsts - words.rows[row]).astype(np.int32)),
-                    batch.column(0).take(take),
-                    batch.column(1).take(take),
+                    batch.column(n_columns - 2).take(take),
+                    batch.column(n_columns - 1).take(take),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["edge", "check", "place", "id", "mark"])
 
-    near = texts.join(places, ["id", "mark"]).select("id", "mark", "text", "places")
+    near = keyed.join(places.select(F.col("id").alias("_sl_id"), F.col("mark").alias("_sl_mark"), "places"), ["_sl_id", "_sl_mark"])
+    near = near.select(*[F.col(f"`{c}`") for c in keyed.columns], "places")
     graph = near.mapInArrow(edges, "edge bigint, check int, place int, id bigint, mark bigint")
     owners = graph.groupBy("edge", "check").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.min_by("place", "id").alias("owner_place"))
-    owners = owners.where("owner < last").drop("last")
-    hits = graph.join(owners, ["edge", "check"]).where("owner < id").select("id", "mark", "place", "owner", "owner_place")
+    # the join has a key of its own, so that both sides are shuffled for it and Spark may split large keys
+    key = F.col("edge").bitwiseXOR(F.lit(1))
+    owners = owners.where("owner < last").select(key.alias("key"), "check", "owner", "owner_place")
+    hits = graph.select(key.alias("key"), "check", "place", "id", "mark").join(owners, ["key", "check"])
+    hits = hits.where("owner < id").select("id", "mark", "place", "owner", "owner_place").repartition("id", "mark")
 
     in_order = Window.partitionBy("id", "mark").orderBy("place")
     follows = (F.col("place") == F.lag("place").over(in_order) + 1) & (F.col("owner") == F.lag("owner").over(in_order)) & (F.col("owner_place") == F.lag("owner_place").over(in_order) + 1)
@@ -169,12 +175,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 16, id_col: st
 
 def without_repeats(docs: DataFrame, length: int = 50, seed: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the kept words, joined by one space, as text, and the columns n_words and n_removed after the others."""
-    spans = repeated_spans(docs, length, seed, id_col, text_col)
-    spans = saved(spans.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "words")).alias("_sl_spans")))
     names = docs.columns
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], *_with_keys(docs, id_col, text_col))
-    spans = spans.withColumnsRenamed({"id": "_sl_id", "mark": "_sl_mark"})
-    rows = rows.join(spans, ["_sl_id", "_sl_mark"], "left").select(*[F.col(f"`{c}`") for c in names], "_sl_spans")
+    keyed = with_keys(docs, id_col, text_col)
+    spans = repeated_spans(keyed, length, seed, text_col)
+    spans = spans.groupBy(F.col("id").alias("_sl_id"), F.col("mark").alias("_sl_mark")).agg(F.collect_set(F.struct("start", "words")).alias("_sl_spans"))
+    rows = keyed.join(spans, ["_sl_id", "_sl_mark"], "left").select(*[F.col(f"`{c}`") for c in names], "_sl_spans")
     place = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
