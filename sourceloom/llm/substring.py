@@ -89,7 +89,8 @@ def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     mark = F.xxhash64(text_or_empty(text_col))
     last = F.lit(2**63 - 1) - F.abs(mark % F.lit(2**40))
     keys = [F.coalesce(F.col(id_col).cast("bigint"), last).alias("_sl_id"), mark.alias("_sl_mark")]
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], *keys)
+    # the filter holds for every row; written here, inner and outer joins read the rows by the same plan and share its shuffle
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], *keys).where("_sl_id is not null")
 
 
 def repeated_spans(keyed: DataFrame, length: int = 50, seed: int = 16, text_col: str = "text") -> DataFrame:
