@@ -41,7 +41,8 @@ from sourceloom.llm.common import Words, buffers, byte_table, saved, ship, steps
 class Settings:
     max_train: int = 20_000
     prior: float = 6.0
-    least_count: int = 2
+    least_count: int = 3
+    least_change: float = 0.05
     prefix: int = 10
     drift: float = 0.25
     recent: int = 32
@@ -176,7 +177,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return sample.select("text", "label", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)).cast("int").alias("part"))
 
 
-def _prefix_counts(sample: DataFrame, settings: Settings) -> pd.DataFrame:
+def _prefix_counts(sample: DataFrame, settings: Settings) -> pa.Table:
     """(node, clean, toxic): in how many texts of the first two parts prefixes and words occur (a prefix once per word)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,20 +201,24 @@ def _prefix_counts(sample: DataFrame, settings: Settings) -> pd.DataFrame:
     whole = F.concat("word", F.lit("\n"))
     nodes = F.transform(F.sequence(F.lit(0), F.least(F.length("word"), F.lit(settings.prefix))), lambda n: F.when(n == 0, whole).otherwise(F.col("word").substr(F.lit(1), n.cast("int"))))
     nodes = words.select(F.explode(nodes).alias("node"), "clean", "toxic").groupBy("node").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    return nodes.where(F.col("clean") + F.col("toxic") >= settings.least_count).toPandas()  # bounded by the sample
+    return nodes.where(F.col("clean") + F.col("toxic") >= settings.least_count).toArrow()  # bounded by the sample
 
 
-def _log_odds(counts: pd.DataFrame, settings: Settings) -> dict[str, float]:
-    """Scores by node. A node's prior mean comes from its prefix without the node's own occurrences, so none counts twice."""
-    whole = counts["node"].str.endswith("\n")
-    root = counts[~whole & (counts["node"].str.len() == 1)]
-    clean, toxic = int(root["clean"].sum()), int(root["toxic"].sum())
+def _log_odds(counts: pa.Table, settings: Settings) -> dict[str, float]:
+    """Scores by node. A node's prior mean comes from its prefix without the node's own texts, so none counts twice.
+
+    Nodes that score as their prefix does are left out.
+    """
+    nodes = counts.column("node").to_pylist()
+    numbers = np.stack([counts.column(c).to_numpy().astype(np.int64) for c in ("clean", "toxic")], 1).tolist()
+    first = [n for node, n in zip(nodes, numbers, strict=True) if len(node) == 1]
+    clean, toxic = (sum(n[k] for n in first) for k in (0, 1))
     share = (toxic + 0.5) / (clean + toxic + 1.0)
-    known = {"": (clean, toxic, share)}  # occurrences, prior mean
+    known = {"": (clean, toxic, share)}  # texts, prior mean
     base = math.log(share / (1 - share))
-    order = np.argsort(np.where(whole, 1000, counts["node"].str.len()), kind="stable")
-    scores: dict[str, float] = {}
-    for node, clean, toxic in counts.iloc[order][["node", "clean", "toxic"]].itertuples(index=False):
+    scores: dict[str, float] = {"": 0.0}
+    for k in sorted(range(len(nodes)), key=lambda k: (nodes[k].endswith("\n"), len(nodes[k]))):
+        node, (clean, toxic) = nodes[k], numbers[k]
         parent = node[:-1][: settings.prefix]
         while parent not in known:
             parent = parent[:-1]
@@ -221,8 +226,13 @@ def _log_odds(counts: pd.DataFrame, settings: Settings) -> dict[str, float]:
         others = up_clean + up_toxic - clean - toxic
         mean = (up_toxic - toxic + settings.prior * up_mean) / (others + settings.prior)
         p = (toxic + settings.prior * mean) / (clean + toxic + settings.prior)
-        known[node] = (clean, toxic, mean)
-        scores[node] = math.log(p / (1 - p)) - base
+        if not node.endswith("\n"):
+            known[node] = (clean, toxic, mean)
+        score = math.log(p / (1 - p)) - base
+        while parent not in scores:
+            parent = parent[:-1]
+        if abs(score - scores[parent]) > settings.least_change:
+            scores[node] = score
     return scores
 
 
@@ -269,14 +279,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["label", "words", "found"])
 
     held = sample.where("part = 2").select("text", F.col("label").cast("int"))
-    rows = held.mapInArrow(measure, "label int, words bigint, found array<double>").toPandas()  # at most max_train rows
-    clean = rows[rows["label"] == 0]
-    if len(clean):
-        tops = np.array([max(x, default=0.0) for x in clean["found"].map(list)])
-        model.lam, model.k = _gumbel(tops, np.maximum(1, clean["words"].to_numpy(float)))
-    x = np.array([model.evidence([(s, 0, 0) for s in found], max(1, n)) for found, n in zip(rows["found"], rows["words"], strict=True)])
-    if len(x) and 0 < rows["label"].sum() < len(x):
-        model.intercept, model.slope = _logistic(x, rows["label"].to_numpy(float))
+    rows = held.mapInArrow(measure, "label int, words bigint, found array<double>").toArrow()  # at most max_train rows
+    label, sizes = (rows.column(c).to_numpy() for c in ("label", "words"))
+    found = rows.column("found").to_pylist()
+    tops = np.array([max(x, default=0.0) for x in found])
+    clean = label == 0
+    if clean.any():
+        model.lam, model.k = _gumbel(tops[clean], np.maximum(1, sizes[clean]).astype(float))
+    x = np.array([model.evidence([(s, 0, 0) for s in texts], max(1, int(n))) for texts, n in zip(found, sizes, strict=True)])
+    if 0 < label.sum() < len(label):
+        model.intercept, model.slope = _logistic(x, label.astype(float))
         model.slope = max(0.0, model.slope)
     return model
 
