@@ -187,23 +187,21 @@ class Words:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links ``a``, ``b``; root is the smallest node that it is linked to.
 
-    Each round points every node at the smallest root around it and then follows the pointers, so chains halve; rounds
-    end when nothing changes. A node with very many links is no hot task: minima are taken before rows are shuffled.
+    In each round all nodes of a root take the smallest root next to any of them, and then that root's own new root, so
+    chains halve. Rounds end when nothing changes. A node or root with very many links is no hot task: minima are taken
+    before rows are shuffled.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = saved(both.where("a <> b").distinct())
-    state = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    state = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
+    state = saved(state)
     while True:
-        roots = state.select(F.col("node").alias("b"), F.col("root").alias("seen"))
-        near = both.join(roots, "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("near"))
-        step = state.join(near, "node").select("node", "root", F.least("root", "near").alias("next"))
-        # the old root learns of the smaller one too, and pointers are followed once
-        lower = step.where("next < root").groupBy(F.col("root").alias("node")).agg(F.min("next").alias("low"))
-        step = step.join(lower, "node", "left").select("node", "root", F.least("next", F.coalesce("low", "next")).alias("next"))
-        step = saved(step)
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        new = saved(step.join(jump, "next", "left").select("node", F.coalesce("far", "next").alias("root"), F.col("root").alias("old")))
-        changed = not new.where("root <> old").isEmpty()
+        seen = both.join(state.select(F.col("node").alias("b"), F.col("root").alias("next")), "b").select(F.col("a").alias("node"), "next")
+        near = seen.groupBy("node").agg(F.min("next").alias("near"))
+        moves = state.join(near, "node").groupBy("root").agg(F.least(F.first("root"), F.min("near")).alias("next"))
+        far = moves.select(F.col("root").alias("next"), F.col("next").alias("far"))
+        moves = moves.join(far, "next", "left").select("root", F.coalesce("far", "next").alias("next"))
+        new = saved(state.join(moves, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
         state = new.select("node", "root")
-        if not changed:
+        if new.where("moved").isEmpty():
             return state

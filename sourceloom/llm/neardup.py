@@ -10,8 +10,8 @@ sum of maxima, is 0.8 or more; a class is what such links connect.
 2. Sampling: for each of ``bands`` x ``rows`` samples the shingle with the smallest a = c / (y e^r), with t = floor(ln w / r +
    b), y = e^(r (t - b)), and r, c from gamma(2, 1), b uniform, all drawn from the shingle's hash. A sample is (shingle, t).
 3. Bands: exact copies count as one node; nodes that agree on a whole band share a bucket.
-4. Links: each bucket's members are compared with one of them, its centre, so a bucket of n gives n - 1 pairs. Further rounds
-   take other centres for the buckets that still hold several classes, until a round neither links nor compares anything.
+4. Links: each bucket's members are compared with two of them, its centres, so a bucket of n gives fewer than 2 n pairs. Further
+   rounds take other centres for the buckets that still hold several classes, until a round compares or links nothing.
 5. Classes are connected components of the links.
 
 Defined results: a text of one to four words is one shingle; a text without words (null, empty) is in a class with exact
@@ -235,28 +235,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.select("node", "text").join(places.select("node").distinct(), "node")
     texts = saved(texts.groupBy("node").agg(F.first("text").alias("text")))
 
-    compared = spark.createDataFrame([], "a binary, b binary, similar boolean")
-    roots = places.select("node", F.col("node").alias("root")).distinct()
+    compared = roots = None
     turn = 0
     while True:
-        now = places.join(roots, "node")
-        open_ = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        now = now.join(saved(open_), "bucket")
-        centres = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)), "node", "root")).alias("c"))
+        now = places.withColumn("root", F.col("node")) if roots is None else places.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        order = F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("order"), "node", "root")
+        centres = now.groupBy("bucket").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min("root").alias("low"), F.max("root").alias("high"))
+        centres = centres.where("low <> high").select("bucket", F.explode(F.array("first", "last")).alias("c"))
         centres = saved(centres.select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root")))
         pairs = now.join(centres, "bucket").where("root <> centre_root")
         pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        pairs = saved(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
+        if compared is not None:
+            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
         found = saved(_linked(pairs, texts, sketch, n_docs, settings))
-        compared = saved(compared.unionByName(found))
-        turn += 1
+        compared = found if compared is None else compared.unionByName(found)
         if found.where("similar").isEmpty():
             break
-        linked = components(compared.where("similar"))
-        roots = saved(places.select("node").distinct().join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+        roots = components(compared.where("similar"))
+        turn += 1
+    if roots is None:
+        roots = places.select("node", F.col("node").alias("root")).limit(0)
 
-    members = sampled.select("id", "node").join(saved(roots), "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    members = sampled.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     classes = saved(members.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
     return members.join(classes, "root").select(F.col("id").alias("doc_id"), "class_id", "class_size")
