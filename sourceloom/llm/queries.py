@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import exactdup, linededup, neardup, packing, substring, toxicity
+from sourceloom.llm import exactdup, linededup, mixing, neardup, packing, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,26 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Target weights of the domains (the numbers of the sources, in four groups) and languages; sources weigh the same.
+DOMAINS = ("web", "books", "code", "reference")
+MIX = mixing.Mix(
+    domains={"web": 0.4, "books": 0.3, "code": 0.2, "reference": 0.1},
+    languages={"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15},
+    max_epochs=2,
+    seed=20240601,
+)
+
+
+def domain_of_source() -> Column:
+    group = F.regexp_extract(F.coalesce("source", F.lit("")), r"(\d+)$", 1).try_cast("int") % len(DOMAINS)
+    return F.coalesce(F.element_at(F.array(*map(F.lit, DOMAINS)), group + 1), F.lit(DOMAINS[0]))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mixed_documents(docs, MIX, domain_of_source()).select("doc_id", "epoch", "domain", "lang", "source", "tokens")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
@@ -56,6 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_mixing": op5_mixing,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
@@ -74,6 +95,43 @@ WITH t AS (
     FROM t
 )
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM k
+""",
+    "op5_mixing": r"""
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, lang AS lang0, source AS source0,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens,
+           coalesce(['web', 'books', 'code', 'reference'][try_cast(regexp_extract(coalesce(source, ''), '(\d+)$', 1) AS INTEGER) % 4 + 1], 'web') AS domain
+    FROM documents
+), leaves AS (
+    SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0
+), l1 AS (
+    SELECT domain, sum(tokens) * 2 AS cap, any_value(CASE domain WHEN 'web' THEN 0.4 WHEN 'books' THEN 0.3 WHEN 'code' THEN 0.2 ELSE 0.1 END)::DOUBLE AS w,
+           (SELECT sum(tokens) FROM leaves)::DOUBLE AS up FROM leaves GROUP BY domain
+), b1 AS (
+    SELECT domain, least(cap::DOUBLE, w * max(lev) OVER ()) AS budget FROM (
+        SELECT *, (up - (sum(cap) OVER o - cap)) / sum(w) OVER (ORDER BY cap / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
+        FROM l1 WINDOW o AS (ORDER BY cap / w, domain ROWS UNBOUNDED PRECEDING))
+), l2 AS (
+    SELECT domain, lang, sum(tokens) * 2 AS cap, any_value(CASE lang WHEN 'en' THEN 0.55 WHEN 'de' THEN 0.15 WHEN 'fr' THEN 0.15 WHEN 'es' THEN 0.15 ELSE 1 END)::DOUBLE AS w,
+           any_value(budget) AS up FROM leaves JOIN b1 USING (domain) GROUP BY domain, lang
+), b2 AS (
+    SELECT domain, lang, least(cap::DOUBLE, w * max(lev) OVER (PARTITION BY domain)) AS budget FROM (
+        SELECT *, (up - (sum(cap) OVER o - cap)) / sum(w) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
+        FROM l2 WINDOW o AS (PARTITION BY domain ORDER BY cap / w, lang ROWS UNBOUNDED PRECEDING))
+), l3 AS (
+    SELECT domain, lang, source, tokens, tokens * 2 AS cap, 1.0::DOUBLE AS w, budget AS up FROM leaves JOIN b2 USING (domain, lang)
+), b3 AS (
+    SELECT domain, lang, source, tokens, floor(least(cap::DOUBLE, w * max(lev) OVER (PARTITION BY domain, lang)) + 1e-6)::BIGINT AS budget FROM (
+        SELECT *, (up - (sum(cap) OVER o - cap)) / sum(w) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
+        FROM l3 WINDOW o AS (PARTITION BY domain, lang ORDER BY cap / w, source ROWS UNBOUNDED PRECEDING))
+), plan AS (
+    SELECT domain, lang, source, budget // tokens AS whole, budget % tokens AS rest FROM b3
+), each AS (
+    SELECT d.*, whole, rest, sum(d.tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('20240601:' || whole || ':' || coalesce(doc_id::VARCHAR, '')), doc_id) AS upto
+    FROM d JOIN plan USING (domain, lang, source)
+)
+SELECT doc_id, unnest(range(0, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)) AS epoch, domain, lang0 AS lang, source0 AS source, tokens
+FROM each
 """,
     "op9_substring_dedup": r"""
 WITH w AS (
