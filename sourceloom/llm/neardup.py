@@ -10,9 +10,10 @@ sum of maxima, is 0.8 or more; a class is what such links connect.
 2. Sampling: for each of ``bands`` x ``rows`` samples the shingle with the smallest a = c / (y e^r), with t = floor(ln w / r +
    b), y = e^(r (t - b)), and r, c from gamma(2, 1), b uniform, all drawn from the shingle's hash. A sample is (shingle, t).
 3. Bands: exact copies count as one node; nodes that agree on a whole band share a bucket.
-4. Links: each bucket's members are compared with two of them, its centres, so a bucket of n gives fewer than 2 n pairs. Further
-   rounds take other centres for the buckets that still hold several classes, until a round compares or links nothing.
-5. Classes are connected components of the links.
+4. Links: each bucket's members are compared with two of them, its centres, so a bucket of n gives fewer than 2 n pairs. Members
+   that no centre of the bucket is like are compared with other centres, round by round, until a round links nothing.
+5. Classes are connected components of the links. Buckets that still hold several classes get rounds with other centres for the
+   members of other classes, until a round links nothing.
 
 Defined results: a text of one to four words is one shingle; a text without words (null, empty) is in a class with exact
 copies only; repeated rows of an id are copies; a null id belongs to the class of its text, and the class id is the smallest
@@ -230,31 +231,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     nodes = sampled.groupBy("node").agg(F.first("bands").alias("bands"))
     places = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = places.groupBy("bucket").count().where("count > 1").select("bucket")
+    shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     places = saved(places.join(shared, "bucket"))
     texts = rows.select("node", "text").join(places.select("node").distinct(), "node")
     texts = saved(texts.groupBy("node").agg(F.first("text").alias("text")))
 
-    compared = roots = None
-    turn = 0
-    while True:
-        now = places.withColumn("root", F.col("node")) if roots is None else places.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        order = F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("order"), "node", "root")
-        centres = now.groupBy("bucket").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min("root").alias("low"), F.max("root").alias("high"))
-        centres = centres.where("low <> high").select("bucket", F.explode(F.array("first", "last")).alias("c"))
-        centres = saved(centres.select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root")))
-        pairs = now.join(centres, "bucket").where("root <> centre_root")
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    def centres(members: DataFrame, turn: int) -> DataFrame:
+        """(bucket, centre): two members of each bucket, others in each turn."""
+        order = F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("order"), "node")
+        ends = members.groupBy("bucket").agg(F.min(order).alias("first"), F.max(order).alias("last"))
+        return ends.select("bucket", F.explode(F.array("first.node", "last.node")).alias("centre"))
+
+    def ordered(tries: DataFrame) -> DataFrame:
+        return tries.where("node <> centre").withColumn("a", F.least("node", "centre")).withColumn("b", F.greatest("node", "centre"))
+
+    def compare(tries: DataFrame, before: DataFrame | None) -> tuple[DataFrame, bool]:
+        """(a, b, similar) of all pairs so far, and whether any new one is similar."""
+        pairs = tries.select("a", "b").distinct()
+        if before is not None:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
         found = saved(_linked(pairs, texts, sketch, n_docs, settings))
-        compared = found if compared is None else compared.unionByName(found)
-        if found.where("similar").isEmpty():
+        return found if before is None else before.unionByName(found), not found.where("similar").isEmpty()
+
+    turn, compared, lonely = 0, None, places
+    while True:
+        tries = ordered(lonely.join(centres(places if turn == 0 else places.join(lonely.select("bucket").distinct(), "bucket"), turn), "bucket"))
+        compared, more = compare(tries, compared)
+        turn += 1
+        if not more:
             break
+        hits = tries.join(compared.where("similar").select("a", "b"), ["a", "b"])
+        hits = hits.select("bucket", F.explode(F.array("node", "centre")).alias("node")).distinct()
+        lonely = saved(lonely.where("n > 2").join(hits, ["bucket", "node"], "left_anti"))
+    while True:
         roots = components(compared.where("similar"))
+        classes = places.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = classes.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        classes = saved(classes.join(several, "bucket"))
+        heads = centres(classes, turn).join(classes.select("bucket", F.col("node").alias("centre"), F.col("root").alias("centre_root")), ["bucket", "centre"])
+        compared, more = compare(ordered(classes.join(heads, "bucket").where("root <> centre_root")), compared)
         turn += 1
-    if roots is None:
-        roots = places.select("node", F.col("node").alias("root")).limit(0)
+        if not more:
+            break
 
     members = sampled.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     classes = saved(members.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
