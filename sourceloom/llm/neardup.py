@@ -277,3 +277,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = sampled.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     classes = saved(members.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
     return members.join(classes, "root").select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
+def first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """``docs`` without all but the document with the smallest id of each class.
+
+    Rows without an id stay if their class has no id, one of them; of repeated rows of an id one stays. The decision is joined to
+    the rows by id, so copies of one text spread evenly.
+    """
+    classes = near_duplicates(docs, id_col, text_col, settings)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_sl_kept")).agg(F.count(F.lit(1)).alias("rows"))
+    kept = saved(kept)
+    rows = docs
+    if not kept.where("rows > 1").isEmpty():  # only then are texts shuffled a second time
+        rows = docs.dropDuplicates([id_col])
+    return rows.join(kept, F.col(id_col).eqNullSafe(F.col("_sl_kept")), "left_semi")
