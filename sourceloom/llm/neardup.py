@@ -221,6 +221,11 @@ def _linked(pairs: DataFrame, texts: DataFrame, sketch: Broadcast, n_docs: int,
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(doc_id, class_id, class_size), one row per row of ``docs``."""
+    return _classed(docs, id_col, text_col, settings).select(F.col("id").alias("doc_id"), F.col("best.id").alias("class_id"), "class_size")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
+    """(id, node, best, class_size): best is the id, or null, and the text's hash that stand for the class."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -274,21 +279,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more:
             break
 
-    members = sampled.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    classes = saved(members.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
-    return members.join(classes, "root").select(F.col("id").alias("doc_id"), "class_id", "class_size")
+    members = sampled.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+    best = F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best")
+    classes = saved(members.groupBy("root").agg(best, F.count(F.lit(1)).alias("class_size")))
+    return members.join(classes, "root").select("id", "node", "best", "class_size")
 
 
 def first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """``docs`` without all but the document with the smallest id of each class.
 
-    Rows without an id stay if their class has no id, one of them; of repeated rows of an id one stays. The decision is joined to
-    the rows by id, so copies of one text spread evenly.
+    A class without ids keeps one of its texts; of repeated rows of a kept id and text one stays. The decision is joined to the
+    rows by id and a hash of the text, so copies spread evenly.
     """
-    classes = near_duplicates(docs, id_col, text_col, settings)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_sl_kept")).agg(F.count(F.lit(1)).alias("rows"))
-    kept = saved(kept)
+    classed = _classed(docs, id_col, text_col, settings)
+    kept = classed.where(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("node") == F.col("best.node")))
+    kept = saved(kept.groupBy(F.col("id").alias("_sl_id"), F.col("node").alias("_sl_node")).agg(F.count(F.lit(1)).alias("rows")))
     rows = docs
     if not kept.where("rows > 1").isEmpty():  # only then are texts shuffled a second time
-        rows = docs.dropDuplicates([id_col])
-    return rows.join(kept, F.col(id_col).eqNullSafe(F.col("_sl_kept")), "left_semi")
+        rows = docs.dropDuplicates([id_col, text_col])
+    same = F.col(id_col).eqNullSafe(F.col("_sl_id")) & (digest128(text_or_empty(text_col)) == F.col("_sl_node"))
+    return rows.join(kept, same, "left_semi")
