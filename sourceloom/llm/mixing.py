@@ -63,9 +63,11 @@ def _shared_out(nodes: DataFrame, parent: list[str], level: str, weights: dict[s
 
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """(domain, lang, source, tokens, whole, rest): whole epochs and tokens of one more, from (domain, lang, source, tokens)."""
-    caps = leaves.withColumn("capacity", F.col("tokens") * mix.max_epochs)
-    total = caps.agg(F.least(F.lit(mix.tokens) if mix.tokens is not None else F.sum("tokens"), F.sum("capacity")).cast("double").alias("parent_budget"))
     weights = (mix.domains, mix.languages, mix.sources)
+    weighed = [_weight(level, w, mix.other) > 0 for level, w in zip(LEVELS, weights, strict=True)]
+    caps = leaves.where(weighed[0] & weighed[1] & weighed[2]).withColumn("capacity", F.col("tokens") * mix.max_epochs)
+    wanted = F.lit(mix.tokens) if mix.tokens is not None else F.sum("tokens")
+    total = caps.agg(F.least(wanted, F.sum("capacity")).cast("double").alias("parent_budget"))
     budgets, above = None, ["_root"]
     for depth, level in enumerate(LEVELS):
         keys = list(LEVELS[: depth + 1])
