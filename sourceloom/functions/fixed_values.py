@@ -160,6 +160,20 @@ CONFIG_RANGES = {
     "ai.temperature": (0, 2),
 }
 
+CONFIG_SECTIONS = ["thresholds", "safety", "ai", "languages", "refactoringStrategies"]
+
+CONFIG_FLAGS = [
+    "refactoringStrategies.preferComposition",
+    "refactoringStrategies.extractUtilities",
+    "refactoringStrategies.maintainNamespaces",
+    "refactoringStrategies.preserveComments",
+    "refactoringStrategies.updateImports",
+    "safety.requireTests",
+    "safety.createBackups",
+    "safety.dryRunFirst",
+    "safety.requireApproval",
+]
+
 CONFIG_FREE_KEYS = [
     "name",
     "excludePatterns",

@@ -16,7 +16,8 @@ CONTINUED = "\u0004"  # ends a physical line that a backslash continues
 _TRIPLE = r'"""[\s\S]*?(?<!\\)(?:\\\\)*+"""' + r"|'''[\s\S]*?(?<!\\)(?:\\\\)*+'''"
 _DOUBLE = r'"(?:|[^\n"]|[^\n]*?[^\\\n])(?:\\\\)*+"'
 _SINGLE = r"'(?:|[^\n']|[^\n]*?[^\\\n])(?:\\\\)*+'"
-_REGEX = r"(?<=[(=,:\[!&|?{};\n][ \t]{0,8})/(?![*/ ])(?:[^\n/]|[^\n]*?[^\\\n])(?:\\\\)*+/[a-z]*"
+# a regular expression stands after an operator, a bracket, or a word that an expression follows
+_REGEX = r"(?<=(?:[(=,:\[!&|?{};\n]|=>|\b(?:return|typeof|case))[ \t]{0,200})/(?![*/ ])(?:[^\n/]|[^\n]*?[^\\\n])(?:\\\\)*+/[a-z]*"
 
 # the lookahead rejects ordinary characters at once
 PYTHON_TOKENS = rf"(?=[\"'#])(?:({_TRIPLE})|{_DOUBLE}|{_SINGLE}|#[^\n]*)"

@@ -12,12 +12,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.masking import mask_braces, mask_script, mask_sql
-from ..functions.text import count_lines, parser_language
+from ..functions.text import count_lines, in_brackets, parser_language
 from .placement import spread
 
 # a declaration mark: OPEN kind | name | parameters | heritage CLOSE
 _OPEN, _CLOSE = "\u0001", "\u0002"
-_PARAMS = r"\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)"
+_PARAMS = in_brackets()
 _START = r"(?<=[\n{};,\u0002]|\A)([ \t]*+)"
 
 _SCRIPT_WORDS = "if|for|while|switch|catch|function|return|with|super|do|else|new|await|typeof"

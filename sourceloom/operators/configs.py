@@ -74,7 +74,10 @@ def _rules(key: Column, value: Column) -> Column:
     )
     language = key.rlike(r"^languages\.[^.]+\.(?:enabled|parser|testCommand)$")
     return (
-        F.when(low.isNotNull() & number.isNull(), "not a number")
+        F.when(key.isin(*fv.CONFIG_SECTIONS), "must be an object")
+        .when(low.isNotNull() & number.isNull(), "not a number")
+        .when(low.isNotNull() & (key != "ai.temperature") & (number != F.floor(number)), "not an integer")
+        .when((key.isin(*fv.CONFIG_FLAGS) | key.rlike(r"^languages\.[^.]+\.enabled$")) & ~F.lower(value).isin("true", "false"), "not a boolean")
         .when(low.isNotNull() & ((number < low) | (number > high)), span)
         .when((key == "ai.provider") & ~value.isin(*fv.PROVIDERS), "Provider must be one of " + ", ".join(fv.PROVIDERS))
         .when(

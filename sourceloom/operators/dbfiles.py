@@ -38,7 +38,7 @@ def sql_analysis(files: DataFrame) -> DataFrame:
         F.when(bad, empty).otherwise(sqltext.table_names(content)).alias("tables"),
         F.when(bad, empty).otherwise(F.col("kinds")).alias("statements"),
         F.when(bad, 0).otherwise(sqltext.complexity(content, F.col("kinds"))).alias("complexity"),
-        text.count_lines(content).alias("line_count"),
+        text.count_split_lines(content).alias("line_count"),
         F.when(bad, "content could not be read").alias("error"),
     )
 
@@ -96,7 +96,7 @@ def analysis(files: DataFrame) -> DataFrame:
         F.when(is_sql, sqltext.table_names(content)).otherwise(ormtext.model_tables(content, orm)).alias("tables"),
         F.col("kinds").alias("statements"),
         F.when(is_sql, sqltext.complexity(content, F.col("kinds"))).alias("complexity"),
-        F.when(is_sql, text.count_lines(content)).alias("line_count"),
+        F.when(is_sql, text.count_split_lines(content)).alias("line_count"),
         orm.alias("orm_type"),
         "models",
         F.when(is_model, F.size("models")).alias("model_count"),
@@ -125,15 +125,27 @@ def migration_edges(files: DataFrame) -> DataFrame:
 def revision_parents(files: DataFrame) -> DataFrame:
     """Each Alembic revision with the file of its predecessor; a missing predecessor stays NULL.
 
-    One equi-join on the revision. A predecessor that very many files share is split by the adaptive skew join.
+    A predecessor is looked for in the same folder, as revisions repeat across forks and copied projects. If several files
+    there carry the revision, the first path stands for them and ``candidates`` says how many there are, so the result has
+    one row per file. A predecessor that very many files share is split by the adaptive skew join.
     """
     content = F.col("content")
     revisions = files.where(ormtext.migration_kind(content) == "alembic_migration").select(
-        "path", ormtext.revision(content).alias("revision"), ormtext.down_revision(content).alias("down_revision")
+        "path",
+        text.dirname(F.col("path")).alias("folder"),
+        ormtext.revision(content).alias("revision"),
+        ormtext.down_revision(content).alias("down_revision"),
+    )
+    parents = revisions.groupBy("folder", F.col("revision").alias("down_revision")).agg(
+        F.min("path").alias("parent_path"), F.count(F.lit(1)).alias("candidates")
     )
-    parents = revisions.select(F.col("revision").alias("down_revision"), F.col("path").alias("parent_path"))
-    joined = revisions.join(parents, "down_revision", "left")
+    joined = revisions.join(parents, ["folder", "down_revision"], "left")
     state = F.when(F.col("down_revision").isNull(), "root").when(F.col("parent_path").isNull(), "missing")
     return joined.select(
-        "path", "revision", "down_revision", "parent_path", F.coalesce(state, F.lit("linked")).alias("link")
+        "path",
+        "revision",
+        "down_revision",
+        "parent_path",
+        F.coalesce("candidates", F.lit(0)).alias("candidates"),
+        F.coalesce(state, F.lit("linked")).alias("link"),
     )

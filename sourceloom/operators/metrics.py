@@ -108,7 +108,12 @@ def check_threshold(threshold: int) -> None:
 
 
 def violations(files: DataFrame, threshold: int = 1500, excludes: list[str] | None = None) -> DataFrame:
-    """Files over the line threshold, longest first.
+    """Files over the line threshold, longest first."""
+    return _violations(files, threshold, excludes).orderBy(F.desc("lines"), "file")
+
+
+def _violations(files: DataFrame, threshold: int, excludes: list[str] | None) -> DataFrame:
+    """Files over the line threshold, in any order.
 
     Lines are counted first (narrow); only files over the threshold go through the complexity stage.
     """
@@ -126,7 +131,7 @@ def violations(files: DataFrame, threshold: int = 1500, excludes: list[str] | No
         complexity.alias("complexity"),
         scoring.severity(lines, F.lit(threshold)).alias("severity"),
         scoring.recommendations(lines, functions, complexity, F.col("language")).alias("recommendations"),
-    ).orderBy(F.desc("lines"), "file")
+    )
 
 
 def codebase_summary(files: DataFrame, threshold: int = 1500, excludes: list[str] | None = None) -> DataFrame:
@@ -168,7 +173,7 @@ def report_documents(
             )
         ).alias("document"),
     )
-    found = violations(files, threshold, excludes).select(
+    found = _violations(files, threshold, excludes).select(
         F.lit("violation").alias("section"),
         "file",
         F.to_json(F.struct("file", "lines", "functions", "complexity", "severity", "recommendations")).alias(

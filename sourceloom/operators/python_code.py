@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.masking import CONTINUED, mask_python
-from ..functions.text import metric_language
+from ..functions.text import in_brackets, metric_language
 from .placement import spread
 
 _SCOPE = r"^[ \t\f]*(?:async[ \t]+)?(def|class)[ \t]+(\w+)"
-_SIGNATURE = r"^[ \t\f]*(?:async[ \t]+)?def[ \t]+\w+\s*(?:\[[^\]]*\])?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?:->[^:]*)?:"
+_DEF = r"^[ \t\f]*(?:async[ \t]+)?def[ \t]+\w"
+_SIGNATURE = rf"^[ \t\f]*(?:async[ \t]+)?def[ \t]+\w+\s*(?:\[[^\]]*\])?{in_brackets()}\s*(?:->[^:]*)?:"
+_SIGNATURE_END = r"^.*?\)\s*(?:->[^:]*)?:"
 _CLAUSE = r"^[ \t\f]*(?:async[ \t]+)?(if|elif|for|while|try|except|else)\b"
 _DECISIONS = r"\b(?=[aefiow])(?:if|elif|for|while|except|and|or|assert)\b"
 _CASE = r"^[ \t\f]*case[ \t]+\S.*:"
@@ -83,11 +85,14 @@ def python_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return lines.withColumn("is_head", head)
 
 
-def _line_tokens(text: Column, is_head: Column) -> Column:
-    """Decision points of a line; a signature and the guard word of a case do not count."""
+def _line_tokens(text: Column, is_head: Column, in_signature: Column, stays_inside: Column) -> Column:
+    """Decision points of a line; a signature, on one line or several, and the guard word of a case do not count."""
     case = is_head & text.rlike(_CASE)
     body = (
-        F.when(is_head & text.rlike(_SCOPE), F.regexp_replace(text, _SIGNATURE, ""))
+        F.when(is_head & text.rlike(_DEF) & ~text.rlike(_SIGNATURE), "")
+        .when(is_head & text.rlike(_SCOPE), F.regexp_replace(text, _SIGNATURE, ""))
+        .when(in_signature & stays_inside, "")
+        .when(in_signature, F.regexp_replace(text, _SIGNATURE_END, ""))
         .when(case, F.regexp_replace(text, r"^(\s*case\s.*?)\sif\s", "$1 "))
         .otherwise(text)
     )
@@ -111,6 +116,7 @@ def _events(lines: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False)
             "*",
             F.last("indent", True).over(by_line).alias("last_indent"),
             F.last("is_scope", True).over(by_line).alias("last_scope"),
+            F.last(F.when(head, F.col("text").rlike(_DEF) & ~F.col("text").rlike(_SIGNATURE)), True).over(by_line).alias("open_def"),
         )
     )
     top = F.col("last_indent") - F.when(F.col("last_scope"), 0).otherwise(1)
@@ -130,7 +136,8 @@ def _events(lines: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False)
             extra.get("before", none).cast("int").alias("before"),
         )
 
-    lines = lines.withColumn("tokens", _line_tokens(F.col("text"), head))
+    in_signature = ~head & F.coalesce(F.col("open_def"), F.lit(False)) & (F.col("depth") > 0)
+    lines = lines.withColumn("tokens", _line_tokens(F.col("text"), head, in_signature, F.col("depth") + F.col("delta") > 0))
     line = F.array(event("L", 2, F.lit(-1), tokens=F.col("tokens")))
     scope = F.array(
         event(

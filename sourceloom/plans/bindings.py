@@ -19,9 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document texts. Fewer files than cores are spread out first; a large table keeps its own splits."""
+    """Document texts. Fewer splits than cores are spread out first; a large table keeps its own splits."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    if len(rows.inputFiles()) < spark.sparkContext.defaultParallelism:
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         rows = spread(rows, "doc_id")
     return rows
 

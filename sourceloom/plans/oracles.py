@@ -469,7 +469,7 @@ _add(
 )
 _add(
     "revision_parents",
-    """SELECT a.path, 'r' || a.doc_id AS revision, 'r' || (a.doc_id - 8) AS down_revision, b.path AS parent_path, CASE WHEN b.path IS NULL THEN 'missing' ELSE 'linked' END AS link
+    """SELECT a.path, 'r' || a.doc_id AS revision, 'r' || (a.doc_id - 8) AS down_revision, b.path AS parent_path, CASE WHEN b.path IS NULL THEN 0 ELSE 1 END AS candidates, CASE WHEN b.path IS NULL THEN 'missing' ELSE 'linked' END AS link
        FROM db_text a LEFT JOIN db_text b ON b.doc_id = a.doc_id - 8 WHERE a.kind = 4""",
     _DB,
 )
@@ -586,7 +586,7 @@ hunk_words AS (SELECT w.doc_id, p.path, p.kind, i, n, total, CAST(floor(i / 10)
 _add(
     "diff_hunks",
     """SELECT path, CASE WHEN kind = 7 THEN hunks - k ELSE k + 1 END AS hunk_no, i + 1 AS old_start, 2 AS old_count, i + 1 AS new_start, 3 AS new_count, 2 AS added, 1 AS removed, 1 AS context, CAST(NULL AS VARCHAR) AS error FROM hunk_words
-       UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'No valid hunks found in diff' FROM diff_paths WHERE kind <> 5 AND doc_id NOT IN (SELECT doc_id FROM hunk_words)""",
+       UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'No valid hunks found in diff' FROM diff_paths WHERE doc_id NOT IN (SELECT doc_id FROM hunk_words)""",
     HUNKS,
 )
 # hunks listed backwards are applied front to back, so each starts one line earlier in the original
@@ -775,7 +775,7 @@ _add(
        WHEN key_path = 'ai.provider' AND value = 'other' THEN 'Provider must be one of openai, anthropic, google, local'
        WHEN key_path = 'languages.python.parser' AND value = 'magic' THEN 'Parser must be one of ast, tree-sitter, regex'
        WHEN key_path = 'version' AND value = '2.x' THEN 'Version must be in format ''X.Y'''
-       WHEN key_path IN ('ai', 'safety', 'thresholds.bogus') THEN 'Extra inputs are not permitted' END AS problem FROM merged) WHERE problem IS NOT NULL""",
+       WHEN key_path IN ('ai', 'safety') THEN 'must be an object' WHEN key_path = 'thresholds.bogus' THEN 'Extra inputs are not permitted' END AS problem FROM merged) WHERE problem IS NOT NULL""",
     LAYERS,
 )
 _add(
@@ -823,16 +823,24 @@ _add(
 )
 _add(
     "stream_ops_daily",
-    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS operation_type, count(*) AS operations FROM events
-       WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""",
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS operation_type, count(*) AS operations FROM events GROUP BY ALL""",
 )
 
 # --- ledger files -------------------------------------------------------------------------------------------
 
-_add("suggestions_load", "SELECT id, file_path, status FROM suggestions", SUGGESTIONS)
+_add(
+    "suggestions_load",
+    """SELECT 'good' AS half, id, file_path, status, NULL AS line FROM suggestions UNION ALL SELECT 'bad', NULL, NULL, NULL, CASE c_custkey % 3
+       WHEN 0 THEN 'not json ' || c_custkey WHEN 1 THEN '{"file_path":"x' || c_custkey || '"}' ELSE '{"id":"b' || c_custkey || '","created_at":"soon"}' END FROM customer""",
+    SUGGESTIONS,
+)
 _add("suggestions_save", "SELECT id, status, data FROM suggestions", SUGGESTIONS)
 _add("operations_load", "SELECT operation_id, timestamp, files_modified, rolled_back FROM ops", OPERATIONS)
-_add("operations_clear", "SELECT operation_id FROM ops WHERE false", OPERATIONS)
+_add(
+    "operations_clear",
+    "SELECT 0 AS after, count(*) AS before, 'Must set confirm=True to clear history. This action is permanent.' AS refused, count(*) AS kept FROM ops",
+    OPERATIONS,
+)
 _add(
     "config_load",
     """SELECT 'c' || c_custkey AS scope, unnest(['thresholds.maxLines', 'languages.python.testCommand', 'version']) AS key_path,

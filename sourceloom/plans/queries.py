@@ -526,7 +526,7 @@ def extract_query(spark, sf_dir):
 
 @query
 def diff_hunks(spark, sf_dir):
-    return diffs.diff_hunks(bl.diffs(spark, sf_dir).where("diff IS NOT NULL"))
+    return diffs.diff_hunks(bl.diffs(spark, sf_dir))
 
 
 @query
@@ -764,7 +764,7 @@ def config_violations(spark, sf_dir):
 def test_command(spark, sf_dir):
     customers = b.table(spark, sf_dir, "customer").selectExpr("'c' || CAST(c_custkey AS STRING) AS scope")
     asked = customers.select("scope", F.explode(F.array(F.lit("python"), F.lit("java"))).alias("language"))
-    return configs.test_commands(asked, bl.layers(spark, sf_dir))
+    return configs.test_commands(asked, configs.deep_merge(bl.layers(spark, sf_dir)))
 
 
 @query
@@ -827,7 +827,7 @@ def stream_ops_daily(spark, sf_dir):
     events = ledger_stream.stream_events(spark, f"{sf_dir}/event*.parquet", schema)
     daily = ledger_stream.daily_counts(events.withColumnRenamed("event_type", "operation_type"))
     rows = ledger_stream.run_to_table(
-        daily, ["day", "operation_type"], "append", "day timestamp, operation_type string, operations bigint"
+        daily, ["day", "operation_type"], "update", "day timestamp, operation_type string, operations bigint"
     )
     return rows.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
@@ -846,11 +846,17 @@ def _full_suggestions(spark, sf_dir) -> DataFrame:
 
 @query
 def suggestions_load(spark, sf_dir):
-    """Suggestions written as JSON lines and loaded again; corrupt lines would be set aside."""
+    """Suggestions written as JSON lines among corrupt, id-less and badly dated ones, and both halves of the ledger."""
     folder = _scratch(spark)
-    _full_suggestions(spark, sf_dir).write.json(folder)
-    records, _ = ledgers.load_suggestions(spark, folder)
-    return records.select("id", "file_path", "status")
+    good = _full_suggestions(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    bad = b.table(spark, sf_dir, "customer").selectExpr(
+        "CASE c_custkey % 3 WHEN 0 THEN 'not json ' || c_custkey WHEN 1 THEN '{\"file_path\":\"x' || c_custkey || '\"}' "
+        "ELSE '{\"id\":\"b' || c_custkey || '\",\"created_at\":\"soon\"}' END AS value"
+    )
+    good.unionByName(bad).write.text(folder)
+    records, lines = ledgers.load_suggestions(spark, folder)
+    records = records.select(F.lit("good").alias("half"), "id", "file_path", "status", F.lit(None).cast("string").alias("line"))
+    return records.unionByName(lines.select(F.lit("bad").alias("half"), "line"), allowMissingColumns=True)
 
 
 @query
@@ -871,11 +877,19 @@ def operations_load(spark, sf_dir):
 
 @query
 def operations_clear(spark, sf_dir):
-    """A saved operation ledger after a confirmed clearing: no rows."""
+    """Records of a saved ledger before and after a confirmed clearing, and why an unconfirmed one is refused."""
     folder = _scratch(spark)
     ledgers.save_operations(_operations(spark, sf_dir), folder)
+    saved = lambda: spark.read.schema(ledgers.OPERATIONS).parquet(folder)
+    before = saved().count()
+    try:
+        ledgers.clear_operations(spark, folder)
+    except ValueError as refusal:
+        refused = str(refusal)
+    kept = saved().count()
     ledgers.clear_operations(spark, folder, confirm=True)
-    return spark.read.schema(ledgers.OPERATIONS).parquet(folder).select("operation_id")
+    counts = {"before": F.lit(before), "refused": F.lit(refused), "kept": F.lit(kept)}
+    return saved().agg(F.count(F.lit(1)).alias("after")).withColumns(counts)
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SUGGESTIONS = (
     "id string, file_path string, data string, status string, created_at timestamp, updated_at timestamp, "
@@ -16,20 +16,20 @@ OPERATIONS = (
 
 
 def load_suggestions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Records of a JSON-lines ledger, and its corrupt lines (set aside, not erased)."""
-    schema = T._parse_datatype_string(SUGGESTIONS + ", _corrupt string")
-    rows = (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
-    )
-    bad = F.col("_corrupt").isNotNull() | F.col("id").isNull()
-    return rows.where(~bad).drop("_corrupt"), rows.where(bad).select(F.col("_corrupt").alias("line"))
+    """Records of a JSON-lines ledger, and its corrupt lines (set aside, not erased).
+
+    Every line that is not blank is in exactly one of the two: it is parsed once, and what is not whole JSON of the right
+    types, or has no id, is set aside as it was written.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("line"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = lines.select("line", F.from_json("line", SUGGESTIONS + ", _corrupt string", options).alias("r"))
+    good = F.coalesce(F.col("r._corrupt").isNull() & F.col("r.id").isNotNull(), F.lit(False))
+    return parsed.where(good).select("r.*").drop("_corrupt"), parsed.where(~good).select("line")
 
 
 def load_suggestion_object(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a ledger kept as one JSON object with the ids as keys."""
+    """Records of a ledger kept as one JSON object with the ids as keys. One task parses it: for the import of small files."""
     whole = spark.read.text(path, wholetext=True)
     records = F.from_json("value", "map<string,string>")
     return (
@@ -87,18 +87,36 @@ def load_configs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def _entries(document: Column) -> Column:
+    """Members of a JSON object by name; NULL for other values."""
+    return F.try_variant_get(document, "$", "map<string,variant>")
+
+
 def config_keys(configs: DataFrame, scope: str = "config_path", precedence: int = 0) -> DataFrame:
-    """Flat keys of configuration documents. Objects are opened level by level; lists stay values."""
-    entries = lambda c: F.explode(F.from_json(c, "map<string,string>"))
-    opened = configs.where(F.col("error").isNull() if "error" in configs.columns else F.lit(True)).select(
-        F.col(scope).alias("scope"), entries("document").alias("key_path", "value")
+    """Flat keys of configuration documents. Objects are opened by their JSON type, to any depth; lists stay values.
+
+    A text that looks like an object stays a text, and an empty object is a key with the value ``{}``. One pass over the
+    documents finds how deep their braces go at most, which bounds the rounds.
+    """
+    if "error" in configs.columns:
+        configs = configs.where(F.col("error").isNull())
+    braces = F.regexp_extract_all("document", F.lit("[{}]"), F.lit(0))
+    depths = F.aggregate(
+        braces,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda a, b: F.struct(
+            (a.now + F.when(b == "{", 1).otherwise(-1)).alias("now"),
+            F.greatest(a.most, a.now + F.when(b == "{", 1).otherwise(-1)).alias("most"),
+        ),
     )
-    nested = F.startswith(F.ltrim("value"), F.lit("{"))
-    for _ in range(3):  # a configuration is at most four levels deep
+    depth = configs.agg(F.max(depths.most)).first()[0] or 0
+    opened = configs.select(F.col(scope).alias("scope"), F.explode(_entries(F.try_parse_json("document"))).alias("key_path", "v"))
+    full = F.size(F.map_keys(_entries(F.col("v")))) > 0
+    for _ in range(depth - 1):
         deeper = (
-            opened.where(nested)
-            .select("scope", F.col("key_path").alias("parent"), entries("value").alias("key", "value"))
-            .select("scope", F.concat_ws(".", "parent", "key").alias("key_path"), "value")
+            opened.where(full)
+            .select("scope", F.col("key_path").alias("parent"), F.explode(_entries(F.col("v"))).alias("key", "v"))
+            .select("scope", F.concat_ws(".", "parent", "key").alias("key_path"), "v")
         )
-        opened = opened.where(~F.coalesce(nested, F.lit(False))).unionByName(deeper)
-    return opened.withColumn("precedence", F.lit(precedence))
+        opened = opened.where(~F.coalesce(full, F.lit(False))).unionByName(deeper)
+    return opened.select("scope", "key_path", F.col("v").cast("string").alias("value"), F.lit(precedence).alias("precedence"))

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import shared_dir
 
 
-def stream_events(spark: SparkSession, path: str, schema) -> DataFrame:
+def stream_events(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """File stream of events with the event time as TIMESTAMP, which watermarks need."""
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def latest_status(events: DataFrame, late: str = "45 days") -> DataFrame:
@@ -25,7 +28,8 @@ def latest_status(events: DataFrame, late: str = "45 days") -> DataFrame:
 
 
 def daily_counts(operations: DataFrame, late: str = "1 day") -> DataFrame:
-    """Operations per day and type; a day is emitted once the watermark has passed it."""
+    """Operations per day and type. In update mode every day is emitted, and again when it changes; in append mode a day is
+    emitted once, after the watermark has passed it."""
     day = F.window("ts", "1 day")
     counted = operations.withWatermark("ts", late).groupBy(day, "operation_type").agg(F.count(F.lit(1)).alias("operations"))
     return counted.select(F.col("window.start").alias("day"), "operation_type", "operations")

@@ -258,6 +258,7 @@ def test_sql_functions(spark):
 
 
 def test_every_query_has_reference_sql():
-    import __spark_entry__ as entry
+    from sourceloom.plans.oracles import ORACLES
+    from sourceloom.plans.queries import QUERIES
 
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
