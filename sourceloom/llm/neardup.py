@@ -242,8 +242,11 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, settings: Settings) ->
     texts = saved(texts.groupBy("node").agg(F.first("text").alias("text")))
 
     def centres(members: DataFrame, turn: int) -> DataFrame:
-        """(bucket, centre): two members of each bucket, others in each turn."""
-        order = F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("order"), "node")
+        """(bucket, centre): two members of each bucket, others in each turn.
+
+        One order of all nodes serves a turn, so that buckets with the same members have the same centres and pairs.
+        """
+        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node")
         ends = members.groupBy("bucket").agg(F.min(order).alias("first"), F.max(order).alias("last"))
         return ends.select("bucket", F.explode(F.array("first.node", "last.node")).alias("centre"))
 
