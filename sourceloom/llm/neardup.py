@@ -234,12 +234,14 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, settings: Settings) ->
     sketch = spark.sparkContext.broadcast(frequency_sketch(rows.select("text"), settings))
     sampled = saved(_sampled(rows, sketch, n_docs, settings))
 
-    nodes = sampled.groupBy("node").agg(F.first("bands").alias("bands"))
-    places = nodes.select("node", F.explode("bands").alias("bucket"))
+    nodes = sampled.groupBy("node").agg(F.first("bands").alias("bands"), F.min("id").alias("rep"))
+    places = nodes.select("node", "rep", F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     places = saved(places.join(shared, "bucket"))
-    texts = rows.select("node", "text").join(places.select("node").distinct(), "node")
+    wanted = places.select(F.col("node").alias("of"), "rep").distinct()  # one row of each text, however many copies it has
+    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("node") == F.col("of")))
     texts = saved(texts.groupBy("node").agg(F.first("text").alias("text")))
+    places = places.drop("rep")
 
     def centres(members: DataFrame, turn: int) -> DataFrame:
         """(bucket, centre): two members of each bucket, others in each turn.
