@@ -261,7 +261,8 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, settings: Settings) ->
         if before is not None:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         found = saved(_linked(pairs, texts, sketch, n_docs, settings))
-        return found if before is None else before.unionByName(found), not found.where("similar").isEmpty()
+        more = not found.where("similar").isEmpty()
+        return found if before is None else saved(before.unionByName(found).hint("rebalance")), more
 
     turn, compared, lonely = 0, None, places
     while True:
