@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
 from . import brace_code, python_code
@@ -91,10 +91,19 @@ def count_by_type(found: DataFrame) -> DataFrame:
 
 
 def construct_text(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Source text of each construct, cut from its file by line numbers."""
+    """Source text of each construct, cut from its file by line numbers.
+
+    The constructs of a file are gathered first, so that a file's text is joined once, not once per construct.
+    """
+    spans = found.groupBy("path").agg(F.collect_list(F.struct(*found.columns)).alias("spans"))
     lines = files.select("path", text.line_array(F.col("content")).alias("lines"))
-    body = F.array_join(F.slice("lines", F.col("start_line").cast("int"), F.col("line_count").cast("int")), "\n")
-    return found.join(lines, "path").withColumn("source_text", body).drop("lines")
+
+    def cut(span: Column) -> Column:
+        body = F.array_join(F.slice("lines", span.start_line.cast("int"), span.line_count.cast("int")), "\n")
+        return F.struct(span.alias("span"), body.alias("source_text"))
+
+    texts = spans.join(lines, "path").select(F.explode(F.transform("spans", cut)).alias("t"))
+    return texts.select("t.span.*", "t.source_text")
 
 
 def find_function(files: DataFrame, name: str) -> DataFrame:
