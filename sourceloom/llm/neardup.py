@@ -1,12 +1,13 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF word shingles, banded and verified.
 
 A document is its runs of five words (ASCII letters, digits and all other characters beyond ASCII; A-Z folded), each weighted
-by tf x (1 + ln((1 + N) / (1 + df))). Two documents are near duplicates if the weighted Jaccard similarity, sum of minima over
+by tf x (1 + ln((1 + N) / (1 + df))), with df at least ``level`` x N: rarer shingles weigh the same, so that the few words
+which make a near copy differ, and which no other document has, do not outweigh what a group of copies shares. Two documents are near duplicates if the weighted Jaccard similarity, sum of minima over
 sum of maxima, is 0.8 or more; a class is what such links connect.
 
 1. Document frequencies: a count-min sketch of fixed size, summed over all documents. It never counts too little, and too
-   much by about (shingles of a document / width) x N at any N, so shingles of less than about a thousandth of all
-   documents weigh nearly the same. Every document sees the same weights.
+   much by about (shingles of a document / width) x N at any N, a tenth of the level for documents of 500 words. Every document
+   sees the same weights.
 2. Sampling: for each of ``bands`` x ``rows`` samples the shingle with the smallest a = c / (y e^r), with t = floor(ln w / r +
    b), y = e^(r (t - b)), and r, c from gamma(2, 1), b uniform, all drawn from the shingle's hash. A sample is (shingle, t).
 3. Bands: exact copies count as one node; nodes that agree on a whole band share a bucket.
@@ -42,6 +43,7 @@ _HASH_MASK = np.uint64((1 << _HASH_BITS) - 1)
 class Settings:
     shingle: int = 5
     threshold: float = 0.8
+    level: float = 0.01
     bands: int = 10
     rows: int = 3
     sketch_width: int = 1 << 19
@@ -123,7 +125,7 @@ def frequency_sketch(docs: DataFrame, settings: Settings) -> np.ndarray:
 
 def weights(hashes: np.ndarray, times: np.ndarray, sketch: np.ndarray, n_docs: int, settings: Settings) -> np.ndarray:
     counts = [sketch[k][cells] for k, cells in enumerate(_cells(hashes, settings))]
-    seen = np.minimum(np.minimum.reduce(counts), np.float32(n_docs))
+    seen = np.clip(np.minimum.reduce(counts), np.float32(settings.level * n_docs), np.float32(n_docs))
     return (times * (1 + math.log1p(n_docs) - np.log1p(seen))).astype(np.float32)
 
 

@@ -115,14 +115,14 @@ def test_cuckoo_filter():
 # ----- near -------------------------------------------------------------------------------------------------------
 
 
-def near_by_hand(rows, threshold=0.8):
+def near_by_hand(rows, threshold=0.8, level=0.01):
     shingles = {}
     for k, (_, t) in enumerate(rows):
         found = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", t or "")]
         runs = [tuple(found[j : j + 5]) for j in range(len(found) - 4)] if len(found) >= 5 else [tuple(found)] if found else []
         shingles[k] = collections.Counter(runs)
     df = collections.Counter(s for c in shingles.values() for s in c)
-    weight = {k: {s: n * (1 + math.log((1 + len(rows)) / (1 + df[s]))) for s, n in c.items()} for k, c in shingles.items()}
+    weight = {k: {s: n * (1 + math.log((1 + len(rows)) / (1 + max(df[s], level * len(rows))))) for s, n in c.items()} for k, c in shingles.items()}
     parent = list(range(len(rows)))
 
     def find(k):
@@ -162,6 +162,8 @@ def test_near_duplicates(spark):
     rows = near_rows()
     got = neardup.near_duplicates(table(spark, rows).repartition(3))
     assert sorted(((r.doc_id, r.class_id, r.class_size) for r in got.collect()), key=str) == near_by_hand(rows)
+    got = neardup.near_duplicates(table(spark, rows), settings=neardup.Settings(level=0.05))
+    assert sorted(((r.doc_id, r.class_id, r.class_size) for r in got.collect()), key=str) == near_by_hand(rows, level=0.05)
     first = neardup.first_of_class(table(spark, rows))
     want = {c for _, c, _ in near_by_hand(rows)}
     assert first.columns == table(spark, []).columns
