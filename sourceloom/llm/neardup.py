@@ -6,7 +6,7 @@ which make a near copy differ, and which no other document has, do not outweigh
 sum of maxima, is 0.8 or more; a class is what such links connect.
 
 1. Document frequencies: a count-min sketch of fixed size, summed over all documents. It never counts too little, and too
-   much by about (shingles of a document / width) x N at any N, a tenth of the level for documents of 500 words. Every document
+   much by about (shingles of a document / width) x N at any N, a fifth of the level for documents of 500 words. Every document
    sees the same weights.
 2. Sampling: for each of ``bands`` x ``rows`` samples the shingle with the smallest a = c / (y e^r), with t = floor(ln w / r +
    b), y = e^(r (t - b)), and r, c from gamma(2, 1), b uniform, all drawn from the shingle's hash. A sample is (shingle, t).
@@ -46,7 +46,7 @@ class Settings:
     level: float = 0.01
     bands: int = 10
     rows: int = 3
-    sketch_width: int = 1 << 19
+    sketch_width: int = 1 << 18
     sketch_rows: int = 2
     seed: int = 7
 
@@ -100,7 +100,10 @@ def _cells(hashes: np.ndarray, settings: Settings) -> list[np.ndarray]:
 
 
 def frequency_sketch(docs: DataFrame, settings: Settings) -> np.ndarray:
-    """Document counts of all shingles, sketch_rows x sketch_width, summed in a tree of tasks."""
+    """Document counts of all shingles, sketch_rows x sketch_width, summed in a tree of tasks.
+
+    The tree is deep enough that the driver adds a few sketches (about the fourth root of the number of tasks).
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros((settings.sketch_rows, settings.sketch_width), np.float32)
@@ -119,7 +122,7 @@ def frequency_sketch(docs: DataFrame, settings: Settings) -> np.ndarray:
     parts = docs.mapInArrow(count, "sketch binary").rdd.map(lambda row: bytes(row.sketch))
     total = np.zeros((settings.sketch_rows, settings.sketch_width), np.float32)
     if parts.getNumPartitions():
-        total += np.frombuffer(parts.treeReduce(add), np.float32).reshape(total.shape)
+        total += np.frombuffer(parts.treeReduce(add, depth=4), np.float32).reshape(total.shape)
     return total
 
 
