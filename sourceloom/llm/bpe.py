@@ -81,7 +81,7 @@ def pieces(points: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.n
 class Encoder:
     """Keeps the ids of up to ``limit`` distinct pieces; beyond that it begins anew, so its memory is bounded."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.limit = limit

@@ -18,7 +18,7 @@ from sourceloom.session import shared_dir
 BLANKS = r"[\x20\x09-\x0D]"
 
 #: Bytes of text that one vectorised step handles; long documents are steps of their own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 _SHIPPED: set[str] = set()
@@ -120,6 +120,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def smaller(batch: pa.RecordBatch, column: int, limit: int = 8 * STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of at most ``limit`` bytes of one column, so that what a task builds from them stays small."""
+    for start, stop in steps(buffers(batch.column(column))[1], limit):
+        yield batch.slice(start, stop - start)
+
+
 def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``limit`` bytes, or a single longer row."""
     start, n = 0, len(offsets) - 1

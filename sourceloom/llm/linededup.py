@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourceloom.llm.common import saved, ship, text_or_empty
+from sourceloom.llm.common import saved, ship, smaller, text_or_empty
 
 BLANK_BYTES = b" \t\n\v\f\r"
 
@@ -124,7 +124,7 @@ def document_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, mark, high, low): the distinct keys of each row. ``mark`` is a hash of the text; with the id it names the row."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in smaller(whole, 2)):
             found = [list({k for k in line_keys(t.as_py()) if k}) for t in batch.column(2)]
             rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             high, low = _halves([k for x in found for k in x])
@@ -219,7 +219,7 @@ def without_lines(docs: DataFrame, keys: DataFrame, store: LineStore, id_col: st
     place = names.index(text_col)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in smaller(whole, place)):
             texts, counts, gone = [], [], []
             for text, drop in zip(batch.column(place), batch.column(len(names)), strict=True):
                 text = text.as_py() or ""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourceloom.llm.common import Words, buffers, byte_table, mixed, saved, ship, steps, text_or_empty
+from sourceloom.llm.common import Words, buffers, byte_table, mixed, saved, ship, smaller, steps, text_or_empty
 
 SEPARATORS = " \t\n\v\f\r"
 _MOST = np.uint64(2**64 - 1)
@@ -184,7 +184,7 @@ def without_repeats(docs: DataFrame, length: int = 50, seed: int = 16, id_col: s
     place = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in smaller(whole, place)):
             texts, totals, removed = [], [], []
             for text, spans in zip(batch.column(place), batch.column(len(names)), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()

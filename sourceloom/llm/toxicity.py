@@ -143,7 +143,7 @@ def _lower(word: bytes) -> str:
 class Scorer:
     """Scores the words of batches; remembers up to ``limit`` distinct words, then begins anew."""
 
-    def __init__(self, model: Model, limit: int = 500_000):
+    def __init__(self, model: Model, limit: int = 200_000):
         self.model, self.limit, self.known = model, limit, {}
 
     def rows(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
