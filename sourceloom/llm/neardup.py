@@ -12,7 +12,7 @@ sum of maxima, is 0.8 or more; a class is what such links connect.
    b), y = e^(r (t - b)), and r, c from gamma(2, 1), b uniform, all drawn from the shingle's hash. A sample is (shingle, t).
 3. Bands: exact copies count as one node; nodes that agree on a whole band share a bucket.
 4. Links: each bucket's members are compared with two of them, its centres, so a bucket of n gives fewer than 2 n pairs. Members
-   that no centre of the bucket is like are compared with other centres, round by round, until a round links nothing.
+   that no centre of the bucket is like are compared with other and more centres, round by round, until a round links nothing.
 5. Classes are connected components of the links. Buckets that still hold several classes get rounds with other centres for the
    members of other classes, until a round links nothing.
 
@@ -249,13 +249,15 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, settings: Settings) ->
     places = places.drop("rep")
 
     def centres(members: DataFrame, turn: int) -> DataFrame:
-        """(bucket, centre): two members of each bucket, others in each turn.
+        """(bucket, centre): two members of each bucket in the first turn, others and twice as many in each later one.
 
-        One order of all nodes serves a turn, so that buckets with the same members have the same centres and pairs.
+        The same orders of all nodes serve all buckets of a turn, so that buckets with the same members have the same
+        centres and pairs. Later turns have few members left to compare, so more centres end the rounds sooner.
         """
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node")
-        ends = members.groupBy("bucket").agg(F.min(order).alias("first"), F.max(order).alias("last"))
-        return ends.select("bucket", F.explode(F.array("first.node", "last.node")).alias("centre"))
+        orders = [F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("order"), "node") for k in range(min(2**turn, 16))]
+        ends = [pick(order).alias(f"{name}{k}") for k, order in enumerate(orders) for name, pick in (("first", F.min), ("last", F.max))]
+        nodes = F.array_distinct(F.array(*[f"{name}{k}.node" for k in range(len(orders)) for name in ("first", "last")]))
+        return members.groupBy("bucket").agg(*ends).select("bucket", F.explode(nodes).alias("centre"))
 
     def ordered(tries: DataFrame) -> DataFrame:
         return tries.where("node <> centre").withColumn("a", F.least("node", "centre")).withColumn("b", F.greatest("node", "centre"))
