@@ -15,6 +15,10 @@ sum of maxima, is 0.8 or more; a class is what such links connect.
    that no centre of the bucket is like are compared with other and more centres, round by round, until a round links nothing.
 5. Classes are connected components of the links. Buckets that still hold several classes get rounds with other centres for the
    members of other classes, until a round links nothing.
+6. Rounds only save comparisons; they don't end the search. The members of all buckets that still hold several classes are joined
+   exactly: each gives the prefix of its shingles, rarest first, without which no document can be similar to it, and members of
+   two classes that share a shingle of their prefixes are compared unless what is left of both is too light. So every pair
+   that shares a bucket is compared, connected, or shown to be below the threshold, however large and unlike the bucket.
 
 Defined results: a text of one to four words is one shingle; a text without words (null, empty) is in a class with exact
 copies only; repeated rows of an id are copies; a null id belongs to the class of its text, and the class id is the smallest
@@ -126,9 +130,13 @@ def frequency_sketch(docs: DataFrame, settings: Settings) -> np.ndarray:
     return total
 
 
+def _seen(hashes: np.ndarray, sketch: np.ndarray, settings: Settings) -> np.ndarray:
+    """Documents that have each shingle; never too few."""
+    return np.minimum.reduce([sketch[k][cells] for k, cells in enumerate(_cells(hashes, settings))])
+
+
 def weights(hashes: np.ndarray, times: np.ndarray, sketch: np.ndarray, n_docs: int, settings: Settings) -> np.ndarray:
-    counts = [sketch[k][cells] for k, cells in enumerate(_cells(hashes, settings))]
-    seen = np.clip(np.minimum.reduce(counts), np.float32(settings.level * n_docs), np.float32(n_docs))
+    seen = np.clip(_seen(hashes, sketch, settings), np.float32(settings.level * n_docs), np.float32(n_docs))
     return (times * (1 + math.log1p(n_docs) - np.log1p(seen))).astype(np.float32)
 
 
@@ -221,6 +229,74 @@ def _linked(pairs: DataFrame, texts: DataFrame, sketch: Broadcast, n_docs: int,
     return rows.mapInArrow(verify, "a binary, b binary, similar boolean")
 
 
+# ----- the exact join of members still apart ----------------------------------------------------------------------
+
+#: Bounds are this much looser than the threshold, so that rounding never loses a pair.
+_SLACK = 1e-6
+
+
+def prefixes(row: np.ndarray, hashes: np.ndarray, weight: np.ndarray, seen: np.ndarray, settings: Settings) -> tuple[np.ndarray, ...]:
+    """(place, total, rest, short) of the shingles in the prefixes of all rows, rarest first.
+
+    A similar document shares at least threshold x total of a row's weight, and 2 threshold / (1 + threshold) x total if it is
+    not lighter, so one of the shingles before the last so much weight. ``short`` marks the shingles of that second, shorter
+    prefix; ``rest`` is the weight behind a shingle. Shingles of one document only are left out: no other one shares them.
+    """
+    order = np.lexsort((hashes, seen, row))
+    row, weight = row[order], weight[order].astype(np.float64)
+    total = np.bincount(row, weight)[row] if len(row) else weight
+    upto = np.cumsum(weight)
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    before = np.repeat((upto - weight)[first], np.diff(np.append(first, len(row))))
+    rest = total - (upto - before)
+    share = (weight + rest) / np.where(total > 0, total, 1)
+    t = settings.threshold
+    wanted = np.flatnonzero((share >= t - _SLACK) & (seen[order] > 1))
+    return order[wanted], total[wanted], rest[wanted], share[wanted] >= 2 * t / (1 + t) - _SLACK
+
+
+ENTRIES = "hash bigint, node binary, root binary, total double, weight double, rest double, short boolean"
+
+
+def _entries(members: DataFrame, sketch: Broadcast, n_docs: int, settings: Settings) -> DataFrame:
+    """The prefixes of rows (node, root, text) as rows of ENTRIES."""
+    names = [x.split()[0] for x in ENTRIES.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(2))
+            for start, stop in steps(offsets):
+                part = offsets[start : stop + 1]
+                row, hashes, times = shingles(data[part[0] : part[-1]], part - part[0], settings.shingle)
+                weight = weights(hashes, times, sketch.value, n_docs, settings)
+                place, total, rest, short = prefixes(row, hashes, weight, _seen(hashes, sketch.value, settings), settings)
+                of = pa.array(start + row[place])
+                columns = [hashes[place].view(np.int64), batch.column(0).take(of), batch.column(1).take(of), total, weight[place].astype(np.float64), rest, short]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
+
+    return members.mapInArrow(cut, ENTRIES)
+
+
+def _candidates(members: DataFrame, sketch: Broadcast, n_docs: int, settings: Settings) -> DataFrame:
+    """(a, b) of all pairs of different roots that can be similar, from rows (node, root, text).
+
+    Entries of the most frequent root of a shingle are only joined with those of other roots, so one large class is never
+    joined with itself.
+    """
+    entries = saved(_entries(members, sketch, n_docs, settings))
+    sizes = entries.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("n"))
+    hashes = sizes.groupBy("hash").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    entries = entries.join(hashes.where("roots > 1").select("hash", "main"), "hash")
+    left = entries.where("root <> main").select("hash", *(F.col(c).alias(f"l_{c}") for c in ("node", "root", "total", "weight", "rest", "short")))
+    right = entries.drop("main")
+    lighter = F.struct("l_total", "l_node") < F.struct("total", "node")  # the lighter document needs its short prefix only
+    need = settings.threshold / (1 + settings.threshold) - _SLACK
+    most = F.least("l_weight", "weight") + F.least("l_rest", "rest")  # no more is shared from the first common shingle on
+    able = (F.col("l_root") != F.col("root")) & F.when(lighter, F.col("l_short")).otherwise(F.col("short")) & (most >= need * (F.col("l_total") + F.col("total")))
+    pairs = left.join(right, "hash").where(able)
+    return pairs.select(F.least("l_node", "node").alias("a"), F.greatest("l_node", "node").alias("b")).distinct()
+
+
 # ----- classes ----------------------------------------------------------------------------------------------------
 
 
@@ -292,6 +368,13 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, settings: Settings) ->
         if not more:
             break
 
+    apart = classes.select("node", "root").distinct()  # members of buckets that hold several classes
+    if not apart.isEmpty():
+        rest = _candidates(apart.join(texts, "node").select("node", "root", "text"), sketch, n_docs, settings)
+        compared, more = compare(rest, compared)
+        if more:
+            roots = components(compared.where("similar"))
+
     members = sampled.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     best = F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best")
     classes = saved(members.groupBy("root").agg(best, F.count(F.lit(1)).alias("class_size")))

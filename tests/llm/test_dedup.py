@@ -183,6 +183,24 @@ def test_large_group_of_near_copies(spark):
     assert {r.class_id for r in got} == {0} and {r.class_size for r in got} == {120}
 
 
+def test_pairs_hidden_in_a_large_bucket_of_unlike_pages(spark):
+    """Pages on one template, 0.71 alike, with a few pairs of 0.81 among them."""
+    rng = random.Random(11)
+    base = words(rng, 80)
+
+    def page(one, two):
+        copy = list(base)
+        copy[20], copy[66], copy[69] = one, two, two
+        return " ".join(copy)
+
+    rows = [(k, page(f"x{k}", f"y{k}")) for k in range(400)]
+    rows += [(2000 + 2 * k + j, page(f"z{k}", f"v{k}x{j}")) for k in range(14) for j in range(2)]
+    want = near_by_hand(rows, level=1.0)
+    assert collections.Counter(n for _, _, n in want) == {1: 400, 2: 28}
+    got = neardup.near_duplicates(table(spark, rows), settings=neardup.Settings(level=1.0))
+    assert sorted(((r.doc_id, r.class_id, r.class_size) for r in got.collect()), key=str) == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 440)] + [(5, 5)]
