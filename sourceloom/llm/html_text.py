@@ -2,10 +2,12 @@
 
 1. Each page is cut into blocks of text, the lines to compare: tags end blocks, character references are decoded, white
    space becomes one space. Scripts, styles, comments of the markup and the head give no lines.
-2. Pages are ordered by host, path, query and id (a range shuffle, so a host with a third of all pages is many tasks). Next to a
-   page are its nearest URLs; of the two, the one that shares the longer beginning of the path on the same host is its partner,
-   the earlier one among equals. Pages at the end of a task's range get their partner from the next range by a second,
-   small step over two pages per range.
+2. Pages are ordered by host, path, query and id (a range shuffle, so a host with a third of all pages is many tasks). Copies and
+   near copies of a page (0.9 of the characters of both in equal lines, menus and the like not counted) tell nothing of its
+   template. Its partner is the nearest URL before or after it on the same host that is none: of these two the one that
+   shares the longer beginning of the path, the earlier one among equals. Where a run of copies goes on in other ranges, it
+   is found among the outermost pages of each range and the next ones unlike them, which all tasks know. A page whose host
+   has only copies of it keeps its lines.
 3. The lines of page and partner are aligned by their longest common subsequence (bit-parallel, exact). Shared lines are the
    template of the site and are deleted,
 4. except inside the page's marked article (article, main or their roles): passages there are often repeated on other pages of
@@ -23,15 +25,18 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import ship
+from sourceloom.llm.common import saved, ship
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del".split())
@@ -49,6 +54,9 @@ URL = re.compile(r"[a-zA-Z][\w+.-]*://([^/?#]*)([^?#]*)(.*)", re.S)
 
 ARTICLE, BOILERPLATE = 1, 2
 
+#: Share of the characters in equal lines from which on pages count as near copies.
+ALIKE = 0.9
+
 
 def lines(page: str) -> tuple[list[str], bytes]:
     """(lines, kind of each): kind has the bits ARTICLE and BOILERPLATE."""
@@ -155,8 +163,22 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def _alike(a: dict, b: dict) -> bool:
+    """Whether two pages are copies or near copies: equal lines hold nearly all characters of both."""
+    if a["hashes"] == b["hashes"]:
+        return True
+    most = max(sum(a["sizes"]), sum(b["sizes"]))
+    left = Counter(b["hashes"])
+    same = 0
+    for line, size in zip(a["hashes"], a["sizes"], strict=True):
+        if size and left[line] > 0:
+            left[line] -= 1
+            same += size
+    return same >= ALIKE * most
+
+
 def _partner(page: dict, before: dict | None, after: dict | None) -> dict | None:
-    near = [x for x in (before, after) if x is not None and x["host"] == page["host"]]
+    near = [x for x in (before, after) if x is not None]
     return max(near, key=lambda x: _common(x["path"] + x["query"], page["path"] + page["query"]), default=None)
 
 
@@ -174,16 +196,14 @@ def _main_text(page: dict, partner: dict | None) -> str:
     return "\n\n".join(line for line, kept in zip(text.split("\n"), keep, strict=True) if kept)
 
 
-PARSED = "page_id bigint, url string, host string, path string, query string, hashes array<bigint>, kinds binary, body binary"
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("query", pa.string()), ("hashes", pa.list_(pa.int64())), ("kinds", pa.binary()), ("body", pa.binary())])
-_NEAR = pa.struct([("host", pa.string()), ("path", pa.string()), ("query", pa.string()), ("hashes", pa.list_(pa.int64()))])
+PARSED = "page_id bigint, url string, host string, path string, query string, hashes array<bigint>, sizes array<bigint>, kinds binary, body binary"
+_LINES = [("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("query", pa.string()), *_LINES, ("kinds", pa.binary()), ("body", pa.binary())])
+_NEAR = pa.schema([("host", pa.string()), ("path", pa.string()), ("query", pa.string()), *_LINES])
+_TIP = pa.schema([("range", pa.int32()), ("place", pa.int32()), *_NEAR])
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
 
-def _near(page: dict | None) -> dict | None:
-    return page and {k: page[k] for k in ("host", "path", "query", "hashes")}
-
-
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -192,54 +212,98 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host, path, query = location(url)
             hashes = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in found]
             body = zlib.compress("\n".join(found).encode("utf-8", "surrogatepass"), 1)
-            rows.append({"page_id": page_id, "url": url, "host": host, "path": path, "query": query, "hashes": hashes, "kinds": kinds, "body": body})
+            sizes = [0 if kind & BOILERPLATE else len(x) for x, kind in zip(found, kinds, strict=True)]
+            rows.append({"page_id": page_id, "url": url, "host": host, "path": path, "query": query, "hashes": hashes, "sizes": sizes, "kinds": kinds, "body": body})
         yield pa.RecordBatch.from_pylist(rows, _PARSED)
 
 
-def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of a range of pages in order; its first and last page are given on with what is known of their neighbours."""
-    schema = pa.schema([*_OUT, ("edge", pa.struct([*_PARSED, ("before", _NEAR), ("after", _NEAR), ("first", pa.bool_())]))])
-    before, page, out = None, None, []
+def _near(page: dict) -> dict:
+    return {k: page[k] for k in _NEAR.names}
 
-    def edge(first: bool, after: dict | None) -> dict:
-        return {"edge": {**page, "before": _near(before), "after": _near(after), "first": first}}
 
+def tips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range's first page and the next one unlike it on its host, the last one unlike its last page, and that one."""
+    first = second = last = unlike = None
     for batch in batches:
-        for after in batch.to_pylist():
-            if page is not None:
-                out.append(edge(True, after) if before is None else {"page_id": page["page_id"], "url": page["url"], "text": _main_text(page, _partner(page, before, after))})
-            before, page = page, after
-            if len(out) >= 500:
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out = []
-    if page is not None:
-        out.append(edge(before is None, None))
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema)
-
-
-def at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+        for page in batch.select(_NEAR.names).to_pylist():
+            if first is None:
+                first = page
+            elif second is None and page["host"] == first["host"] and not _alike(first, page):
+                second = page
+            if last is not None:
+                if last["host"] != page["host"]:
+                    unlike = None
+                elif not _alike(last, page):
+                    unlike = last
+                elif unlike is not None and _alike(unlike, page):
+                    unlike = None
+            last = page
+    found = [(place, page) for place, page in enumerate((first, second, unlike, last)) if page is not None]
+    if found:
+        yield pa.RecordBatch.from_pylist([{"range": TaskContext.get().partitionId(), "place": place, **page} for place, page in found], _TIP)
+
+
+def difference(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts of a range of pages in order, from the tips (range, place, page) of all ranges in order."""
+
+    def beyond(page: dict, pages: Iterator[dict]) -> dict | None:
+        """The nearest page of other ranges that is no copy."""
+        for other in pages:
+            if other["host"] != page["host"]:
+                return None
+            if not _alike(page, other):
+                return other
+        return None
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = TaskContext.get().partitionId()
+        earlier = [x for x in reversed(known.value) if x["range"] < here]
+        later = [x for x in known.value if x["range"] > here]
+        run: list[list] = []  # [page, partner before it] of the pages that wait for the next one unlike them
         out = []
-        for row in batch.to_pylist():
-            page = row["edge"]
-            before, after = page["before"] or row["lag"], page["after"] or row["lead"]
+
+        def ended(page: dict, before: dict | None, after: dict | None) -> None:
             out.append({"page_id": page["page_id"], "url": page["url"], "text": _main_text(page, _partner(page, before, after))})
-        yield pa.RecordBatch.from_pylist(out, _OUT)
+
+        past: list[dict] = []  # pages of this host, latest first: one of each run
+        for batch in batches:
+            for page in batch.to_pylist():
+                if past and past[0]["host"] != page["host"]:
+                    for x, before in run:
+                        ended(x, before, None)
+                    run, past = [], []
+                    earlier = []
+                waiting = []
+                for x, before in run:
+                    if _alike(x, page):
+                        waiting.append([x, before])
+                    else:
+                        ended(x, before, page)
+                before = next((x for x in past if not _alike(page, x)), None) or beyond(page, iter(earlier))
+                if past and past[0]["hashes"] == page["hashes"]:  # copies share one list of lines
+                    page["hashes"], page["sizes"] = past[0]["hashes"], past[0]["sizes"]
+                run = [*waiting, [page, before]]
+                latest = _near(page)
+                past = [latest, *(x for x in past if not _alike(latest, x))][:2]
+                if len(out) >= 500:
+                    yield pa.RecordBatch.from_pylist(out, _OUT)
+                    out.clear()
+        for x, before in run:
+            ended(x, before, beyond(x, iter(later)))
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _OUT)
+
+    return texts
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text), one row per row of ``pages``."""
-    ship(pages.sparkSession)
+    spark = pages.sparkSession
+    ship(spark)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     order = ["host", "path", "query", "page_id"]
-    placed = rows.mapInArrow(parse, PARSED).repartitionByRange(*order).sortWithinPartitions(*order)
-    near = "struct<host: string, path: string, query: string, hashes: array<bigint>>"
-    edge = f"struct<{PARSED.replace(' ', ': ').replace(',: ', ', ')}, before: {near}, after: {near}, first: boolean>"
-    out = placed.mapInArrow(difference, f"page_id bigint, url string, text string, edge {edge}")
-    done = out.where("edge is null").select("page_id", "url", "text")
-    # at most two rows per range
-    row = Window.orderBy("edge.host", "edge.path", "edge.query", "edge.page_id", F.col("edge.first").desc())
-    short = F.struct(*(F.col(f"edge.{k}").alias(k) for k in ("host", "path", "query", "hashes")))
-    edges = out.where("edge is not null").select("edge", F.lag(short).over(row).alias("lag"), F.lead(short).over(row).alias("lead"))
-    return done.unionByName(edges.mapInArrow(at_edges, "page_id bigint, url string, text string"))
+    placed = saved(rows.mapInArrow(parse, PARSED).repartitionByRange(*order).sortWithinPartitions(*order))
+    near = "host string, path string, query string, hashes array<bigint>, sizes array<bigint>"
+    ends = placed.mapInArrow(tips, f"range int, place int, {near}").collect()  # at most four rows of a range
+    known = spark.sparkContext.broadcast([x.asDict() for x in sorted(ends, key=lambda x: (x.range, x.place))])
+    return placed.mapInArrow(difference(known), "page_id bigint, url string, text string")

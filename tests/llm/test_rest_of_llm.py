@@ -336,6 +336,26 @@ def test_differencing_without_a_marked_article(spark, tasks):
     assert html_text.main_texts(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_copies_keep_their_text(spark, tasks):
+    """Copies and near copies at neighbouring URLs are no partners; pages of a host with copies only keep all."""
+    wrap = lambda *own: "".join(f"<p>{x}</p>" for x in ["Site name", *own, "All rights"])
+    long = [f"line {j} of a text with some length" for j in range(20)]
+    rows = [(k, f"http://h/a?utm={k:02d}", wrap(*long)) for k in range(12)]
+    rows += [(20 + k, f"http://h/b?print={k}", wrap(*long[:10], f"near {k}", *long[10:])) for k in range(3)]
+    rows += [(30, "http://h/c", wrap("other text")), *[(40 + k, f"http://only/{k}", wrap("alone")) for k in range(2)], (50, "http://h/c", wrap("other text"))]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        got = {r.page_id: r.text.split("\n\n") for r in html_text.main_texts(frame).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(got[k] == long for k in range(12))
+    assert all(got[20 + k] == [*long[:10], f"near {k}", *long[10:]] for k in range(3))
+    assert got[30] == got[50] == ["other text"] and got[40] == got[41] == ["Site name", "alone", "All rights"]
+
+
 def test_main_text_of_the_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     texts = {r.page_id: r.text for r in html_text.main_texts(pages).collect()}
