@@ -11,9 +11,12 @@
 3. The lines of page and partner are aligned by their longest common subsequence (bit-parallel, exact). Shared lines are the
    template of the site and are deleted,
 4. except inside the page's marked article (article, main or their roles): passages there are often repeated on other pages of
-   a site, and deleting them would lose text. Lines in menus, headers, footers, sidebars, notices, adverts, forms and reader
-   comments go by their element, class, id or role, also where the partner does not share them. If a page marks no article,
-   what differencing and these rules leave is its text.
+   a site, and deleting them would lose text. Lines that the partner does not share stay, inside the article and outside.
+5. Lines in menus, headers, footers, sidebars, forms and the like go by their element or role, also where the partner does not
+   share them. Of class and id, only an exact name (``ad``, ``comments``; not ``has-sidebar``) does that, and only for a small
+   block: no heading, no section of an article, nothing around an article or h1, and at most half of the page's text unless
+   an article is marked elsewhere. All other names delete only lines that the partner shares, also inside an article. An article
+   element that is named a comment or a teaser, or is in a block that is, is such a block and marks no article.
 
 Defined results: null html is empty; a page without a text line has the empty text; a null or unreadable URL is host and path "";
 unclosed elements end with what contains them, an unclosed comment or script ends the page; repeated rows are pages of their
@@ -43,29 +46,39 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
 CHROME = frozenset("nav footer header aside form menu dialog button".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-CHROME_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|notification|alert|sidebar|side-bar|menu|nav|navbar"
-    r"|navigation|breadcrumbs?|footer|header|masthead|comments?|discussion|disqus|share|sharing|social|related|recommended|popup|modal|newsletter|subscribe|login|search|pager|pagination|toolbar)(?:$|[\s_-])",
-    re.I,
+_NAMES = (
+    r"ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|notification|alert|sidebar|side-bar|menu|nav|navbar"
+    r"|navigation|breadcrumbs?|footer|header|masthead|comments?|discussion|disqus|share|sharing|social|related|recommended|popup|modal|newsletter|subscribe|login|search|pager|pagination|toolbar"
 )
+CHROME_NAME = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?:$|[\s_-])", re.I)
+EXACT_NAME = re.compile(rf"(?:^|\s)(?:{_NAMES})(?:$|\s)", re.I)
+#: Names with which an article element is no article of the page.
+OTHER_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|teasers?|related|recommended|promo|sponsor(?:ed)?)(?:$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 URL = re.compile(r"[a-zA-Z][\w+.-]*://([^/?#]*)([^?#]*)(.*)", re.S)
 
-ARTICLE, BOILERPLATE = 1, 2
+ARTICLE, BOILERPLATE, NAMED = 1, 2, 4
 
 #: Share of the characters in equal lines from which on pages count as near copies.
 ALIKE = 0.9
 
 
 def lines(page: str) -> tuple[list[str], bytes]:
-    """(lines, kind of each): kind has the bits ARTICLE and BOILERPLATE."""
+    """(lines, kind of each): kind has the bits ARTICLE, BOILERPLATE and NAMED (boilerplate if the partner shares it)."""
     out: list[str] = []
     kinds = bytearray()
     buffer: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements, and the bits that hold inside them
+    blocks: list[list] = []  # [depth, first line, line behind it, whether it may go, whether of comments or teasers], exact names
     bits, at = 0, 0
 
+    def closed(depth: int) -> None:
+        for block in blocks:
+            if block[2] is None and block[0] >= depth:
+                block[2] = len(out)
+
     def flush() -> None:
         if buffer:
             text = " ".join("".join(buffer).split())
@@ -94,6 +107,7 @@ def lines(page: str) -> tuple[list[str], bytes]:
             if inside is not None:
                 if any(tag not in INLINE for tag, _ in stack[inside:]):
                     flush()
+                closed(inside)
                 del stack[inside:]
                 bits = stack[-1][1] if stack else 0
             continue
@@ -111,18 +125,38 @@ def lines(page: str) -> tuple[list[str], bytes]:
         if name == "p" and any(tag == "p" for tag, _ in stack):  # a paragraph ends the one before
             inside = max(k for k, (tag, _) in enumerate(stack) if tag == "p")
             if all(tag in INLINE or tag == "p" for tag, _ in stack[inside:]):
+                closed(inside)
                 del stack[inside:]
                 bits = stack[-1][1] if stack else 0
         found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(match[3])} if match[3] else {}
         role = found.get("role", "").lower()
-        if name in ("article", "main") or role in ("main", "article"):
+        names = f"{found.get('class', '')} {found.get('id', '')}"
+        marked = name in ("article", "main") or role in ("main", "article")
+        within = any(block[2] is None and block[4] for block in blocks)
+        other = marked and name != "main" and role != "main" and (within or OTHER_ARTICLE.search(names))
+        if name == "h1" or marked and not other:
+            for block in blocks:
+                block[3] = block[3] and block[2] is not None  # open blocks are wrappers
+        if marked and not other:
             bits |= ARTICLE
-        elif name in CHROME or role in CHROME_ROLES or CHROME_NAME.search(f"{found.get('class', '')} {found.get('id', '')}"):
-            if name not in ("html", "body"):
-                bits |= BOILERPLATE
+        elif name in CHROME or role in CHROME_ROLES:
+            bits |= BOILERPLATE
+        elif name not in ("html", "body") and name not in INLINE and name not in HEADINGS and (other or CHROME_NAME.search(names)):
+            bits |= NAMED
+            if other or EXACT_NAME.search(names) and not (name == "section" and bits & ARTICLE):
+                blocks.append([len(stack), len(out), None, True, bool(other or OTHER_ARTICLE.search(names))])
         stack.append((name, bits))
     text_until(len(page))
     flush()
+    closed(0)
+    if small := [block for block in blocks if block[3]]:
+        sizes = np.array([0 if kind & BOILERPLATE else len(line) for line, kind in zip(out, kinds, strict=True)], np.int64)
+        in_article = np.frombuffer(bytes(kinds), np.uint8) & (ARTICLE | BOILERPLATE) == ARTICLE
+        for _, start, stop, *_ in small:
+            elsewhere = in_article[:start].any() or in_article[stop:].any()
+            if elsewhere or 2 * sizes[start:stop].sum() <= sizes.sum():
+                for k in range(start, stop):
+                    kinds[k] |= BOILERPLATE
     return out, bytes(kinds)
 
 
@@ -190,15 +224,14 @@ def _main_text(page: dict, partner: dict | None) -> str:
     shared = np.zeros(len(kinds), bool)
     if partner is not None:
         shared[shared_lines(np.asarray(page["hashes"]), np.asarray(partner["hashes"]))] = True
-    article = (kinds & ARTICLE) > 0
-    keep = (kinds & BOILERPLATE) == 0
-    keep &= article if article.any() else ~shared
+    article = (kinds & (ARTICLE | NAMED)) == ARTICLE
+    keep = ((kinds & BOILERPLATE) == 0) & (article | ~shared)
     return "\n\n".join(line for line, kept in zip(text.split("\n"), keep, strict=True) if kept)
 
 
-PARSED = "page_id bigint, url string, host string, path string, query string, hashes array<bigint>, sizes array<bigint>, kinds binary, body binary"
+PARSED = "page_id bigint, url string, host string, path string, query string, kinds binary, body binary"
 _LINES = [("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("query", pa.string()), *_LINES, ("kinds", pa.binary()), ("body", pa.binary())])
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("query", pa.string()), ("kinds", pa.binary()), ("body", pa.binary())])
 _NEAR = pa.schema([("host", pa.string()), ("path", pa.string()), ("query", pa.string()), *_LINES])
 _TIP = pa.schema([("range", pa.int32()), ("place", pa.int32()), *_NEAR])
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
@@ -210,13 +243,19 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found, kinds = lines(page or "")
             host, path, query = location(url)
-            hashes = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in found]
-            body = zlib.compress("\n".join(found).encode("utf-8", "surrogatepass"), 1)
-            sizes = [0 if kind & BOILERPLATE else len(x) for x, kind in zip(found, kinds, strict=True)]
-            rows.append({"page_id": page_id, "url": url, "host": host, "path": path, "query": query, "hashes": hashes, "sizes": sizes, "kinds": kinds, "body": body})
+            body = zlib.compress("\n".join(found).encode("utf-8", "surrogatepass"), 6)
+            rows.append({"page_id": page_id, "url": url, "host": host, "path": path, "query": query, "kinds": kinds, "body": body})
         yield pa.RecordBatch.from_pylist(rows, _PARSED)
 
 
+def _with_lines(page: dict) -> dict:
+    """The page and what stands for its lines: hashes, and characters outside menus and the like. Neither is shuffled."""
+    found = zlib.decompress(page["body"]).split(b"\n") if page["kinds"] else []
+    hashes = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in found]
+    sizes = [0 if kind & BOILERPLATE else len(x.decode("utf-8", "surrogatepass")) for x, kind in zip(found, page["kinds"], strict=True)]
+    return {**page, "hashes": hashes, "sizes": sizes}
+
+
 def _near(page: dict) -> dict:
     return {k: page[k] for k in _NEAR.names}
 
@@ -225,7 +264,8 @@ def tips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A range's first page and the next one unlike it on its host, the last one unlike its last page, and that one."""
     first = second = last = unlike = None
     for batch in batches:
-        for page in batch.select(_NEAR.names).to_pylist():
+        for row in batch.to_pylist():
+            page = _near(_with_lines(row))
             if first is None:
                 first = page
             elif second is None and page["host"] == first["host"] and not _alike(first, page):
@@ -267,7 +307,7 @@ def difference(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
         past: list[dict] = []  # pages of this host, latest first: one of each run
         for batch in batches:
-            for page in batch.to_pylist():
+            for page in map(_with_lines, batch.to_pylist()):
                 if past and past[0]["host"] != page["host"]:
                     for x, before in run:
                         ended(x, before, None)

@@ -356,6 +356,25 @@ def test_copies_keep_their_text(spark, tasks):
     assert got[30] == got[50] == ["other text"] and got[40] == got[41] == ["Site name", "alone", "All rights"]
 
 
+def test_names_and_small_articles_do_not_empty_a_page(spark):
+    """Comments as article elements, wrappers with chrome-like names, sections and headings of an article."""
+    text = "".join(f"<p>{x} of a text that is long enough</p>" for x in ("one", "two", "three"))
+    own = [f"{x} of a text that is long enough" for x in ("one", "two", "three")]
+    bodies = {
+        1: f"<div>{text}</div><section id=comments><article>I say</article></section>",
+        2: f"<div>{text}</div><article class=comment>I say</article><article class=comment>So do I</article>",
+        3: f'<div class="has-sidebar"><article>{text}</article></div>',
+        4: f'<div class="container header-fixed"><div>{text}</div></div>',
+        5: f'<article><section id="related-work">{text}</section></article>',
+        6: f'<article><section id="discussion">{text}</section></article>',
+        7: f'<div id="search"><article>{text}</article></div><div class=ad>Buy</div>',
+        8: f'<article><p>three of a text that is long enough</p></article><div>{text}</div>',
+    }
+    want = dict.fromkeys(range(1, 8), own) | {8: [own[2], *own]}
+    frame = spark.createDataFrame([(k, f"http://h{k}/", x) for k, x in bodies.items()], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text.split("\n\n") for r in html_text.main_texts(frame).collect()} == want
+
+
 def test_main_text_of_the_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     texts = {r.page_id: r.text for r in html_text.main_texts(pages).collect()}
