@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import exactdup, html_text, linededup, mixing, neardup, packing, substring, topk, toxicity, warc
+from sourceloom.llm import exactdup, html_text, linededup, merkle, mixing, neardup, packing, pieces, substring, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    ids = ids.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
+    texts = pieces.decoded(ids, model)
+    return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    proven = merkle.manifest(docs, columns, group_col="source", id_col="doc_id", fanout=3, tampered=[*map(F.col, columns[:-1]), text])
+    return proven.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_hash(F.col("proof")).alias("proof_sha256"),
+        F.col("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_top_k": op2_top_k,
@@ -99,8 +123,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression for the unsigned crc32 of an ASCII text: eight shifts for each character."""
+    codes = f"list_transform(regexp_extract_all({text}, '.'), lambda x: ord(x)::BIGINT)"
+    byte = "list_reduce(list_prepend(xor(c, x), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, x: {byte}), 4294967295::BIGINT)"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
 SQL: dict[str, str] = {
     "op2_top_k": r"""
 WITH v AS (
@@ -200,5 +238,54 @@ WITH l AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, source, sha256({" || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+           sha256({" || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars")))} || {_field_sql("CASE WHEN " + crc32_sql("doc_id::VARCHAR") + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}) AS found
+    FROM documents
+), l AS (
+    SELECT *, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+    FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)
+), low AS (
+    SELECT tree, 0 AS level, place, n, leaf AS node FROM l
+    UNION ALL
+    SELECT tree, level + 1, place // 3, (any_value(n) + 2) // 3, sha256(string_agg(node, '' ORDER BY place))
+    FROM low WHERE n > 1 GROUP BY tree, level, place // 3
+), sub AS (
+    SELECT tree, max(level) AS height, arg_max(node, level) AS subroot FROM low GROUP BY tree
+), top AS (
+    SELECT 0 AS level, tree AS place, (SELECT count(*) FROM sub) AS n, subroot AS node FROM sub
+    UNION ALL
+    SELECT level + 1, place // 3, (any_value(n) + 2) // 3, sha256(string_agg(node, '' ORDER BY place)) FROM top WHERE n > 1 GROUP BY level, place // 3
+), steps AS (
+    SELECT l.tree, l.place, low.level AS level,
+           coalesce(string_agg(low.node, '' ORDER BY low.place) FILTER (low.place < l.place // (3 ** low.level)::BIGINT), '') AS before,
+           coalesce(string_agg(low.node, '' ORDER BY low.place) FILTER (low.place > l.place // (3 ** low.level)::BIGINT), '') AS after
+    FROM l JOIN low ON l.tree = low.tree AND low.n > 1 AND low.place // 3 = l.place // (3 ** (low.level + 1))::BIGINT
+    GROUP BY l.tree, l.place, low.level
+), upper AS (
+    SELECT sub.tree, sub.height + top.level AS level,
+           coalesce(string_agg(top.node, '' ORDER BY top.place) FILTER (top.place < sub.tree // (3 ** top.level)::BIGINT), '') AS before,
+           coalesce(string_agg(top.node, '' ORDER BY top.place) FILTER (top.place > sub.tree // (3 ** top.level)::BIGINT), '') AS after
+    FROM sub JOIN top ON top.n > 1 AND top.place // 3 = sub.tree // (3 ** (top.level + 1))::BIGINT
+    GROUP BY sub.tree, sub.height, top.level
+), path AS (
+    SELECT * FROM steps UNION ALL
+    SELECT l.tree, l.place, level, before, after FROM l JOIN upper ON l.tree = upper.tree
+), fold AS (
+    SELECT tree, place, 0 AS level, found AS node FROM l
+    UNION ALL
+    SELECT fold.tree, fold.place, fold.level + 1, sha256(before || node || after)
+    FROM fold JOIN path ON fold.tree = path.tree AND fold.place = path.place AND fold.level = path.level
+), folded AS (
+    SELECT tree, place, arg_max(node, level) AS folded_root FROM fold GROUP BY tree, place
+), proof AS (
+    SELECT tree, place, sha256(string_agg(before || after, '' ORDER BY level)) AS proof_sha256 FROM path GROUP BY tree, place
+)
+SELECT l.doc_id, l.leaf, subroot, (SELECT arg_max(node, level) FROM top) AS root,
+       coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = (SELECT arg_max(node, level) FROM top) AS verified
+FROM l JOIN sub ON l.tree = sub.tree JOIN folded ON l.tree = folded.tree AND l.place = folded.place
+LEFT JOIN proof ON l.tree = proof.tree AND l.place = proof.place
 """,
 }
