@@ -77,28 +77,31 @@ def _height(n: int, fanout: int) -> int:
 
 
 def _blocks(leaves: DataFrame, order: Sequence[Column], fanout: int, levels: int) -> DataFrame:
-    """(grp, block, blocks, steps_up, leaves): aligned blocks of the leaves of each group, one row each."""
-    size = fanout**levels
-    rows = placed(leaves, "grp", order)
-    rows = rows.withColumn("block", F.floor(F.col("place") / size)).withColumn("blocks", F.ceil(F.col("place_of") / size))
-    inner = [c for c in leaves.columns if c != "grp"]
-    leaf = F.struct("place", *inner)
-    return rows.groupBy("grp", "block").agg(F.max("blocks").alias("blocks"), F.max("place_of").alias("size"), F.sort_array(F.collect_list(leaf)).alias("leaves"))
+    """(grp, block, leaves): aligned blocks of the leaves of each group, one row each."""
+    rows = placed(leaves, "grp", order).withColumn("block", F.floor(F.col("place") / fanout**levels))
+    leaf = F.struct("place", *[c for c in leaves.columns if c != "grp"])
+    return rows.groupBy("grp", "block").agg(F.sort_array(F.collect_list(leaf)).alias("leaves"))
+
+
+def _own_levels(block: int, n: int, fanout: int, levels: int) -> int:
+    """Reductions inside a block of n leaves: only a group's single block is reduced no further than to one node."""
+    return levels if block else min(levels, _height(n, fanout))
 
 
 def _block_roots(blocks: DataFrame, fanout: int, levels: int) -> DataFrame:
-    """(grp, block, blocks, node): the hash that each block's own leaves reduce to."""
+    """(grp, block, blocks, node): the hash that each block's own leaves reduce to, and the number of blocks of the group."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = []
-            for size, hashes in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                nodes.append(reduce_block(hashes, fanout, min(levels, _height(size, fanout)))[0])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.string())], ["grp", "block", "blocks", "node"])
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            nodes = [reduce_block(hashes, fanout, _own_levels(block, len(hashes), fanout, levels))[0] for block, hashes in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.string())], ["grp", "block", "node"])
 
     kind = blocks.schema["grp"].dataType.simpleString()
-    chosen = blocks.select("grp", "block", "blocks", "size", F.col("leaves.leaf").alias("hashes"))
-    return chosen.mapInArrow(reduce, f"grp {kind}, block bigint, blocks bigint, node string")
+    nodes = blocks.select("grp", "block", F.col("leaves.leaf").alias("hashes")).mapInArrow(reduce, f"grp {kind}, block bigint, node string")
+    nodes = saved(nodes)
+    sizes = nodes.groupBy(F.col("grp").alias("of")).agg((F.max("block") + 1).alias("blocks"))
+    return nodes.join(sizes, F.col("grp").eqNullSafe(F.col("of"))).select("grp", "block", "blocks", "node")
 
 
 def exchange(nodes: DataFrame, fanout: int) -> DataFrame:
@@ -165,14 +168,14 @@ def manifest(
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for hashes, of, root, over in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                steps = reduce_block(hashes, fanout, _height(len(hashes), fanout) if not over else levels)[1]
+            for block, hashes, of, root, over in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                steps = reduce_block(hashes, fanout, _own_levels(block, len(hashes), fanout, levels))[1]
                 over = [(s["before"], s["after"]) for s in over]
                 made = [[dict(zip(("before", "after"), s, strict=True)) for s in [*x, *over]] for x in steps]
                 kinds = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
-                yield pa.RecordBatch.from_arrays([pa.array(of, batch.schema.field(1).type.value_type), pa.array([root] * len(of)), pa.array(made, kinds)], ["of", "root", "top"])
+                yield pa.RecordBatch.from_arrays([pa.array(of, batch.schema.field(2).type.value_type), pa.array([root] * len(of)), pa.array(made, kinds)], ["of", "root", "top"])
 
-    tops = tops.select("hashes", "of", "root", "over").mapInArrow(spread, f"of {group_kind}, root string, top array<{_STEP}>")
+    tops = tops.select("block", "hashes", "of", "root", "over").mapInArrow(spread, f"of {group_kind}, root string, top array<{_STEP}>")
     subtrees = trees.select(F.col("grp").alias("tree"), F.col("block").alias("part"), F.col("node").alias("subroot"), "steps")
     upper = subtrees.join(tops, F.col("tree").eqNullSafe(F.col("of"))).select("tree", "part", "subroot", "root", F.concat("steps", "top").alias("steps"))
     whole = blocks.join(upper, F.col("grp").eqNullSafe(F.col("tree")) & (F.col("block") == F.col("part")))
@@ -181,10 +184,10 @@ def manifest(
         kinds = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
         for batch in batches:
             for k in range(batch.num_rows):
-                size, leaves, subroot, root, steps = (batch.column(c)[k].as_py() for c in range(5))
+                block, leaves, subroot, root, steps = (batch.column(c)[k].as_py() for c in range(5))
                 hashes = [x["leaf"] for x in leaves]
                 steps = [(s["before"], s["after"]) for s in steps]
-                own = reduce_block(hashes, fanout, min(levels, _height(size, fanout)))[1]
+                own = reduce_block(hashes, fanout, _own_levels(block, len(hashes), fanout, levels))[1]
                 proofs = [[*x, *steps] for x in own]
                 folded = [fold(x["found"], p) for x, p in zip(leaves, proofs, strict=True)]
                 made = pa.array([[dict(zip(("before", "after"), s, strict=True)) for s in p] for p in proofs], kinds)
@@ -193,7 +196,7 @@ def manifest(
                 yield pa.RecordBatch.from_arrays(columns, ["id", "leaf", "subroot", "root", "proof", "folded"])
 
     result = f"id {id_kind}, leaf string, subroot string, root string, proof array<{_STEP}>, folded string"
-    return whole.select("size", "leaves", "subroot", "root", "steps").mapInArrow(prove, result)
+    return whole.select("block", "leaves", "subroot", "root", "steps").mapInArrow(prove, result)
 
 
 def proof_hash(proof: Column) -> Column:

@@ -17,12 +17,12 @@ _TIE = "__tie"
 
 
 def placed(rows: DataFrame, group: str, order: Sequence[Column], name: str = "place") -> DataFrame:
-    """``rows`` with the place (from 0) of each row in its group, and the group's size as ``<name>_of``.
+    """``rows`` with the place (from 0) of each row in its group.
 
-    Rows are dealt by ranges of (group, order) and sorted, numbered inside their range, and moved on by the rows that the group
-    has in earlier ranges: one small row per range and group. So a group with most of the rows is spread over many ranges; equal
-    rows too, as the number of the row among the given ones breaks ties. The result is written once, so a place does not change
-    when tasks are repeated.
+    Rows are dealt by ranges of (group, order) and sorted, and numbered inside their range. Only a range's first group can have
+    rows in earlier ranges, so what the numbers are moved on by is one row for each range, which is broadcast. A group with most
+    of the rows is spread over many ranges; equal rows too, as the number of a row among the given ones breaks ties. The numbered
+    rows are written once, so a place does not change when tasks are repeated.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -32,7 +32,7 @@ def placed(rows: DataFrame, group: str, order: Sequence[Column], name: str = "pl
     at = dealt.columns.index(group)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, seen = TaskContext.get().partitionId(), None, 0
+        part, last, seen, groups = TaskContext.get().partitionId(), (), 0, -1
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -41,24 +41,26 @@ def placed(rows: DataFrame, group: str, order: Sequence[Column], name: str = "pl
             starts = np.flatnonzero(np.diff(codes, prepend=-1))
             sizes = np.diff(np.append(starts, len(codes)))
             inside = np.arange(len(codes)) - np.repeat(starts, sizes)
-            first = (values[codes[0]],)
-            if first == last:
+            goes_on = (values[codes[0]],) == last
+            if goes_on:
                 inside[: sizes[0]] += seen
-            else:
-                seen = 0
-            seen = int(sizes[-1]) + (seen if len(starts) == 1 else 0)
+            number_of_group = np.repeat(np.arange(len(starts)), sizes) + groups + (not goes_on)
+            seen = int(inside[-1]) + 1
+            groups = int(number_of_group[-1])
             last = (values[codes[-1]],)
-            columns = [pa.array(np.full(len(codes), part, np.int32)), pa.array(inside.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "__part", "__inside"])
+            columns = [np.full(len(codes), part, np.int32), number_of_group.astype(np.int64), inside.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns)], [*batch.schema.names, "__part", "__nth", "__inside"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
-    numbered = saved(dealt.mapInArrow(number, f"{fields}, __part int, __inside bigint"))
-    counts = numbered.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__range")).count()
-    whole = Window.partitionBy("__group")
-    before = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    moves = counts.select(
-        "__group", "__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"), F.sum("count").over(whole).alias(f"{name}_of")
-    )
-    same = F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__range"))
-    joined = numbered.join(moves, same)
-    return joined.withColumn(name, F.col("__inside") + F.col("__before")).drop("__group", "__range", "__part", "__inside", "__before")
+    numbered = saved(dealt.mapInArrow(number, f"{fields}, __part int, __nth bigint, __inside bigint"))
+    # of each range its first group, and the last one with its rows there
+    where = F.struct("__nth", "__inside")
+    ends = numbered.groupBy("__part").agg(F.min_by(group, where).alias("first"), F.max_by(F.struct(F.col(group).alias("g"), "__inside"), where).alias("last"))
+    known = ends.select("__part", F.col("last.g").alias("g"), (F.col("last.__inside") + 1).alias("n"), F.lit(1).alias("own"))
+    asked = ends.select("__part", F.col("first").alias("g"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("own"))
+    earlier = Window.partitionBy("g").orderBy("__part", "own").rowsBetween(Window.unboundedPreceding, -1)
+    moves = known.unionByName(asked).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where("own = 0")
+    moves = moves.select(F.col("__part").alias("__range"), "before")
+    joined = numbered.join(F.broadcast(moves), F.col("__part") == F.col("__range"))  # one row for each range
+    move = F.when(F.col("__nth") == 0, F.col("before")).otherwise(0)
+    return joined.withColumn(name, F.col("__inside") + move).select(*rows.columns, name)
