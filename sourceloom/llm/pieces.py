@@ -79,9 +79,10 @@ class Segmenter:
 
     def ids(self, chunks: list[bytes]) -> list[list[int]]:
         """Ids of each chunk. The library puts a marker before what it is given: it stands for a chunk's own first marker."""
+        encode = self.library.encode  # of one text: of a list it would start threads
         if not self.splits:
-            return self.library.encode(chunks)
-        found = self.library.encode([c[1:] if c[0] == 32 else c for c in chunks])
+            return [encode(c) for c in chunks]
+        found = [encode(c[1:] if c[0] == 32 else c) for c in chunks]
         return [self.marker if c == b" " else ids if c[0] == 32 else ids[1:] for c, ids in zip(chunks, found, strict=True)]
 
 
@@ -196,7 +197,10 @@ def decoded(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = SentencePieceProcessor(model_file=_local(model))
         for batch in batches:
-            texts = [library.decode(ids) if ids else "" for ids in (x.as_py() for x in batch.column(place))]
+            lists = batch.column(place)
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            ids = lists.flatten().to_numpy()
+            texts = [library.decode(ids[a:b].tolist()) if a < b else "" for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
     _send(rows.sparkSession, model)
