@@ -1,4 +1,4 @@
-"""Blanking of strings and comments, so keyword counts see code only.
+"""Blanking of strings and comments in SQL, so keyword counts see code only. Other languages: ``lexer``.
 
 One left-to-right regular expression finds strings and comments, whichever starts first. Single-line
 tokens vanish; a token that spans lines keeps its line breaks, so line numbers stay valid. Everything is a narrow column
@@ -9,52 +9,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# control characters used as marks (removed from the input first)
-OPEN, CLOSE, JOIN = "\u0001", "\u0002", "\u0003"
-CONTINUED = "\u0004"  # ends a physical line that a backslash continues
-
-_TRIPLE = r'"""[\s\S]*?(?<!\\)(?:\\\\)*+"""' + r"|'''[\s\S]*?(?<!\\)(?:\\\\)*+'''"
-_DOUBLE = r'"(?:|[^\n"]|[^\n]*?[^\\\n])(?:\\\\)*+"'
-_SINGLE = r"'(?:|[^\n']|[^\n]*?[^\\\n])(?:\\\\)*+'"
-# a regular expression stands after an operator, a bracket, or a word that an expression follows
-_REGEX = r"(?<=(?:[(=,:\[!&|?{};\n]|=>|\b(?:return|typeof|case))[ \t]{0,200})/(?![*/ ])(?:[^\n/]|[^\n]*?[^\\\n])(?:\\\\)*+/[a-z]*"
+from .lexer import CLOSE, OPEN
 
 # the lookahead rejects ordinary characters at once
-PYTHON_TOKENS = rf"(?=[\"'#])(?:({_TRIPLE})|{_DOUBLE}|{_SINGLE}|#[^\n]*)"
-SCRIPT_TOKENS = (
-    rf"(?=[\"'`/])(?:(/\*[\s\S]*?(?:\*/|\z)|`[\s\S]*?(?<!\\)(?:\\\\)*+`)|//[^\n]*|{_DOUBLE}|{_SINGLE}|{_REGEX})"
-)
-BRACE_TOKENS = rf'(?=["\'/])(?:(/\*[\s\S]*?(?:\*/|\z)|"""[\s\S]*?""")|//[^\n]*|{_DOUBLE}|{_SINGLE})'
 SQL_TOKENS = rf"(?=['/-])(?:(/\*[\s\S]*?(?:\*/|\z))|--[^\n]*|'[^'\n]*')"
+_MARKS = r"\x{1}-\x{6}"
 
 
 def _normalised(content: Column) -> Column:
     """Line breaks as \\n and no marks; most texts need no change."""
-    cleaned = F.regexp_replace(F.regexp_replace(content, rf"[{OPEN}-{CONTINUED}]", ""), r"\r\n?", "\n")
-    return F.when(content.rlike(rf"[\r{OPEN}-{CONTINUED}]"), cleaned).otherwise(content)
+    cleaned = F.regexp_replace(F.regexp_replace(content, f"[{_MARKS}]", ""), r"\r\n?", "\n")
+    return F.when(content.rlike(rf"[\r{_MARKS}]"), cleaned).otherwise(content)
 
 
-def _blank(text: Column, tokens: str) -> Column:
-    marked = F.regexp_replace(text, tokens, f"{OPEN}$1{CLOSE}")
+def mask_sql(content: Column) -> Column:
+    marked = F.regexp_replace(_normalised(content), SQL_TOKENS, f"{OPEN}$1{CLOSE}")
     # within a mark drop everything but line breaks; \G carries on from the previous match
-    emptied = F.regexp_replace(marked, rf"(?:{OPEN}|(?!\A)\G([\n{JOIN}]))[^\n{JOIN}{CLOSE}]*+", "$1")
+    emptied = F.regexp_replace(marked, rf"(?:{OPEN}|(?!\A)\G(\n))[^\n{CLOSE}]*+", "$1")
     return F.replace(emptied, F.lit(CLOSE), F.lit(""))
-
-
-def mask_python(content: Column) -> Column:
-    """Code without strings and comments; a backslash-continued line ends in ``CONTINUED``."""
-    joined = F.replace(_normalised(content), F.lit("\\\n"), F.lit(JOIN))
-    return F.replace(_blank(joined, PYTHON_TOKENS), F.lit(JOIN), F.lit(CONTINUED + "\n"))
-
-
-def mask_script(content: Column) -> Column:
-    return _blank(_normalised(content), SCRIPT_TOKENS)
-
-
-def mask_braces(content: Column) -> Column:
-    """Java and C#."""
-    return _blank(_normalised(content), BRACE_TOKENS)
-
-
-def mask_sql(content: Column) -> Column:
-    return _blank(_normalised(content), SQL_TOKENS)

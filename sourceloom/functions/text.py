@@ -105,14 +105,6 @@ def count_split_lines(content: Column) -> Column:
     return F.regexp_count(content, F.lit(boundary)) + F.when(last, 1).otherwise(0)
 
 
-def in_brackets(levels: int = 30) -> str:
-    """Pattern for a text in round brackets, nested up to ``levels`` deep; possessive, so it never backtracks."""
-    inner = r"[^()]*+"
-    for _ in range(levels - 1):
-        inner = rf"[^()]*+(?:\({inner}\)[^()]*+)*+"
-    return rf"\({inner}\)"
-
-
 def line_array(content: Column) -> Column:
     """Lines of a text; a final line break does not open another line."""
     return F.when(content == "", F.array().cast("array<string>")).otherwise(

@@ -11,13 +11,14 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.masking import mask_braces, mask_script, mask_sql
-from ..functions.text import count_lines, in_brackets, parser_language
+from ..functions import lexer
+from ..functions.lexer import brackets
+from ..functions.masking import mask_sql
+from ..functions.text import count_lines, parser_language
 from .placement import spread
 
 # a declaration mark: OPEN kind | name | parameters | heritage CLOSE
 _OPEN, _CLOSE = "\u0001", "\u0002"
-_PARAMS = in_brackets()
 _START = r"(?<=[\n{};,\u0002]|\A)([ \t]*+)"
 
 _SCRIPT_WORDS = "if|for|while|switch|catch|function|return|with|super|do|else|new|await|typeof"
@@ -36,7 +37,7 @@ for _language in ("javascript", "typescript"):
             _language,
             "function",
             r"(?=[aclvf])(?<![.\w$])(?:(?:const|let|var)\s+([\w$]+)\s*=\s*)?(?:async\s+)?function\b\s*\*?\s*([\w$]*)(?=\s*("
-            + _PARAMS
+            + brackets(4)
             + "))",
             "$1$2",
             "$3",
@@ -46,7 +47,7 @@ for _language in ("javascript", "typescript"):
             _language,
             "function",
             r"(?=[cl])(?<![.\w$])(?:const|let)(?=\s+([\w$]+)\s*(?::[^=;\n]+)?=\s*(?:async\b\s*)?("
-            + _PARAMS
+            + brackets(3)
             + r"|[\w$]+)\s*(?::[^=;{\n]+)?=>\s*\{)",
             "$1",
             "$2",
@@ -56,7 +57,7 @@ for _language in ("javascript", "typescript"):
             _language,
             "lambda",
             r"(?=[cl])(?<![.\w$\u0002])(?:const|let)(?=\s+([\w$]+)\s*(?::[^=;\n]+)?=\s*(?:async\b\s*)?("
-            + _PARAMS
+            + brackets(3)
             + r"|[\w$]+)\s*(?::[^=;{\n]+)?=>)",
             "$1",
             "$2",
@@ -67,7 +68,7 @@ for _language in ("javascript", "typescript"):
             "method",
             _START
             + r"(?:(?:static|async|get|set|public|private|protected|readonly|override)\s+)*+(?:\*\s*)?"
-            + rf"(?!(?:{_SCRIPT_WORDS})\b)([\w$#]+)(?:<[^<>(){{}}]*>)?\s*(?=({_PARAMS})\s*(?::[^=(){{}};]+)?\{{)",
+            + rf"(?!(?:{_SCRIPT_WORDS})\b)([\w$#]+)(?:<[^<>(){{}}]*>)?\s*(?=({brackets(4)})\s*(?::[^=(){{}};]+)?\{{)",
             "$2",
             "$3",
             "",
@@ -86,7 +87,7 @@ for _language in ("java", "csharp"):
         (
             _language,
             "constructor",
-            _START + rf"(?:{_MODIFIER}\s+)++([\w]+)\s*(?=({_PARAMS})\s*(?:throws\s[^{{;]+|:\s*(?:base|this)\s*{_PARAMS}\s*)?\{{)",
+            _START + rf"(?:{_MODIFIER}\s+)++([\w]+)\s*(?=({brackets(4)})\s*(?:throws\s[^{{;]+|:\s*(?:base|this)\s*{brackets(5)}\s*)?\{{)",
             "$2",
             "$3",
             "",
@@ -96,7 +97,7 @@ for _language in ("java", "csharp"):
             "method",
             _START
             + rf"(?:{_MODIFIER}\s+)*+(?:<[^>{{}}();]+>\s*)?(?!(?:{_TYPE_WORDS})\b)[\w.]+(?:<[^{{}}();]*>)?(?:\[\])*+\??\s+"
-            + rf"(?!(?:{_TYPE_WORDS})\b)([\w]+)\s*(?=({_PARAMS})\s*(?:throws\s[^{{;]+)?\{{)",
+            + rf"(?!(?:{_TYPE_WORDS})\b)([\w]+)\s*(?=({brackets(4)})\s*(?:throws\s[^{{;]+)?\{{)",
             "$2",
             "$3",
             "",
@@ -134,10 +135,10 @@ SCRIPT_LANGUAGES = ("javascript", "typescript")
 
 
 def masked(language: Column, content: Column) -> Column:
-    return (
-        F.when(language.isin(*SCRIPT_LANGUAGES), mask_script(content))
-        .when(language == "sql", mask_sql(content))
-        .otherwise(mask_braces(content))
+    """Code without strings and comments. Each lexer is given the texts of its languages only."""
+    script, sql = language.isin(*SCRIPT_LANGUAGES), language == "sql"
+    return F.when(sql, mask_sql(content)).otherwise(
+        F.coalesce(lexer.script_code(F.when(script, content)), lexer.brace_code(F.when(~script & ~sql, content)))
     )
 
 
@@ -159,13 +160,23 @@ def _by_language(language: Column, code: Column, names: Iterable[str], declarati
 
 def script_complexity(content: Column) -> Column:
     """Decision points of a JS or TS text plus one; a blank text has one."""
-    return F.regexp_count(mask_script(content), F.lit(DECISIONS)) + 1
+    return code_complexity(lexer.script_code(content))
 
 
 def script_function_count(content: Column) -> Column:
     """Functions of every form in a JS or TS text, counted by position."""
+    return code_function_count(lexer.script_code(content))
+
+
+def code_complexity(code: Column) -> Column:
+    """As ``script_complexity``, of ``lexer.script_code``."""
+    return F.regexp_count(code, F.lit(DECISIONS)) + 1
+
+
+def code_function_count(code: Column) -> Column:
+    """As ``script_function_count``, of ``lexer.script_code``."""
     marks = rf"{_OPEN}(?:function|lambda|method)\|"
-    return F.regexp_count(marked(mask_script(content), "typescript"), F.lit(marks))
+    return F.regexp_count(marked(code, "typescript"), F.lit(marks))
 
 
 def declarations(
@@ -179,17 +190,9 @@ def declarations(
         files.withColumn("language", parser_language(F.col("path")))
         .where(F.col("language").isin(*languages))
     )
-    # a few large input splits become many tasks before the text is worked on
-    code = (
-        spread(code, "path")
-        .select(
-            "path",
-            "language",
-            count_lines(F.col("content")).alias("lines"),
-            masked(F.col("language"), F.col("content")).alias("code"),
-        )
-        .select("path", "language", "lines", _by_language(F.col("language"), F.col("code"), languages, rules).alias("code"))
-    )
+    # a Python step would lose the placement by path, so the text is read first and shuffled without strings and comments
+    code = code.select("path", "language", count_lines(F.col("content")).alias("lines"), masked(F.col("language"), F.col("content")).alias("code"))
+    code = spread(code, "path").select("path", "language", "lines", _by_language(F.col("language"), F.col("code"), languages, rules).alias("code"))
     stream = code.select(
         "path",
         "language",
@@ -213,7 +216,7 @@ def declarations(
         .where(t.isin("\n", ";", "}") | mark | F.col("is_last"))
         .withColumn("all_decisions", F.max("decisions").over(whole))
     )
-    part = F.split(F.translate("t", _OPEN + _CLOSE, ""), "\\|", 4)
+    part = F.split(F.regexp_replace("t", f"[{_OPEN}{_CLOSE}{lexer.CODE_RANGE}]", ""), "\\|", 4)
     kind = F.when(mark, part[0])
     level = W.partitionBy("path", "depth").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     fields = F.struct(F.col("pos").alias("id"), kind.alias("kind"))

@@ -12,11 +12,11 @@ from . import brace_code, python_code
 FUNCTION_TYPES = ("function", "method", "constructor")
 CLASS_TYPES = ("class", "interface", "struct")
 
-_COLUMNS = ["path", "language", "type", "name", "start_line", "end_line", "parameters", "heritage"]
+_COLUMNS = ["path", "language", "type", "name", "start_line", "end_line", "parameters", "heritage", "decorators"]
 
 
 def constructs(files: DataFrame, rules: Iterable[tuple] = brace_code.DECLARATIONS) -> DataFrame:
-    """Functions, classes, interfaces and tables with lines, parameters and heritage.
+    """Functions, classes, interfaces and tables with lines, parameters, heritage and (Python) decorators.
 
     ``rules`` are the declaration patterns of the brace languages and SQL; callers may add their own rows.
     """
@@ -31,8 +31,9 @@ def constructs(files: DataFrame, rules: Iterable[tuple] = brace_code.DECLARATION
         "end_line",
         F.when(~is_class, F.col("detail")).alias("parameters"),
         F.when(is_class, F.col("detail")).alias("heritage"),
+        "decorators",
     )
-    others = brace_code.declarations(files, rules=rules).select(*_COLUMNS)
+    others = brace_code.declarations(files, rules=rules).withColumn("decorators", F.lit(None).cast("string")).select(*_COLUMNS)
     return python.unionByName(others).withColumn("line_count", F.col("end_line") - F.col("start_line") + 1)
 
 

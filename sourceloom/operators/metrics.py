@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import fixed_values as fv, scoring, text
+from ..functions import fixed_values as fv, lexer, scoring, text
 from ..functions.globs import excluded
-from .brace_code import script_complexity, script_function_count
+from .brace_code import code_complexity, code_function_count
 from .python_code import measured_files
 
 
@@ -56,11 +56,12 @@ def file_metrics(files: DataFrame) -> DataFrame:
     prepared = (
         supported(files)
         .select("path", "content", text.metric_language(F.col("path")).alias("language"))
+        .withColumn("code", lexer.script_code(F.when(~is_python, content)))
         .select(
             "path",
             loc_column().alias("loc"),
-            F.when(~is_python, F.when(blank, 0).otherwise(script_function_count(content))).alias("script_functions"),
-            F.when(~is_python, F.when(blank, 1).otherwise(script_complexity(content))).alias("script_complexity"),
+            F.when(~is_python, F.when(blank, 0).otherwise(code_function_count(F.col("code")))).alias("script_functions"),
+            F.when(~is_python, F.when(blank, 1).otherwise(code_complexity(F.col("code")))).alias("script_complexity"),
             F.when(is_python, content).otherwise("").alias("content"),
         )
     )

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.masking import CONTINUED, mask_python
-from ..functions.text import in_brackets, metric_language
+from ..functions import lexer
+from ..functions.lexer import CONTINUED, HEAD, NOTE, PART, SOFT
+from ..functions.text import metric_language
 from .placement import spread
 
 _SCOPE = r"^[ \t\f]*(?:async[ \t]+)?(def|class)[ \t]+(\w+)"
 _DEF = r"^[ \t\f]*(?:async[ \t]+)?def[ \t]+\w"
-_SIGNATURE = rf"^[ \t\f]*(?:async[ \t]+)?def[ \t]+\w+\s*(?:\[[^\]]*\])?{in_brackets()}\s*(?:->[^:]*)?:"
-_SIGNATURE_END = r"^.*?\)\s*(?:->[^:]*)?:"
+_SIGNATURE = rf"^[^{HEAD}]*{HEAD}"
 _CLAUSE = r"^[ \t\f]*(?:async[ \t]+)?(if|elif|for|while|try|except|else)\b"
 _DECISIONS = r"\b(?=[aefiow])(?:if|elif|for|while|except|and|or|assert)\b"
 _CASE = r"^[ \t\f]*case[ \t]+\S.*:"
@@ -46,10 +46,11 @@ def python_files(files: DataFrame) -> DataFrame:
 def python_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Non-blank masked lines with bracket depth and logical-line heads; the first line is always kept.
 
-    ``keep`` names file columns to carry along; they are set on the first line only.
+    The head of a declaration is one line, whatever number of lines it has (to ``last_no``); ``note`` has its decorators and
+    parameters. ``keep`` names file columns to carry along; they are set on the first line only.
     """
-    # a few large input splits become many tasks before the text is worked on
-    code = spread(files, "path").select("path", *keep, mask_python(F.col("content")).alias("code"))
+    # a Python step would lose the placement by path, so the text is read first and shuffled without strings and comments
+    code = spread(files.select("path", *keep, lexer.python_code(F.col("content")).alias("code")), "path")
     leads = F.regexp_extract_all("code", F.lit(r"(?md)^([ \t\f]*)(?:async[ \t]+)?(?:def|class)[ \t]"), F.lit(1))
     # everything per file is computed before its lines are exploded
     code = code.select("path", *keep, "code", F.array_distinct(F.transform(leads, _indent)).alias("levels"))
@@ -60,39 +61,41 @@ def python_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             *[F.when(F.col("pos") == 0, F.col(k)).alias(k) for k in keep],
             "levels",
             (F.col("pos") + 1).alias("line_no"),
-            "text",
+            F.substring_index("text", NOTE, 1).alias("text"),
+            F.when(F.contains("text", F.lit(NOTE)), F.substring_index("text", NOTE, -1)).alias("note"),
         )
         .where(F.col("text").rlike(r"\S") | (F.col("line_no") == 1))
     )
     delta = _count(F.col("text"), "([{") - _count(F.col("text"), ")]}")
     by_line = W.partitionBy("path").orderBy("line_no")
     before = by_line.rowsBetween(W.unboundedPreceding, -1)
-    lines = lines.withColumns({"delta": delta, "continued": F.endswith("text", F.lit(CONTINUED))})
+    last_no = F.col("line_no") + _count(F.col("text"), SOFT)
+    lines = lines.withColumns({"delta": delta, "continued": F.endswith("text", F.lit(CONTINUED)), "last_no": last_no})
     # windows of one ordering stand in one select, so that they share one pass
     lines = lines.select(
         "path",
         *keep,
         "levels",
         "line_no",
+        "last_no",
         F.translate("text", CONTINUED, "").alias("text"),
+        "note",
         "delta",
         F.coalesce(F.sum("delta").over(before), F.lit(0)).alias("depth"),
         F.coalesce(F.lag("continued").over(by_line), F.lit(False)).alias("joined"),
-        F.lag("line_no").over(by_line).alias("before"),
+        F.lag("last_no").over(by_line).alias("before"),
         F.lead("line_no").over(by_line).isNull().alias("is_last"),
     )
     head = (F.col("depth") <= 0) & ~F.col("joined") & F.col("text").rlike(r"\S")
     return lines.withColumn("is_head", head)
 
 
-def _line_tokens(text: Column, is_head: Column, in_signature: Column, stays_inside: Column) -> Column:
-    """Decision points of a line; a signature, on one line or several, and the guard word of a case do not count."""
+def _line_tokens(text: Column, is_head: Column) -> Column:
+    """Decision points of a line; a signature and the guard word of a case do not count."""
     case = is_head & text.rlike(_CASE)
     body = (
-        F.when(is_head & text.rlike(_DEF) & ~text.rlike(_SIGNATURE), "")
-        .when(is_head & text.rlike(_SCOPE), F.regexp_replace(text, _SIGNATURE, ""))
-        .when(in_signature & stays_inside, "")
-        .when(in_signature, F.regexp_replace(text, _SIGNATURE_END, ""))
+        F.when(is_head & text.rlike(_DEF) & ~F.contains(text, F.lit(HEAD)), "")
+        .when(is_head & text.rlike(_DEF), F.regexp_replace(text, _SIGNATURE, ""))
         .when(case, F.regexp_replace(text, r"^(\s*case\s.*?)\sif\s", "$1 "))
         .otherwise(text)
     )
@@ -116,7 +119,6 @@ def _events(lines: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False)
             "*",
             F.last("indent", True).over(by_line).alias("last_indent"),
             F.last("is_scope", True).over(by_line).alias("last_scope"),
-            F.last(F.when(head, F.col("text").rlike(_DEF) & ~F.col("text").rlike(_SIGNATURE)), True).over(by_line).alias("open_def"),
         )
     )
     top = F.col("last_indent") - F.when(F.col("last_scope"), 0).otherwise(1)
@@ -136,9 +138,11 @@ def _events(lines: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False)
             extra.get("before", none).cast("int").alias("before"),
         )
 
-    in_signature = ~head & F.coalesce(F.col("open_def"), F.lit(False)) & (F.col("depth") > 0)
-    lines = lines.withColumn("tokens", _line_tokens(F.col("text"), head, in_signature, F.col("depth") + F.col("delta") > 0))
-    line = F.array(event("L", 2, F.lit(-1), tokens=F.col("tokens")))
+    lines = lines.withColumn("tokens", _line_tokens(F.col("text"), head))
+    # the lines of a head with anything on them, counted from its first
+    soft = F.split("text", SOFT)
+    spread_over = F.array_join(F.filter(F.transform(soft, lambda x, k: F.when(x.rlike(r"\S"), k)), lambda k: k.isNotNull()), ",")
+    line = F.array(event("L", 2, F.lit(-1), tokens=F.col("tokens"), detail=F.when(F.col("last_no") > F.col("line_no"), spread_over)))
     scope = F.array(
         event(
             "S",
@@ -146,13 +150,13 @@ def _events(lines: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False)
             F.col("indent"),
             name=F.regexp_extract("text", _SCOPE, 2),
             word=F.col("scope"),
-            detail=F.nullif(F.regexp_extract("text", r"(\(.*\))[^()]*:", 1), F.lit("")),
+            detail=F.col("note"),
         )
     )
     clause = F.array(event("K", 3, F.col("indent"), word=F.col("word")))
     left = F.filter("levels", lambda v: (v >= F.col("indent")) & (v <= top))
     closing = F.transform(left, lambda v: event("C", 0, v, before=F.col("before")))
-    ending = F.transform("levels", lambda v: event("C", 7, v, before=F.col("line_no")))
+    ending = F.transform("levels", lambda v: event("C", 7, v, before=F.col("last_no")))
     after = F.col("depth") + F.col("delta")
     broken = (after < 0) | F.col("text").rlike("[\"']") | (F.col("is_last") & (after != 0))
     lines = lines.withColumn("broken", broken)
@@ -207,10 +211,16 @@ def python_declarations(files: DataFrame) -> DataFrame:
         F.col("closes.name").alias("name"),
         F.col("closes.start").alias("start_line"),
         F.greatest("before", "closes.start").alias("end_line"),
-        F.col("closes.detail").alias("detail"),
+        _written(F.substring_index("closes.detail", PART, -1)).alias("detail"),
+        _written(F.substring_index("closes.detail", PART, 1)).alias("decorators"),
     )
 
 
+def _written(note: Column) -> Column:
+    """Source text from the note of a head; none is NULL."""
+    return F.nullif(F.replace(note, F.lit(SOFT), F.lit("\n")), F.lit(""))
+
+
 def _attributed(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Events with the measured function they belong to.
 
@@ -332,14 +342,16 @@ def line_scopes(files: DataFrame) -> DataFrame:
     inside = F.col("depth") + F.when(opened, 1).otherwise(0)
     levels = F.when(opened | (inside == 0), F.array(inside)).otherwise(F.sequence(F.lit(1).cast("bigint"), inside))
     events = events.withColumn("inside", inside).withColumn("nest", F.explode(levels))
+    offsets = F.coalesce(F.split("detail", ",").cast("array<int>"), F.array(F.lit(0)))
     within = W.partitionBy("path", "nest").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     scope = F.last(F.when(opened, F.struct("name", "line_no", "word")), True).over(within)
     return (
         events.withColumn("scope", F.when(F.col("nest") > 0, scope))
         .where(F.col("kind") == "L")
+        .withColumn("offset", F.explode(offsets))
         .select(
             "path",
-            "line_no",
+            (F.col("line_no") + F.col("offset")).alias("line_no"),
             "inside",
             "nest",
             F.col("scope.name").alias("name"),

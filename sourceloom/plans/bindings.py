@@ -57,6 +57,13 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per document whose strings hold code, with deep brackets and heads of several lines; four lines per word."""
+    picked = f"CASE doc_id % 3 WHEN 0 THEN {_lines(lt.PYTHON_NESTED)} ELSE {_lines(lt.SCRIPT_NESTED)} END"
+    path = f"'lib/d' || CAST(doc_id AS STRING) || {_pick('doc_id % 3', lt.NESTED_EXTENSIONS)}"
+    return documents(spark, sf_dir).selectExpr(f"{path} AS path", _once(f"array_join({picked}, '\n')") + " AS content", "doc_id")
+
+
 def sql_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One SQL script per document."""
     return documents(spark, sf_dir).selectExpr(

@@ -19,7 +19,7 @@ def _text(template: str) -> str:
         elif piece == "{n}":
             parts.append("CAST($n AS STRING)")
         elif piece:
-            parts.append("'" + piece.replace("'", "''") + "'")
+            parts.append("'" + piece.replace("'", "''").replace("$", "$$") + "'")
     return " || ".join(parts) if parts else "''"
 
 
@@ -119,6 +119,31 @@ def _typed(base: str) -> str:
 JAVA = _typed("extends")
 CSHARP = _typed(":")
 
+#: Round brackets forty deep.
+NEST = "(" * 40 + "{n}" + ")" * 40
+
+# code inside of strings, deep brackets, decorators and heads of several lines: each word becomes four lines
+PYTHON_NESTED = case_sql(
+    [],
+    [
+        "@app.route('/p{i}',\n    methods=[{n}])\ndef f{i}(a, b='if {n}',\n    *, c=" + NEST + ") -> Dict[str, int]: return a if b else {n}",
+        "# note {n}\nclass K{i}(Base, key=\"{n}\"):\n    @property\n"
+        "    def p{i}(self): return f\"{self.a or f'{self.b and {n}}'} {{if}} {self.c!r:>{n}}\"",
+        'async def g{i}(\n    x): return f"""{x if x\n  else {n}} and\n  or {x}"""',
+        "if a and {n}:\n    def h{i}(): pass\nelse:\n    y = f'{a if b else {n}}'",
+    ],
+)
+SCRIPT_NESTED = case_sql(
+    [],
+    [
+        "function f{i}(a, b = g" + NEST + ",\n    c) {\n  return `x ${a ? `y ${b && {n}}` : c} if`;\n}",
+        "const h{i} = (a) => `${a || {n}}\n  if ${\n  a ?? b} while`\n;",
+        "class K{i} {\n  m{i}(a) { return /[`/\"]/.test(a) ? `{${a}}` : {n}; }\n}\n// `${ if",
+        "const s{i} = '`${if}';\nfoo(function (z) {\n  return `\\${if} ${z && `${z || {n}}`}`;\n});",
+    ],
+)
+NESTED_EXTENSIONS = [".py", ".js", ".ts"]
+
 # SQL scripts repeat in blocks of ten, without head lines
 SQL = case_sql(
     [],

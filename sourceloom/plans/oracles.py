@@ -175,7 +175,7 @@ constructs AS (
     SELECT path, language, 'constructor', 'K' || i, i + 1, i + 1, '(int a)', NULL FROM typed_rows WHERE pos = 10 AND n % 3 = 0
     UNION ALL
     SELECT path, 'sql', 'table', CASE WHEN n % 2 = 0 THEN 't' || i ELSE 'q' || n END, i + 1, CASE WHEN n % 2 = 0 THEN i + 1 ELSE least(i + 2, total) END, NULL, NULL FROM sql_code WHERE pos = 0),
-found AS (SELECT path, language, type, name, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, parameters, heritage, CAST(end_line - start_line + 1 AS BIGINT) AS line_count FROM constructs),
+found AS (SELECT path, language, type, name, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, parameters, heritage, CAST(NULL AS VARCHAR) AS decorators, CAST(end_line - start_line + 1 AS BIGINT) AS line_count FROM constructs),
 """
 )
 
@@ -319,6 +319,44 @@ _add(
 # --- constructs -----------------------------------------------------------------------------------
 
 _add("constructs", "SELECT * FROM found", CONSTRUCTS)
+_NEST = "repeat('(', 40) || n || repeat(')', 40)"
+NESTED = (
+    WORDS
+    + f"""
+places AS (SELECT doc_id, 'lib/d' || doc_id || {_list(lt.NESTED_EXTENSIONS)}[doc_id % 3 + 1] AS path, i, n, 4 * i AS l, i % 4 AS k, doc_id % 3 = 0 AS py,
+           ['python', 'javascript', 'typescript'][doc_id % 3 + 1] AS language FROM words),
+heads AS (
+    SELECT *, 'function' AS type, 'f' || i AS name, l + 3 AS start_line, l + 4 AS end_line, '(a, b=''if ' || n || ''',' || chr(10) || '    *, c=' || {_NEST} || ')' AS parameters,
+           NULL AS heritage, '@app.route(''/p' || i || ''',' || chr(10) || '    methods=[' || n || '])' AS decorators, 2 AS complexity FROM places WHERE py AND k = 0
+    UNION ALL
+    SELECT *, 'class', 'K' || i, l + 2, l + 4, NULL, '(Base, key="' || n || '")', NULL, NULL FROM places WHERE py AND k = 1
+    UNION ALL
+    SELECT *, 'function', 'p' || i, l + 4, l + 4, '(self)', NULL, '@property', 3 FROM places WHERE py AND k = 1
+    UNION ALL
+    SELECT *, 'function', 'g' || i, l + 1, l + 4, '(' || chr(10) || '    x)', NULL, NULL, 2 FROM places WHERE py AND k = 2
+    UNION ALL
+    SELECT *, 'function', 'h' || i, l + 2, l + 2, '()', NULL, NULL, 1 FROM places WHERE py AND k = 3
+    UNION ALL
+    SELECT *, 'function', 'f' || i, l + 1, l + 4, '(a, b = g' || {_NEST} || ',' || chr(10) || '    c)', NULL, NULL, 3 FROM places WHERE NOT py AND k = 0
+    UNION ALL
+    SELECT *, 'function', 'h' || i, l + 1, l + 3, '(a)', NULL, NULL, 3 FROM places WHERE NOT py AND k = 1
+    UNION ALL
+    SELECT *, 'class', 'K' || i, l + 1, l + 3, NULL, NULL, NULL, NULL FROM places WHERE NOT py AND k = 2
+    UNION ALL
+    SELECT *, 'method', 'm' || i, l + 2, l + 2, '(a)', NULL, NULL, 2 FROM places WHERE NOT py AND k = 2
+    UNION ALL
+    SELECT *, 'function', '<anonymous>', l + 2, l + 4, '(z)', NULL, NULL, 3 FROM places WHERE NOT py AND k = 3),
+"""
+)
+_add("declaration_heads", "SELECT path, language, type, name, start_line, end_line, parameters, heritage, decorators FROM heads", NESTED)
+_add("nested_code_complexity", "SELECT path, name, complexity, start_line AS line_number FROM heads WHERE type <> 'class'", NESTED)
+_add(
+    "nested_code_files",
+    """SELECT path, count(complexity) AS function_count,
+       CASE WHEN any_value(py) THEN coalesce(sum(complexity), 0) ELSE 1 + coalesce(sum(complexity - 1), 0) END AS total_complexity, CAST(NULL AS VARCHAR) AS python_metrics_error
+       FROM heads GROUP BY path""",
+    NESTED,
+)
 _add("constructs_filter_type", "SELECT path, name, start_line FROM found WHERE type = 'method'", CONSTRUCTS)
 _add("constructs_filter_language", "SELECT path, name, start_line FROM found WHERE language = 'typescript'", CONSTRUCTS)
 _add("constructs_filter_name", "SELECT path, name, start_line FROM found WHERE lower(name) LIKE '%m1%'", CONSTRUCTS)

@@ -282,6 +282,28 @@ def constructs_all(spark, sf_dir):
 QUERIES["constructs"] = QUERIES.pop("constructs_all")
 
 
+@query
+def declaration_heads(spark, sf_dir):
+    """Decorators and parameters as written, over several lines and forty brackets deep."""
+    found = constructs.constructs(b.nested_files(spark, sf_dir))
+    return found.select("path", "language", "type", "name", "start_line", "end_line", "parameters", "heritage", "decorators")
+
+
+@query
+def nested_code_complexity(spark, sf_dir):
+    """Functions whose decisions stand in f-strings and templates."""
+    files = b.nested_files(spark, sf_dir)
+    python = python_code.python_function_complexity(files).select("path", "name", "complexity", "line_number")
+    scripts = brace_code.script_function_complexity(files).select("path", "name", "complexity", "line_number")
+    return python.unionByName(scripts)
+
+
+@query
+def nested_code_files(spark, sf_dir):
+    """Functions and decisions of whole files whose strings hold code."""
+    return metrics.file_metrics(b.nested_files(spark, sf_dir)).select("path", "function_count", "total_complexity", "python_metrics_error")
+
+
 @query
 def constructs_filter_type(spark, sf_dir):
     return constructs.by_type(_constructs(spark, sf_dir), "method").select("path", "name", "start_line")

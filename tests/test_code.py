@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sourceloom.functions import masking, scoring, text
+from sourceloom.functions import lexer, scoring, text
 from sourceloom.operators import brace_code, constructs, metrics, python_code
 
 TWO = "def one(a):\n    return a\n\ndef two(b):\n    return b\n"
@@ -112,7 +112,7 @@ def test_grades_and_severity(spark):
 
 def test_masking_keeps_lines_and_survives_long_literals(spark):
     code = 'x = "' + "\\x00" * 50000 + '"\ny = """' + 'a"b\\n' * 50000 + '\n"""\nif z: pass\n'
-    got = spark.createDataFrame([(code,)], "c string").select(masking.mask_python(F.col("c"))).first()[0]
+    got = spark.createDataFrame([(code,)], "c string").select(lexer.python_code(F.col("c"))).first()[0]
     assert got == "x = \ny = \n\nif z: pass\n"
 
 

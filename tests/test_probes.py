@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from sourceloom.functions import masking, text
+from sourceloom.functions import text
 from sourceloom.operators import brace_code, configs, dbfiles, python_code
 from sourceloom.session import shared_dir
 from sourceloom.sources import ledgers
