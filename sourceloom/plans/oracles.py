@@ -190,6 +190,12 @@ _KEPT = """regexp_matches(path, '^(node_modules/|.*/node_modules/)') OR regexp_m
 _DEFAULT_OUT = "(starts_with(path, 'node_modules/') OR starts_with(path, 'build/'))"
 
 _add("scan_files", f"SELECT path FROM paths WHERE NOT ({_KEPT})", CODE)
+_add(
+    "scan_contents",
+    f"""SELECT p.path, p.ext, strlen(content) AS size, md5(content) AS content_md5 FROM paths p JOIN (
+        SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS content FROM code_lines GROUP BY doc_id) c ON p.doc_id = c.doc_id WHERE NOT ({_KEPT.replace("path", "p.path")})""",
+    CODE,
+)
 _add(
     "exclude_glob",
     """SELECT path, path LIKE 'tests/%' OR path LIKE '%/tests/%' AS recursive, path LIKE 'node_modules/%' AS folder,
@@ -882,5 +888,7 @@ _add(
 _add(
     "config_load",
     """SELECT 'c' || c_custkey AS scope, unnest(['thresholds.maxLines', 'languages.python.testCommand', 'version']) AS key_path,
-       unnest([CAST(c_custkey % 2000 AS VARCHAR), c_mktsegment, '1.0']) AS value FROM customer""",
+       unnest([CAST(c_custkey % 2000 AS VARCHAR), c_mktsegment || ' {{ "}', '1.0']) AS value, false AS broken FROM customer WHERE c_custkey % 10 NOT IN (3, 7)
+       UNION ALL SELECT 'c' || c_custkey, repeat('k.', 299) || 'k', CAST(c_custkey AS VARCHAR), false FROM customer WHERE c_custkey % 10 = 3
+       UNION ALL SELECT 'c' || c_custkey, NULL, NULL, true FROM customer WHERE c_custkey % 10 = 7""",
 )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import fixed_values as fv, globs, ormtext, scoring, sqltext, text
 from ..operators import brace_code, configs, constructs, dbfiles, diffs, ledger, metrics, migrations, prompts, python_code
 from ..session import shared_dir
-from ..sources import ledgers
+from ..sources import ledgers, trees
 from ..sources.files import file_lines
 from ..streaming import ledger_stream
 from . import bindings as b, bindings_ledger as bl
@@ -38,10 +38,24 @@ def stamp(ts: Column) -> Column:
 # --- scans, filters, scalar functions -------------------------------------------------
 
 
+def _written_code(spark, sf_dir) -> str:
+    """A folder with the code corpus as files."""
+    folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    trees.write_texts(b.code_files(spark, sf_dir), folder, "path", "content")
+    return folder
+
+
 @query
 def scan_files(spark, sf_dir):
-    """Files left by the default excludes and the caller's."""
-    return metrics.scan(b.code_files(spark, sf_dir), USER_EXCLUDES).select("path")
+    """Files of a written tree left by the default excludes and the caller's."""
+    return trees.scan_tree(spark, _written_code(spark, sf_dir), USER_EXCLUDES).select(F.col("rel_path").alias("path"))
+
+
+@query
+def scan_contents(spark, sf_dir):
+    """Size and hash of the contents of a written tree."""
+    found = trees.scan_tree(spark, _written_code(spark, sf_dir), USER_EXCLUDES)
+    return found.select(F.col("rel_path").alias("path"), "ext", "size", F.md5("content").alias("content_md5"))
 
 
 @query
@@ -500,9 +514,13 @@ def split_sql_migration(spark, sf_dir):
 
 @query
 def split_sql_files(spark, sf_dir):
-    """Files a split writes: parts of SQL scripts and of Django migrations."""
+    """Files a split writes, read back: parts of SQL scripts and of Django migrations."""
     sql = migrations.split_sql(b.sql_files(spark, sf_dir), 20).select("out_path", "out_content")
-    return sql.unionByName(migrations.split_django(b.database_files(spark, sf_dir), 20).select("out_path", "out_content"))
+    parts = sql.unionByName(migrations.split_django(b.database_files(spark, sf_dir), 20).select("out_path", "out_content"))
+    folder = f"{shared_dir(spark)}/split-{uuid.uuid4().hex}"
+    trees.write_texts(parts, folder)
+    found = trees.scan_tree(spark, folder, defaults=False, archives=False)
+    return found.select(F.col("rel_path").alias("out_path"), F.col("content").alias("out_content"))
 
 
 @query
@@ -916,15 +934,24 @@ def operations_clear(spark, sf_dir):
 
 @query
 def config_load(spark, sf_dir):
-    """Flat keys of one nested configuration document per customer."""
+    """Flat keys of one configuration file per customer, and the error of each broken one. Some are three hundred objects deep."""
+    deep = 300
     document = F.to_json(
         F.struct(
             F.struct((F.col("c_custkey") % 2000).alias("maxLines")).alias("thresholds"),
-            F.struct(F.struct(F.col("c_mktsegment").alias("testCommand")).alias("python")).alias("languages"),
+            F.struct(F.struct(F.concat("c_mktsegment", F.lit(" {{ \"}")).alias("testCommand")).alias("python")).alias("languages"),
             F.lit("1.0").alias("version"),
         )
     )
-    documents = b.table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("config_path"), document.alias("document")
-    )
-    return ledgers.config_keys(documents).select("scope", "key_path", "value")
+    nested = F.concat(F.lit('{"k":' * deep), F.col("c_custkey").cast("string"), F.lit("}" * deep))
+    kind = F.col("c_custkey") % 10
+    files = b.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("/config.json")).alias("out_path"),
+        F.when(kind == 3, nested).when(kind == 7, F.substring(document, 1, 25)).otherwise(document).alias("out_content"),
+    )
+    folder = f"{shared_dir(spark)}/configs-{uuid.uuid4().hex}"
+    trees.write_texts(files, folder)
+    loaded = ledgers.load_configs(spark, f"{folder}/*/config.json").withColumn("scope", F.regexp_extract("folder", "([^/]*)$", 1))
+    keys = ledgers.config_keys(loaded, "scope").select("scope", "key_path", "value", F.lit(False).alias("broken"))
+    broken = loaded.where("error IS NOT NULL").select("scope", F.lit(None).cast("string").alias("key_path"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("broken"))
+    return keys.unionByName(broken)

@@ -54,10 +54,3 @@ def file_lines(files: DataFrame) -> DataFrame:
     kept = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
     exploded = files.select("path", F.posexplode(kept).alias("pos", "text"))
     return exploded.select("path", (F.col("pos") + 1).alias("line_no"), "text")
-
-
-def write_texts(texts: DataFrame, folder: str, path: str = "out_path", content: str = "out_content") -> None:
-    """Generated files as a table of (out_path, out_content), written in parallel as Parquet."""
-    texts.select(F.col(path).alias("out_path"), F.col(content).alias("out_content")).write.mode("overwrite").parquet(
-        folder
-    )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions.flat_json import members
 
 SUGGESTIONS = (
     "id string, file_path string, data string, status string, created_at timestamp, updated_at timestamp, "
@@ -76,47 +78,25 @@ def load_configs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     texts = spark.read.text(paths, wholetext=True).select(
         F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("config_path"), "value"
     )
-    document = F.try_parse_json("value")
     return texts.select(
         "config_path",
         F.regexp_extract("config_path", "^(.*)/[^/]*$", 1).alias("folder"),
         F.col("value").alias("document"),
-        F.when(document.isNull(), F.concat(F.lit("Invalid JSON in configuration file "), F.col("config_path"))).alias(
+        F.when(members(F.col("value")).isNull(), F.concat(F.lit("Invalid JSON in configuration file "), F.col("config_path"))).alias(
             "error"
         ),
     )
 
 
-def _entries(document: Column) -> Column:
-    """Members of a JSON object by name; NULL for other values."""
-    return F.try_variant_get(document, "$", "map<string,variant>")
-
-
 def config_keys(configs: DataFrame, scope: str = "config_path", precedence: int = 0) -> DataFrame:
     """Flat keys of configuration documents. Objects are opened by their JSON type, to any depth; lists stay values.
 
-    A text that looks like an object stays a text, and an empty object is a key with the value ``{}``. One pass over the
-    documents finds how deep their braces go at most, which bounds the rounds.
+    A text that looks like an object stays a text, and an empty object is a key with the value ``{}``. Each document is read
+    once; documents that are no JSON have no keys.
     """
     if "error" in configs.columns:
         configs = configs.where(F.col("error").isNull())
-    braces = F.regexp_extract_all("document", F.lit("[{}]"), F.lit(0))
-    depths = F.aggregate(
-        braces,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda a, b: F.struct(
-            (a.now + F.when(b == "{", 1).otherwise(-1)).alias("now"),
-            F.greatest(a.most, a.now + F.when(b == "{", 1).otherwise(-1)).alias("most"),
-        ),
-    )
-    depth = configs.agg(F.max(depths.most)).first()[0] or 0
-    opened = configs.select(F.col(scope).alias("scope"), F.explode(_entries(F.try_parse_json("document"))).alias("key_path", "v"))
-    full = F.size(F.map_keys(_entries(F.col("v")))) > 0
-    for _ in range(depth - 1):
-        deeper = (
-            opened.where(full)
-            .select("scope", F.col("key_path").alias("parent"), F.explode(_entries(F.col("v"))).alias("key", "v"))
-            .select("scope", F.concat_ws(".", "parent", "key").alias("key_path"), "v")
-        )
-        opened = opened.where(~F.coalesce(full, F.lit(False))).unionByName(deeper)
-    return opened.select("scope", "key_path", F.col("v").cast("string").alias("value"), F.lit(precedence).alias("precedence"))
+    keys = configs.select(F.col(scope).alias("scope"), F.explode(members(F.col("document"))).alias("m"))
+    json = F.col("m.json")
+    value = F.when(json != "null", F.coalesce(F.try_parse_json(json).cast("string"), json))
+    return keys.select("scope", F.col("m.key_path").alias("key_path"), value.alias("value"), F.lit(precedence).alias("precedence"))
