@@ -74,7 +74,7 @@ def clear_operations(spark: SparkSession, path: str, confirm: bool = False) -> N
 
 
 def load_configs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Configuration files as (config_path, folder, document, error); invalid JSON gives an error."""
+    """Configuration files as (config_path, folder, document, error); invalid JSON gives an error. Spark skips files of no bytes."""
     texts = spark.read.text(paths, wholetext=True).select(
         F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("config_path"), "value"
     )
