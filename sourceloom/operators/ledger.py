@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.text import is_json_object
-from .blocks import BLOCK_ROWS, last_before
+from .blocks import last_before
 
 SUGGESTION_DATA = (
     "struct<suggestions:array<struct<type:string,title:string,description:string,strategy:string,"
@@ -150,17 +150,17 @@ def remove(state: DataFrame, tombstones: DataFrame) -> DataFrame:
     return state.join(tombstones.select("id").distinct(), "id", "left_anti")
 
 
-def transitions(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def transitions(events: DataFrame, tasks: int | None = None) -> DataFrame:
     """Each event with whether it is allowed.
 
     Approving needs a record that is neither approved nor executed; rejecting and resetting are always allowed. So an
     approval is refused exactly when the last deciding event before it was an approval that stuck. Rows
-    of one id may be a large share of all rows, hence the block-wise look-back.
+    of one id may be a large share of all rows, hence the look-back along ranges.
     """
     status = F.col("status")
     approval = status.isin("approved", "executed", "failed")
     deciding = F.when(status != "failed", status)
-    seen = last_before(events, "id", "ts", "event_id", {"decided": deciding}, block_rows)
+    seen = last_before(events, "id", "ts", "event_id", {"decided": deciding}, tasks)
     refused = approval & F.coalesce(F.col("decided").isin("approved", "executed"), F.lit(False))
     return seen.select(
         "id",

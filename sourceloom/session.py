@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: The temporary folder of this process, once it is needed.
 _LOCAL: list[str] = []
@@ -44,3 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
         _LOCAL.append(tempfile.mkdtemp(prefix="sourceloom-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return tempfile.mkdtemp(dir=_LOCAL[0])
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows, computed once and written to the shared checkpoint folder, so that a lost executor repeats nothing before them."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()

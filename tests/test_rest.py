@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sourceloom.functions import globs, ormtext, sql_functions, sqltext, text
@@ -149,18 +150,38 @@ def test_patches_match_sequential_application(spark, files):
     assert got["none"].error == diffs.NO_HUNKS and got["gone"].error.startswith("File not found") and "diff" in got["empty"].error
 
 
-def test_hot_keys_in_blocks_agree_with_plain_window(spark):
+@pytest.mark.parametrize("times", [1000, 1])
+@pytest.mark.parametrize("tasks", [1, 3, 16])
+def test_look_back_along_ranges_agrees_with_plain_window(spark, times, tasks):
+    """A hot key, all of its rows at one time or not, null keys and times, and batches of few rows."""
     kinds = F.element_at(F.array(*map(F.lit, ["pending", "approved", "failed", "executed", "rejected"])), (F.col("id") * 7 % 5 + 1).cast("int"))
     events = spark.range(4000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 90).cast("string"))).alias("key"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 7, None).otherwise(F.concat(F.lit("k"), (F.col("id") % 90).cast("string"))).alias("key"),
         F.col("id").alias("event_id"),
-        F.timestamp_seconds(F.col("id") * 13 % 1000).alias("ts"),
+        F.when(F.col("id") % 41 != 0, F.timestamp_seconds(F.col("id") * 13 % times)).alias("ts"),
         kinds.alias("status"),
     ).withColumnRenamed("key", "id")
-    assert list(blocks.hot_cuts(events, "id", "ts", 100)) == ["hot"]
-    plain = sorted(map(tuple, ledger.transitions(events).collect()))
-    cut = sorted(map(tuple, ledger.transitions(events, 100).collect()))
-    assert plain == cut and len(cut) == 4000
+    values = {"some": F.when(F.col("event_id") % 11 == 0, F.col("status")), "number": F.when(F.col("event_id") % 400 == 3, F.col("event_id"))}
+    earlier = W.partitionBy("id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
+    want = events.select("*", *[F.last(v, True).over(earlier).alias(n) for n, v in values.items()])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        found = blocks.last_before(events.repartition(5), "id", "ts", "event_id", values, tasks)
+        assert found.columns == want.columns
+        got = sorted(map(tuple, found.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted(map(tuple, want.collect()), key=str)
+    assert blocks.last_before(events.limit(0), "id", "ts", "event_id", values, tasks).count() == 0
+
+
+def test_one_key_is_spread_over_ranges(spark):
+    """All rows have one key and one time, and no range has most of them."""
+    events = spark.range(5000).select(F.lit("k").alias("id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1)).alias("ts"), F.lit("approved").alias("status"))
+    found = blocks.last_before(events, "id", "ts", "event_id", {"decided": F.col("status")}, 8)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1500 and found.where("decided IS NULL").count() == 1
 
 
 def test_suggestion_ledger(spark, tmp_path):
