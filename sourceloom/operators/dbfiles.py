@@ -1,10 +1,11 @@
-"""Detection and analysis of SQL, ORM and migration files. Every operator here is narrow."""
+"""Detection and analysis of SQL, ORM and migration files, and the chains of revisions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ormtext, sqltext, text
+from ..session import saved
 
 
 def typed(files: DataFrame) -> DataFrame:
@@ -149,3 +150,28 @@ def revision_parents(files: DataFrame) -> DataFrame:
         F.coalesce("candidates", F.lit(0)).alias("candidates"),
         F.coalesce(state, F.lit("linked")).alias("link"),
     )
+
+
+def revision_chains(files: DataFrame) -> DataFrame:
+    """Of each Alembic revision the file that its chain of predecessors begins with, and the number of steps to it.
+
+    ``ends`` says how the chain ends: at a ``root``, at a predecessor that is ``missing``, or in a ``cycle`` (then there is no first
+    file). Every file points to its predecessor, and in each round to where that one points, so a chain of n files takes about
+    log2(n) rounds, whatever its shape. Files whose chain is known no longer take part.
+    """
+    links = saved(revision_parents(files).select("path", "parent_path", "link"))
+    ended = links.where("parent_path IS NULL").select("path", F.col("path").alias("at"), F.lit(0).cast("bigint").alias("steps"), F.col("link").alias("ends"))
+    steps = links.where("parent_path IS NOT NULL").select("path", F.col("parent_path").alias("at"), F.lit(1).cast("bigint").alias("steps"), F.lit(None).cast("string").alias("ends"))
+    state = saved(ended.unionByName(steps))
+    rounds = max(links.count(), 1).bit_length() + 1  # longer than that only cycles go on
+    for _ in range(rounds):
+        going = state.where("ends IS NULL")
+        ahead = state.select(F.col("path").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("ends").alias("then"))
+        moved = going.join(ahead, "at").select("path", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("then").alias("ends"))
+        state = saved(state.where("ends IS NOT NULL").unionByName(moved))
+        if state.where("ends IS NULL").isEmpty():
+            break
+    known = F.col("ends").isNotNull()
+    return state.select(
+        "path", F.when(known, F.col("at")).alias("first_path"), F.when(known, F.col("steps")).alias("steps"), F.coalesce("ends", F.lit("cycle")).alias("ends")
+    )

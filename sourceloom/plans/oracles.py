@@ -517,6 +517,12 @@ _add(
        FROM db_text a LEFT JOIN db_text b ON b.doc_id = a.doc_id - 8 WHERE a.kind = 4""",
     _DB,
 )
+_add(
+    "revision_chains",
+    """SELECT path, first_value(path) OVER w AS first_path, (doc_id - first_value(doc_id) OVER w) // 8 AS steps, 'missing' AS ends
+       FROM (SELECT *, doc_id - 8 * row_number() OVER (ORDER BY doc_id) AS island FROM db_text WHERE kind = 4) WINDOW w AS (PARTITION BY island ORDER BY doc_id)""",
+    _DB,
+)
 _add(
     "db_analysis",
     f"""SELECT path, CASE WHEN t = 'sql_file' THEN 'sql' WHEN t IN ('django_model', 'sqlalchemy_model') THEN t ELSE {_KIND} END AS file_type,

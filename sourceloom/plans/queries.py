@@ -493,6 +493,11 @@ def revision_parents(spark, sf_dir):
     return dbfiles.revision_parents(b.database_files(spark, sf_dir))
 
 
+@query
+def revision_chains(spark, sf_dir):
+    return dbfiles.revision_chains(b.database_files(spark, sf_dir))
+
+
 @query
 def db_analysis(spark, sf_dir):
     found = dbfiles.analysis(b.database_files(spark, sf_dir))

@@ -150,6 +150,28 @@ def test_patches_match_sequential_application(spark, files):
     assert got["none"].error == diffs.NO_HUNKS and got["gone"].error.startswith("File not found") and "diff" in got["empty"].error
 
 
+def test_revision_chains_by_jumps(files):
+    """A chain of 10,000, a star, two cycles with files that lead into them, a missing predecessor, and a folder of its own."""
+    down = {f"c{k}": f"c{k - 1}" if k else None for k in range(10_000)}
+    down |= {"s": None} | {f"s{k}": "s" for k in range(50)} | {"gone": "nowhere", "gone2": "gone"}
+    down |= {"x": "y", "y": "z", "z": "x", "into": "x", "into2": "into", "self": "self"}
+    head = "from alembic import op\n"
+    body = lambda r, d: f"{head}revision = '{r}'\ndown_revision = {d!r}\ndef upgrade():\n    op.execute('x')\n"
+    made = files({f"alembic/versions/{r}.py": body(r, d) for r, d in down.items()} | {"fork/alembic/versions/c5.py": body("c5", "c4")})
+    got = {r.path: (r.first_path, r.steps, r.ends) for r in dbfiles.revision_chains(made.repartition(4)).collect()}
+    want = {"fork/alembic/versions/c5.py": ("fork/alembic/versions/c5.py", 0, "missing")}
+    for revision in down:
+        at, steps, seen = revision, 0, set()
+        while down[at] is not None and down[at] in down and at not in seen:
+            seen.add(at)
+            at, steps = down[at], steps + 1
+        cycle = at in seen
+        first = f"alembic/versions/{at}.py"
+        want[f"alembic/versions/{revision}.py"] = (None, None, "cycle") if cycle else (first, steps, "root" if down[at] is None else "missing")
+    assert got == want
+    assert dbfiles.revision_chains(made.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("times", [1000, 1])
 @pytest.mark.parametrize("tasks", [1, 3, 16])
 def test_look_back_along_ranges_agrees_with_plain_window(spark, times, tasks):
