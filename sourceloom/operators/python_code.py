@@ -43,7 +43,7 @@ def python_files(files: DataFrame) -> DataFrame:
     return files.where(metric_language(F.col("path")) == "python")
 
 
-def python_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def python_lines(files: DataFrame, keep: tuple[str, ...] = (), needs: bool = False) -> DataFrame:
     """Non-blank masked lines with bracket depth and logical-line heads; the first line is always kept.
 
     The head of a declaration is one line, whatever number of lines it has (to ``last_no``); ``note`` has its decorators and
@@ -53,9 +53,13 @@ def python_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     code = spread(files.select("path", *keep, lexer.python_code(F.col("content")).alias("code")), "path")
     leads = F.regexp_extract_all("code", F.lit(r"(?md)^([ \t\f]*)(?:async[ \t]+)?(?:def|class)[ \t]"), F.lit(1))
     # everything per file is computed before its lines are exploded
-    code = code.select("path", *keep, "code", F.array_distinct(F.transform(leads, _indent)).alias("levels"))
+    imports = [_file_imports(F.col("code")).alias("imports")] if needs else []
+    code = code.select("path", *keep, "code", F.array_distinct(F.transform(leads, _indent)).alias("levels"), *imports)
+    names = F.regexp_extract_all(F.substring_index("text", NOTE, 1), F.lit(r"[A-Za-z_]\w*"), F.lit(0))
+    used = F.filter("imports", lambda i: F.array_contains(names, i.accessible)) if needs else None
+    carried = ["needs"] if needs else []
     lines = (
-        code.select("path", *keep, "levels", F.posexplode(F.split("code", "\n")).alias("pos", "text"))
+        code.select("path", *keep, "levels", *(["imports"] if needs else []), F.posexplode(F.split("code", "\n")).alias("pos", "text"))
         .select(
             "path",
             *[F.when(F.col("pos") == 0, F.col(k)).alias(k) for k in keep],
@@ -63,6 +67,7 @@ def python_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             (F.col("pos") + 1).alias("line_no"),
             F.substring_index("text", NOTE, 1).alias("text"),
             F.when(F.contains("text", F.lit(NOTE)), F.substring_index("text", NOTE, -1)).alias("note"),
+            *([F.when(F.size(used) > 0, used).alias("needs")] if needs else []),
         )
         .where(F.col("text").rlike(r"\S") | (F.col("line_no") == 1))
     )
@@ -80,6 +85,7 @@ def python_lines(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "last_no",
         F.translate("text", CONTINUED, "").alias("text"),
         "note",
+        *carried,
         "delta",
         F.coalesce(F.sum("delta").over(before), F.lit(0)).alias("depth"),
         F.coalesce(F.lag("continued").over(by_line), F.lit(False)).alias("joined"),
@@ -103,10 +109,11 @@ def _line_tokens(text: Column, is_head: Column) -> Column:
     return F.regexp_count(body, F.lit(_DECISIONS)) + arm
 
 
-def _events(lines: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False) -> DataFrame:
+def _events(lines: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False, needs: bool = False) -> DataFrame:
     """Per line: closings it causes (C), a declaration (S), the line itself (L), a clause keyword (K).
 
-    With ``sparse``, lines without decision points are left out unless they are the first or show an error.
+    With ``sparse``, lines without decision points are left out unless they are the first or show an error; with ``needs`` also,
+    only those stay that use an import.
     """
     by_line = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     head = F.col("is_head")
@@ -161,6 +168,8 @@ def _events(lines: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False)
     broken = (after < 0) | F.col("text").rlike("[\"']") | (F.col("is_last") & (after != 0))
     lines = lines.withColumn("broken", broken)
     wanted = (F.col("tokens") > 0) | F.col("broken") | (F.col("line_no") == 1) if sparse else F.lit(True)
+    wanted = F.col("needs").isNotNull() if needs else wanted
+    carried = [F.col("needs")] if needs else []
     rows = F.concat(
         F.when(head, closing).otherwise(empty),
         F.when(F.col("scope").isNotNull(), scope).otherwise(empty),
@@ -168,14 +177,14 @@ def _events(lines: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False)
         F.when(F.col("word").isNotNull(), clause).otherwise(empty),
         F.when(F.col("is_last"), ending).otherwise(empty),
     )
-    return lines.select("path", *keep, "broken", F.explode(rows).alias("e")).select(
-        "path", *keep, "broken", "e.*"
+    return lines.select("path", *keep, "broken", *carried, F.explode(rows).alias("e")).select(
+        "path", *keep, "broken", *carried, "e.*"
     )
 
 
-def python_scope_events(files: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False) -> DataFrame:
+def python_scope_events(files: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False, needs: bool = False) -> DataFrame:
     """Ordered events with nesting depth: S opens a scope at ``depth``; C carries the scope it closes."""
-    events = _events(python_lines(files, keep), keep, sparse)
+    events = _events(python_lines(files, keep, needs), keep, sparse, needs)
     level = W.partitionBy("path", "level").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     kind = F.col("kind")
     mark = F.when(
@@ -330,23 +339,27 @@ def measured_files(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 # --- nearest enclosing declaration -------------------------------------------------
 
 
-def line_scopes(files: DataFrame) -> DataFrame:
-    """Every non-blank code line with each declaration around it, one row per nesting level.
+def _nested(events: DataFrame) -> DataFrame:
+    """Line and declaration events (L, S), one row per nesting level, with the ``scope`` around them at that level (``nest``).
 
     At level k the enclosing scope is the last one opened at that level, so one window on (path, level)
-    replaces an interval join; rows grow with nesting depth only. A declaration line belongs to the scope it opens, and a
-    module-level line appears once with level 0.
+    replaces an interval join; rows grow with nesting depth only. A declaration line belongs to the scope it opens.
     """
-    events = python_scope_events(python_files(files)).where(F.col("kind").isin("L", "S"))
     opened = F.col("kind") == "S"
     inside = F.col("depth") + F.when(opened, 1).otherwise(0)
     levels = F.when(opened | (inside == 0), F.array(inside)).otherwise(F.sequence(F.lit(1).cast("bigint"), inside))
     events = events.withColumn("inside", inside).withColumn("nest", F.explode(levels))
-    offsets = F.coalesce(F.split("detail", ",").cast("array<int>"), F.array(F.lit(0)))
     within = W.partitionBy("path", "nest").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     scope = F.last(F.when(opened, F.struct("name", "line_no", "word")), True).over(within)
+    return events.withColumn("scope", F.when(F.col("nest") > 0, scope))
+
+
+def line_scopes(files: DataFrame) -> DataFrame:
+    """Every non-blank code line with each declaration around it, one row per nesting level; level 0 is the module."""
+    events = python_scope_events(python_files(files)).where(F.col("kind").isin("L", "S"))
+    offsets = F.coalesce(F.split("detail", ",").cast("array<int>"), F.array(F.lit(0)))
     return (
-        events.withColumn("scope", F.when(F.col("nest") > 0, scope))
+        _nested(events)
         .where(F.col("kind") == "L")
         .withColumn("offset", F.explode(offsets))
         .select(
@@ -436,29 +449,55 @@ def _imports_of(lines: DataFrame) -> DataFrame:
     return _accessible(imported)
 
 
+#: Import statements of a masked file, each with all of its lines.
+_IMPORTS = rf"(?md)^[ \t\f]*(?:import|from)[ \t](?:[^\n{CONTINUED}(]|{CONTINUED}\n|\([^)]*\))*+"
+
+
+def _file_imports(code: Column) -> Column:
+    """Array of (accessible, type, module, symbol) of a masked file: what each imported name means.
+
+    Of several imports under one name the last counts, and from-imports before plain ones.
+    """
+    glued = F.transform(F.regexp_extract_all(code, F.lit(_IMPORTS), F.lit(0)), lambda s: F.trim(F.regexp_replace(s, rf"[\s{CONTINUED}]+", " ")))
+    statements = F.flatten(F.transform(glued, lambda s: F.transform(F.split(s, ";"), lambda x: F.trim(x))))
+    source = r"^from ?(\.*[ ]?[\w.]*) import ?\(?(.*?)\)?$"
+
+    def items(statement: Column, at: Column) -> Column:
+        is_from = F.startswith(statement, F.lit("from"))
+        body = F.when(is_from, F.regexp_extract(statement, source, 2)).otherwise(F.regexp_extract(statement, r"^import (.*)$", 1))
+        module = F.replace(F.regexp_extract(statement, source, 1), F.lit(" "), F.lit(""))
+
+        def item(text: Column) -> Column:
+            name = F.regexp_extract(F.trim(text), r"^([\w.]+|\*)(?: as \w+)?$", 1)
+            alias = F.nullif(F.regexp_extract(F.trim(text), r" as (\w+)$", 1), F.lit(""))
+            own = F.when(is_from, name).otherwise(F.substring_index(name, ".", 1))
+            return F.struct(
+                is_from.alias("f"),
+                at.alias("at"),
+                F.when(is_from, module).otherwise(name).alias("module"),
+                F.when(is_from, name).alias("symbol"),
+                F.when(name != "", F.coalesce(alias, own)).alias("accessible"),
+            )
+
+        return F.transform(F.split(body, ","), item)
+
+    found = F.filter(F.flatten(F.transform(statements, items)), lambda i: i.accessible.isNotNull())
+    rank = lambda i: F.struct(i.f, i.at, i.module, i.symbol)
+    return F.filter(found, lambda i: ~F.exists(found, lambda j: (j.accessible == i.accessible) & (rank(j) > rank(i))))
+
+
 def function_dependencies(files: DataFrame) -> DataFrame:
-    """Imports each function needs: identifiers used in it joined to imports by accessible name.
+    """Imports each function needs: identifiers used in it that an import of its file makes accessible.
 
-    A name imported twice means its last import, plain imports being replaced by from-imports. A module
-    imported plainly is needed as a whole (``symbols`` NULL).
+    The imports of a file are found before its lines are exploded, so a line only keeps the identifiers that are imported and what
+    they mean. Those travel with the line through the windows that find the functions around it: one scan, one shuffle of text.
+    A module imported plainly is needed as a whole (``symbols`` NULL).
     """
-    source = python_files(files)
-    lines = python_lines(source)
-    imports = _imports_of(lines)
-    rank = F.struct((F.col("type") == "from_import").alias("f"), "line_no", "module", "symbol")
-    known = imports.groupBy("path", "accessible").agg(F.max_by(F.struct("type", "module", "symbol"), rank).alias("i"))
-
-    # identifiers per line, then the functions around the line through the nesting events
-    words = lines.select(
-        "path",
-        "line_no",
-        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("accessible"),
-    )
-    used = words.join(known, ["path", "accessible"]).select("path", "line_no", "i")
-    functions = line_scopes(source).where(F.col("type") == "function")
-    within = functions.join(used, ["path", "line_no"])
-    needed = within.select("path", "name", "start_line", "i.module", "i.symbol").distinct()
-    whole = F.max(F.col("symbol").isNull())
-    return needed.groupBy("path", "name", "start_line", "module").agg(
-        F.when(~whole, F.array_sort(F.collect_set("symbol"))).alias("symbols")
+    events = python_scope_events(python_files(files), sparse=True, needs=True).where(F.col("kind").isin("L", "S"))
+    inner = _nested(events)
+    around = inner.where((F.col("kind") == "L") & F.col("needs").isNotNull() & (F.col("scope.word") == "def"))
+    needed = around.select("path", F.col("scope.name").alias("name"), F.col("scope.line_no").alias("start_line"), F.explode("needs").alias("i"))
+    whole = F.max(F.col("i.symbol").isNull())
+    return needed.groupBy("path", "name", "start_line", F.col("i.module").alias("module")).agg(
+        F.when(~whole, F.array_sort(F.collect_set("i.symbol"))).alias("symbols")
     )

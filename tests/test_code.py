@@ -222,3 +222,48 @@ def test_repartitioning_does_not_change_results(files):
 def test_one_shuffle_for_python_metrics(files):
     plan = python_code.python_file_metrics(files({"a.py": TWO}))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "BatchEvalPython" not in plan and "NestedLoop" not in plan
+
+
+NEEDS = '''"""import no"""
+import os, json as js; import a.b.c
+from x.y import (p as q,
+    r,  # import t
+    s)
+from . import local
+from x.y import \\
+    late
+import r
+from z import *
+
+def outer(v=os.sep):
+    """q"""
+    def inner():
+        return f"{q(v)!r}"
+    return (js
+        .loads(v))
+
+class K(local.Base):
+    from inside import w
+    def m(self):
+        return [r, a.b, late, w]
+print(s)
+'''
+
+
+def test_dependencies_of_nested_functions(files):
+    got = {(r.name, r.module, tuple(r.symbols) if r.symbols is not None else None) for r in python_code.function_dependencies(files({"n.py": NEEDS})).collect()}
+    assert got == {
+        ("outer", "os", None),
+        ("outer", "x.y", ("p",)),
+        ("inner", "x.y", ("p",)),
+        ("outer", "json", None),
+        ("m", "x.y", ("late", "r")),
+        ("m", "a.b.c", None),
+        ("m", "inside", ("w",)),
+    }
+
+
+def test_dependencies_in_one_scan_and_one_shuffle(spark, tmp_path, files):
+    files({"n.py": NEEDS}).write.parquet(f"{tmp_path}/f")
+    plan = python_code.function_dependencies(spark.read.parquet(f"{tmp_path}/f"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1 and "Join" not in plan
