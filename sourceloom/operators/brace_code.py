@@ -132,13 +132,15 @@ DECISIONS = rf"(?=[ifwc&|?])(?:{_BRANCH}|{_LOGICAL}|{_TERNARY})"
 
 _STREAM = rf"(?=[{_OPEN}{{}}()\[\]\n;ifwc&|?])(?:{_OPEN}[^{_CLOSE}]*+{_CLOSE}|[{{}}()\[\]\n;]|{DECISIONS})"
 SCRIPT_LANGUAGES = ("javascript", "typescript")
+TYPED_LANGUAGES = ("java", "csharp")
+LANGUAGES = (*SCRIPT_LANGUAGES, *TYPED_LANGUAGES, "sql")
 
 
 def masked(language: Column, content: Column) -> Column:
     """Code without strings and comments. Each lexer is given the texts of its languages only."""
-    script, sql = language.isin(*SCRIPT_LANGUAGES), language == "sql"
-    return F.when(sql, mask_sql(content)).otherwise(
-        F.coalesce(lexer.script_code(F.when(script, content)), lexer.brace_code(F.when(~script & ~sql, content)))
+    script, typed = language.isin(*SCRIPT_LANGUAGES), language.isin(*TYPED_LANGUAGES)
+    return F.when(language == "sql", mask_sql(content)).otherwise(
+        F.coalesce(lexer.script_code(F.when(script, content)), lexer.brace_code(F.when(typed, content)))
     )
 
 
@@ -179,20 +181,20 @@ def code_function_count(code: Column) -> Column:
     return F.regexp_count(marked(code, "typescript"), F.lit(marks))
 
 
-def declarations(
-    files: DataFrame,
-    languages: Iterable[str] = ("javascript", "typescript", "java", "csharp", "sql"),
-    rules: Iterable[tuple] = DECLARATIONS,
-) -> DataFrame:
+def declarations(files: DataFrame, languages: Iterable[str] = LANGUAGES, rules: Iterable[tuple] = DECLARATIONS) -> DataFrame:
     """Declarations with spans, parameters, heritage and the number of decision points inside."""
     languages = list(languages)
-    code = (
-        files.withColumn("language", parser_language(F.col("path")))
-        .where(F.col("language").isin(*languages))
-    )
+    code = files.withColumn("language", parser_language(F.col("path"))).where(F.col("language").isin(*languages))
     # a Python step would lose the placement by path, so the text is read first and shuffled without strings and comments
-    code = code.select("path", "language", count_lines(F.col("content")).alias("lines"), masked(F.col("language"), F.col("content")).alias("code"))
-    code = spread(code, "path").select("path", "language", "lines", _by_language(F.col("language"), F.col("code"), languages, rules).alias("code"))
+    code = code.select("path", "language", masked(F.col("language"), F.col("content")).alias("code"))
+    return declarations_in(spread(code, "path"), languages, rules)
+
+
+def declarations_in(code: DataFrame, languages: Iterable[str] = LANGUAGES, rules: Iterable[tuple] = DECLARATIONS) -> DataFrame:
+    """``declarations`` of files (path, language, code) that are masked and placed by path already."""
+    code = code.select(
+        "path", "language", count_lines(F.col("code")).alias("lines"), _by_language(F.col("language"), F.col("code"), list(languages), rules).alias("code")
+    )
     stream = code.select(
         "path",
         "language",

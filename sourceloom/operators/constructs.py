@@ -6,8 +6,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text
+from ..functions import lexer, text
 from . import brace_code, python_code
+from .placement import spread
 
 FUNCTION_TYPES = ("function", "method", "constructor")
 CLASS_TYPES = ("class", "interface", "struct")
@@ -18,9 +19,16 @@ _COLUMNS = ["path", "language", "type", "name", "start_line", "end_line", "param
 def constructs(files: DataFrame, rules: Iterable[tuple] = brace_code.DECLARATIONS) -> DataFrame:
     """Functions, classes, interfaces and tables with lines, parameters, heritage and (Python) decorators.
 
-    ``rules`` are the declaration patterns of the brace languages and SQL; callers may add their own rows.
+    ``rules`` are the declaration patterns of the brace languages and SQL; callers may add their own rows. All languages are read
+    in one scan and shuffled once, by path and without strings and comments; both kinds of structure are found behind that.
     """
-    python = python_code.python_declarations(python_code.python_files(files))
+    language, content = text.parser_language(F.col("path")), F.col("content")
+    python_code_of = lexer.python_code(F.when(F.col("language") == "python", content))
+    read = files.withColumn("language", language).where(F.col("language").isin("python", *brace_code.LANGUAGES))
+    code = read.select("path", "language", F.coalesce(python_code_of, brace_code.masked(F.col("language"), content)).alias("code"))
+    # a condition on the number of the task is not moved below the shuffle, so both kinds share it
+    placed = spread(code, "path").withColumn("kind", F.when(F.spark_partition_id() >= 0, F.col("language")))
+    python = python_code.declarations_in(python_code.placed_lines(placed.where(F.col("kind") == "python").select("path", "code")))
     is_class = F.col("type") == "class"
     python = python.select(
         "path",
@@ -33,7 +41,7 @@ def constructs(files: DataFrame, rules: Iterable[tuple] = brace_code.DECLARATION
         F.when(is_class, F.col("detail")).alias("heritage"),
         "decorators",
     )
-    others = brace_code.declarations(files, rules=rules).withColumn("decorators", F.lit(None).cast("string")).select(*_COLUMNS)
+    others = brace_code.declarations_in(placed.where(F.col("kind") != "python").select("path", "language", "code"), rules=rules).withColumn("decorators", F.lit(None).cast("string")).select(*_COLUMNS)
     return python.unionByName(others).withColumn("line_count", F.col("end_line") - F.col("start_line") + 1)
 
 

@@ -50,7 +50,12 @@ def python_lines(files: DataFrame, keep: tuple[str, ...] = (), needs: bool = Fal
     parameters. ``keep`` names file columns to carry along; they are set on the first line only.
     """
     # a Python step would lose the placement by path, so the text is read first and shuffled without strings and comments
-    code = spread(files.select("path", *keep, lexer.python_code(F.col("content")).alias("code")), "path")
+    code = files.select("path", *keep, lexer.python_code(F.col("content")).alias("code"))
+    return placed_lines(spread(code, "path"), keep, needs)
+
+
+def placed_lines(code: DataFrame, keep: tuple[str, ...] = (), needs: bool = False) -> DataFrame:
+    """``python_lines`` of files (path, code) that are read by the lexer and placed by path already."""
     leads = F.regexp_extract_all("code", F.lit(r"(?md)^([ \t\f]*)(?:async[ \t]+)?(?:def|class)[ \t]"), F.lit(1))
     # everything per file is computed before its lines are exploded
     imports = [_file_imports(F.col("code")).alias("imports")] if needs else []
@@ -184,7 +189,12 @@ def _events(lines: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False,
 
 def python_scope_events(files: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False, needs: bool = False) -> DataFrame:
     """Ordered events with nesting depth: S opens a scope at ``depth``; C carries the scope it closes."""
-    events = _events(python_lines(files, keep, needs), keep, sparse, needs)
+    return scope_events(python_lines(files, keep, needs), keep, sparse, needs)
+
+
+def scope_events(lines: DataFrame, keep: tuple[str, ...] = (), sparse: bool = False, needs: bool = False) -> DataFrame:
+    """``python_scope_events`` of lines."""
+    events = _events(lines, keep, sparse, needs)
     level = W.partitionBy("path", "level").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     kind = F.col("kind")
     mark = F.when(
@@ -213,7 +223,12 @@ def python_scope_events(files: DataFrame, keep: tuple[str, ...] = (), sparse: bo
 
 def python_declarations(files: DataFrame) -> DataFrame:
     """All defs and classes at any depth with first and last line."""
-    closed = python_scope_events(files, sparse=True).where(F.col("kind") == "C")
+    return declarations_in(python_lines(files))
+
+
+def declarations_in(lines: DataFrame) -> DataFrame:
+    """``python_declarations`` of lines."""
+    closed = scope_events(lines, sparse=True).where(F.col("kind") == "C")
     return closed.select(
         "path",
         F.when(F.col("closes.word") == "class", "class").otherwise("function").alias("type"),

@@ -871,6 +871,16 @@ _add(
     f"SELECT id, arg_max(status, (ts, event_id)) AS status, {_TS.format('max(ts)')} AS updated_at, count(*) AS events FROM ev GROUP BY id",
     EVENTS,
 )
+_add(
+    "stream_ledger_counts",
+    """WITH wm AS (SELECT (epoch_us(max(ts)) // 1000 - 5 * 86400000) * 1000 AS us FROM events WHERE event_id % 2 = 0),
+       e AS (SELECT event_id % 2 = 0 AS first, event_id % 4 = 1 AS second, epoch_us(ts) <= us AS late FROM events, wm),
+       c AS (
+       SELECT 0 AS batch, count(*) AS received, count(*) AS kept, 0 AS duplicates, 0 AS late FROM e WHERE first UNION ALL
+       SELECT 1, count(*), count(*), 0, 0 FROM e WHERE second UNION ALL
+       SELECT 2, count(*), count(*) FILTER (NOT late AND NOT first AND NOT second), count(*) FILTER (NOT late AND (first OR second)), count(*) FILTER (late) FROM e)
+       SELECT *, sum(kept) OVER () AS in_state FROM c""",
+)
 _add(
     "stream_ops_daily",
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS operation_type, count(*) AS operations FROM events GROUP BY ALL""",

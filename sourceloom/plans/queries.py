@@ -866,6 +866,19 @@ def stream_ledger_state(spark, sf_dir):
     return rows.withColumn("updated_at", stamp(F.col("updated_at")))
 
 
+@query
+def stream_ledger_counts(spark, sf_dir):
+    """Events in three batches, the last of which repeats all: kept, repeated and late rows of each batch, and the events in the state."""
+    events = b.table(spark, sf_dir, "events")
+    folder = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    for k, part in enumerate(("event_id % 2 = 0", "event_id % 4 = 1", "true")):  # files are read in the order they are written
+        events.where(part).coalesce(1).write.parquet(f"{folder}/{k}")
+    stream = ledger_stream.stream_events(spark, f"{folder}/*", events.schema, files_per_batch=1)
+    state = ledger_stream.latest_status(bl.events_as_status(stream), late="5 days")
+    rows, counts = ledger_stream.run_counted(state, ["id"], "update", "id string, status string, updated_at timestamp, events bigint")
+    return counts.withColumn("in_state", F.lit(rows.agg(F.sum("events")).first()[0]))
+
+
 @query
 def stream_ops_daily(spark, sf_dir):
     schema = b.table(spark, sf_dir, "events").schema

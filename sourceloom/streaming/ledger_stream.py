@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import shared_dir
 
 
+#: Setting for how many batches' progress a query keeps, and that number.
+_PROGRESS, _BATCHES = "spark.sql.streaming.numRecentProgressUpdates", "100000"
+
+
 def stream_events(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """File stream of events with the event time as TIMESTAMP, which watermarks need."""
     reader = spark.readStream.schema(schema)
@@ -35,11 +40,10 @@ def daily_counts(operations: DataFrame, late: str = "1 day") -> DataFrame:
     return counted.select(F.col("window.start").alias("day"), "operation_type", "operations")
 
 
-def run_to_table(stream: DataFrame, keys: list[str], mode: str, schema: str) -> DataFrame:
-    """Runs a stream over all available input and returns its final rows.
+def _run(stream: DataFrame, mode: str) -> tuple[str, list[dict]]:
+    """Runs a stream over all available input; the folder of its rows, and the progress of each batch.
 
-    Every micro-batch is written to the shared folder under its batch number, so a repeated batch overwrites itself. In
-    update mode a later batch replaces the rows of an earlier one with the same keys.
+    Every micro-batch is written to the shared folder under its batch number, so a repeated batch overwrites itself.
     """
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -47,14 +51,52 @@ def run_to_table(stream: DataFrame, keys: list[str], mode: str, schema: str) ->
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
-    query.awaitTermination()
+    kept = spark.conf.get(_PROGRESS)
+    spark.conf.set(_PROGRESS, _BATCHES)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_PROGRESS, kept)
+    return root, [json.loads(p.json) for p in query.recentProgress]
+
+
+def _last_rows(stream: DataFrame, keys: list[str], schema: str, root: str) -> DataFrame:
     names = [c for c in stream.columns if c not in keys]
-    rows = spark.read.schema(schema + ", batch int").parquet(f"{root}/rows")
+    rows = stream.sparkSession.read.schema(schema + ", batch int").parquet(f"{root}/rows")
     return rows.groupBy(*keys).agg(*[F.max_by(n, "batch").alias(n) for n in names])
+
+
+def run_to_table(stream: DataFrame, keys: list[str], mode: str, schema: str) -> DataFrame:
+    """Runs a stream over all available input and returns its final rows.
+
+    In update mode a later batch replaces the rows of an earlier one with the same keys.
+    """
+    return _last_rows(stream, keys, schema, _run(stream, mode)[0])
+
+
+def batch_counts(progress: dict) -> dict[str, int]:
+    """What became of a batch's rows, from its progress: ``received`` rows are ``kept``, ``duplicates`` or ``late``.
+
+    Late rows are those behind the watermark; the operator that drops duplicates leaves them out and counts both. Use it in a
+    listener to account for a stream that goes on.
+    """
+    found = [o for o in progress["stateOperators"] if o["operatorName"] == "dedupeWithinWatermark"]
+    late = sum(o["numRowsDroppedByWatermark"] for o in found)
+    duplicates = sum(o["customMetrics"].get("numDroppedDuplicateRows", 0) for o in found)
+    received = progress["numInputRows"]
+    return {"batch": progress["batchId"], "received": received, "kept": received - late - duplicates, "duplicates": duplicates, "late": late}
+
+
+def run_counted(stream: DataFrame, keys: list[str], mode: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """As ``run_to_table``, and (batch, received, kept, duplicates, late) of each batch: no row of the input goes unaccounted for."""
+    root, progress = _run(stream, mode)
+    counts = [batch_counts(p) for p in progress if p["numInputRows"]]
+    fields = "batch bigint, received bigint, kept bigint, duplicates bigint, late bigint"
+    return _last_rows(stream, keys, schema, root), stream.sparkSession.createDataFrame(counts, fields)

@@ -267,3 +267,11 @@ def test_dependencies_in_one_scan_and_one_shuffle(spark, tmp_path, files):
     files({"n.py": NEEDS}).write.parquet(f"{tmp_path}/f")
     plan = python_code.function_dependencies(spark.read.parquet(f"{tmp_path}/f"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+
+
+def test_constructs_of_all_languages_in_one_scan(spark, tmp_path, files):
+    files({"n.py": NEEDS, "a.js": SCRIPT, "t.sql": "CREATE TABLE a (x INT);"}).write.parquet(f"{tmp_path}/f")
+    found = constructs.constructs(spark.read.parquet(f"{tmp_path}/f"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1 and plan.count("ArrowEvalPython") == 1

@@ -106,3 +106,20 @@ def test_streams_in_several_batches(spark, tmp_path):
     rows = ledger_stream.run_to_table(daily, ["day", "operation_type"], "update", "day timestamp, operation_type string, operations bigint")
     want = events.groupBy(F.date_trunc("day", "ts").cast("timestamp").alias("day"), "event_type").count()
     assert sorted(map(tuple, rows.select("day", "operation_type", "operations").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_no_row_of_a_stream_goes_unaccounted_for(spark, tmp_path):
+    """Four batches with repeated rows and rows behind the watermark: kept, repeated and late rows are all rows."""
+    events = spark.createDataFrame([(k, 86400 * (k % 40)) for k in range(400)], "event_id bigint, s bigint").select(
+        "event_id", F.timestamp_seconds("s").alias("ts"), F.concat(F.lit("i"), F.col("event_id") % 7).alias("id"), F.lit("pending").alias("status")
+    )
+    for k, part in enumerate(("event_id % 3 = 0", "event_id % 3 = 1", "event_id % 2 = 0", "true")):
+        events.where(part).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+    stream = ledger_stream.stream_events(spark, f"{tmp_path}/*", events.schema, files_per_batch=1)
+    state = ledger_stream.latest_status(stream, late="10 days")
+    rows, counts = ledger_stream.run_counted(state, ["id"], "update", "id string, status string, updated_at timestamp, events bigint")
+    got = counts.orderBy("batch").collect()
+    assert [r.received for r in got] == [134, 133, 200, 400]
+    assert all(r.received == r.kept + r.duplicates + r.late for r in got)
+    assert got[2].late > 0 and got[3].late > got[2].late and got[3].duplicates > 0
+    assert rows.agg(F.sum("events")).first()[0] == sum(r.kept for r in got)
