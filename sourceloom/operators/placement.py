@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
+#: Bytes of input, as the files count them, that one task works on at most.
+TASK_BYTES = 128 << 20
+#: Larger estimates mean that Spark knows no size.
+_UNKNOWN = 1 << 60
+
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows hash-placed by key over exactly ``spark.sql.shuffle.partitions`` tasks.
+    """Rows hash-placed by key over ``spark.sql.shuffle.partitions`` tasks, or more where the input is large.
 
     The number is explicit because adaptive execution sizes partitions by bytes. Parsing text is bound by
-    the processor, and merging small partitions would leave most cores idle.
+    the processor, and merging small partitions would leave most cores idle. Spark's estimate of the input's size, which comes
+    from the files, raises the number, so that tasks do not grow with the data.
     """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    number = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < _UNKNOWN:
+        number = max(number, math.ceil(size / TASK_BYTES))
+    return rows.repartition(number, *keys)
