@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -54,6 +56,13 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Gives back the memory that earlier tasks of this Python worker freed, which its allocators keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
@@ -67,7 +76,9 @@ def digest128(column: Column) -> Column:
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE_VALUES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = 64
+#: A random value for each byte at each place of a word; words that differ share no algebra that sums of powers have.
+_CELLS = np.random.default_rng(20240601).integers(0, 1 << 64, _PLACES * 256, dtype=np.uint64)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -136,6 +147,22 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
         start = stop
 
 
+def word_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words that follow each other in ``data``: sums of random values by place and byte.
+
+    Words of more than ``_PLACES`` bytes use the values again, mixed with the number of the round.
+    """
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    firsts = np.cumsum(lengths) - lengths
+    place = np.arange(len(data)) - np.repeat(firsts, lengths)
+    cells = _CELLS[(place & (_PLACES - 1)) << 8 | data]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        cells[far] = mixed(cells[far] + (place[far] // _PLACES).astype(np.uint64) * _ODD)
+    return mixed(np.add.reduceat(cells, firsts) + lengths.astype(np.uint64) * _ODD)
+
+
 class Words:
     """The words of some rows: 64-bit hash, place of their bytes, and for each row the range of its words."""
 
@@ -160,10 +187,7 @@ class Words:
         after[edge[edge > 0] - 1] = False
         self.starts = np.flatnonzero(word & ~before)
         self.ends = np.flatnonzero(word & ~after) + 1
-        powers, inverse = _powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[folded[data]] * powers[:n], out=sums[1:])
-        self.hashes = mixed((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        self.hashes = word_hashes(folded[data[word]], self.ends - self.starts)
         self.rows = np.searchsorted(self.starts, offsets)
 
     def row_of_word(self) -> np.ndarray:
