@@ -1,131 +1,109 @@
-"""Token ids of a byte-level BPE tokenizer file, by arrays: texts are cut into pieces at once, each distinct piece is encoded once.
+"""Token ids of a byte-level BPE tokenizer file: texts are cut before each run of white space, each distinct chunk is encoded once.
 
-The pieces are those of the pattern of byte-level BPE (contractions; a space with letters, digits or other signs; white space),
-found from the classes of the characters. The ids of a piece are the tokenizer's own and do not depend on its neighbours.
+No piece of byte-level BPE has white space behind another character, and how a run of white space is divided depends on the run and
+on what follows it. A chunk has both, so the ids of a text are those of its chunks. Chunks are looked up by their text, so equal
+ids mean equal chunks. The merges of a new chunk's pieces are done by ranks where the file's merges come in the order of the ids
+they make (which is looked at when the file is read), else by the tokenizer.
 """
 
 from __future__ import annotations
 
-import sys
-import unicodedata
+import json
+import re
+from array import array
+from collections.abc import Callable
+from functools import cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import public_tokenizers
+import regex
+import tiktoken
 from tokenizers import Tokenizer
 
-from sourceloom.llm.common import _powers, mixed
-
-_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
-_WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_CLASSES: list[np.ndarray] = []
-
-
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """(class, hash value) of each code point."""
-    if not _CLASSES:
-        kinds = {"L": _LETTER, "N": _NUMBER}
-        table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
-        table[_WHITE] = _SPACE
-        _CLASSES.extend([table, mixed(np.arange(1, sys.maxunicode + 2, dtype=np.uint64))])
-    return _CLASSES[0], _CLASSES[1]
-
-
-def pieces(points: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the pieces of texts that follow each other as code points; ``row_starts`` are the texts' first places."""
-    n = len(points)
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = _classes()[0][points]
-    new = np.empty(n, bool)
-    new[0] = True
-    new[1:] = kind[1:] != kind[:-1]
-    row_first = np.zeros(n, bool)
-    row_first[row_starts[row_starts < n]] = True
-    new |= row_first
-    starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], n)
-    run = kind[starts]
-    leads = np.zeros(len(starts), bool)  # the run before is white space of the same text
-    leads[1:] = (run[:-1] == _SPACE) & ~row_first[starts[1:]] & (run[1:] != _SPACE)
-    joins = leads.copy()  # and its last character, a plain space, belongs to this run's piece
-    joins[1:] &= points[starts[1:] - 1] == 0x20
-    firsts = starts - joins
-    lasts = ends.copy()
-    before = np.append(leads[1:], False)
-    gives = np.append(joins[1:], False)
-    lasts[gives] -= 1
-    alone = np.flatnonzero(before & ~gives & (ends - starts > 1))  # white space whose last character is a piece of its own
-    lasts[alone] -= 1
-
-    # contractions: an apostrophe that no space joins, then letters
-    quote = np.flatnonzero((run[:-1] == _OTHER) & (run[1:] == _LETTER) & (ends[:-1] - starts[:-1] == 1) & ~joins[:-1] & ~row_first[starts[1:]])
-    quote = quote[points[starts[quote]] == 0x27]
-    if len(quote):
-        one = points[starts[quote] + 1]
-        two = np.where(starts[quote] + 2 < ends[quote + 1], points[np.minimum(starts[quote] + 2, n - 1)], 0)
-        size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 1, 0)
-        for a, b in ("re", "ve", "ll"):
-            size[(one == ord(a)) & (two == ord(b))] = 2
-        lasts[quote] += size
-        firsts[quote + 1] += size
-    firsts = np.concatenate([firsts, ends[alone] - 1])
-    lasts = np.concatenate([lasts, ends[alone]])
-    kept = firsts < lasts
-    firsts, lasts = firsts[kept], lasts[kept]
-    if len(alone):
-        order = np.argsort(firsts, kind="stable")
-        firsts, lasts = firsts[order], lasts[order]
-    return firsts, lasts
-
-
-class Encoder:
-    """Keeps the ids of up to ``limit`` distinct pieces; beyond that it begins anew, so its memory is bounded."""
-
-    def __init__(self, path: str, limit: int = 250_000):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+_PIECES = regex.compile(public_tokenizers.PATTERN)
+
+# fixed values: the characters with the Unicode property White_Space
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CHUNK = re.compile(f"[{_WHITE}]+[^{_WHITE}]*|[^{_WHITE}]+")
+
+#: Longer chunks are encoded where they stand and not kept.
+KEPT_CHARS = 256
+
+
+def _byte_signs() -> dict[str, int]:
+    """The character that stands for each byte in a vocabulary: printable ones for themselves, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(rest)}
+
+
+def _by_ranks(path: str) -> tuple[Callable[[str], list[int]], Callable[[bytes], list[int]]] | None:
+    """Ids of a text and of a piece by the ranks of merges; None where the file's ids are not in the order of its merges."""
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    model, signs = content["model"], _byte_signs()
+    special = {t["content"] for t in content.get("added_tokens", ())}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+    made = [model["vocab"].get("".join(pair), -1) for pair in pairs]
+    ordinary = {t: i for t, i in model["vocab"].items() if t not in special}
+    single = [i for t, i in ordinary.items() if len(t) == 1]
+    plain = not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not model.get("dropout")
+    if not plain or len(single) != 256 or made != sorted(made) or max(single) > made[0] or len(ordinary) != 256 + len(set(made)):
+        return None
+    ranks = {bytes(signs[c] for c in t): i for t, i in ordinary.items()}
+    ranked = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return ranked.encode_ordinary, ranked._encode_single_piece
+
+
+@cache
+def _loaded(path: str) -> tuple:
+    """What a file holds: of fixed size, so a worker keeps it."""
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+    return tokenizer, _by_ranks(path)
+
+
+class Encoder(dict):
+    """Ids by chunk: those of up to ``limit`` distinct chunks, and of the last ``limit`` before them, so its memory is bounded.
+
+    The tokenizer's tables of letters and digits may be older than those of the pattern here. Each character beyond ASCII is
+    tried once; a chunk with one on which they differ is given to the tokenizer.
+    """
+
+    def __init__(self, path: str, limit: int = 200_000):
+        super().__init__()
+        self.tokenizer, self.by_ranks = _loaded(path)
         self.limit = limit
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.at = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-
-    def _learn(self, texts: list[str], keys: list[int]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))])
-        self.slots.update(zip(keys, range(len(self.slots), len(self.slots) + len(keys)), strict=True))
+        self.before: dict[str, bytes] = {}
+        self.agreed: dict[str, bool] = {}
+
+    def _agrees(self, sign: str) -> bool:
+        if sign not in self.agreed:
+            probe = f"a{sign}1{sign} {sign}"
+            spans = [s for _, s in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)]
+            self.agreed[sign] = [probe[a:b] for a, b in spans] == _PIECES.findall(probe)
+        return self.agreed[sign]
+
+    def _ids(self, chunk: str) -> bytes:
+        if self.by_ranks is None or not (chunk.isascii() or all(map(self._agrees, chunk))):
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        text, piece = self.by_ranks
+        if chunk.isascii():
+            return array("I", text(chunk)).tobytes()
+        return array("I", chain.from_iterable(piece(p.encode()) for p in _PIECES.findall(chunk))).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.before.get(chunk) or self._ids(chunk)
+        if len(chunk) <= KEPT_CHARS:
+            if len(self) >= self.limit:
+                self.before = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ends): text k has ids[ends[k - 1] : ends[k]]."""
-        joined = "".join(texts)
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        row_ends = np.cumsum(lengths)
-        firsts, lasts = pieces(points, row_ends - lengths)
-        if not len(firsts):
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        powers, inverse = _powers(len(points))
-        sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(_classes()[1][points] * powers[: len(points)], out=sums[1:])
-        keys = mixed((sums[lasts] - sums[firsts]) * inverse[firsts] + (lasts - firsts).astype(np.uint64))
-        codes, distinct = pd.factorize(keys)
-        if len(self.slots) + len(distinct) > self.limit:
-            self._clear()
-        names = distinct.tolist()
-        new = [k for k, name in enumerate(names) if name not in self.slots]
-        if new:
-            place = np.zeros(len(names), np.int64)
-            place[codes[::-1]] = np.arange(len(codes))[::-1]
-            self._learn([joined[a:b] for a, b in zip(firsts[place[new]].tolist(), lasts[place[new]].tolist(), strict=True)], [names[k] for k in new])
-        slot = np.fromiter((self.slots[name] for name in names), np.int64, len(names))[codes]
-        sizes = self.sizes[slot]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.at[slot] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        last_piece = np.searchsorted(firsts, row_ends)
-        return ids, np.concatenate([[0], ends])[last_piece]
+        raw = [b"".join(map(self.__getitem__, _CHUNK.findall(t))) for t in texts]
+        ends = np.cumsum([len(x) for x in raw], dtype=np.int64) // 4
+        return np.frombuffer(b"".join(raw), "<u4"), ends

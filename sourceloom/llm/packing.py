@@ -27,16 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceloom.llm.bpe import Encoder
-from sourceloom.llm.common import buffers, saved, ship, steps
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
+from sourceloom.llm.common import STEP_BYTES, buffers, release, saved, ship, steps
 
 # ----- the plan ---------------------------------------------------------------------------------------------------
 
@@ -110,13 +101,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     """(doc_id, piece, start, length, ids_crc32, part, rank): rank numbers the pieces of one length within a task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        release()
+        encoder = Encoder(tokenizer)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = batch.column(1)
-            for first, stop in steps(buffers(texts)[1]):
+            for first, stop in steps(buffers(texts)[1], 4 * STEP_BYTES):
                 ids, ends = encoder.encode([t or "" for t in texts[first:stop].to_pylist()])
                 raw = ids.astype("<u4").tobytes()
                 sizes = np.diff(ends, prepend=0) + 1

@@ -178,11 +178,30 @@ def test_token_ids_by_arrays():
     starts = np.concatenate([[0], ends[:-1]])
     for text, a, b, want in zip(texts, starts, ends, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
         assert ids[a:b].tolist() == want.ids, text
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    sizes = np.array([len(t) for t in texts])
-    first, last = bpe.pieces(points, np.cumsum(sizes) - sizes)
-    whole = "".join(texts)
-    assert [whole[a:b] for a, b in zip(first, last, strict=True)] == [p for t in texts for p in regex.findall(public_tokenizers.PATTERN, t)]
+
+
+def test_pieces_with_one_hash_have_their_own_ids():
+    """Two words that sums over powers modulo 2^64 cannot tell apart."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    encoder = bpe.Encoder(BPE)
+    ids, ends = encoder.encode([a, b])
+    want = [e.ids for e in encoder.tokenizer.encode_batch([a, b], add_special_tokens=False)]
+    assert want[0] != want[1] and [ids[: ends[0]].tolist(), ids[ends[0] :].tolist()] == want
+
+
+def test_every_token_and_every_character():
+    """Merges by ranks give each token of the file back; characters newer than the tokenizer's tables are read by it."""
+    encoder = bpe.Encoder(BPE)
+    assert encoder.by_ranks is not None
+    tokens = [encoder.tokenizer.decode([k]) for k in range(50256)]
+    texts = [t for t in tokens if "\ufffd" not in t]
+    signs = [chr(c) for c in (*range(0x80, 0x3000, 7), *range(0xA700, 0xA800), *range(0x10780, 0x107C0), *range(0x1E000, 0x1F000, 3)) if not 0xD800 <= c < 0xE000]
+    texts += [f"a{x}{x}1{x} {x}!{x}" for x in signs]
+    ids, ends = encoder.encode(texts)
+    for text, a, b, want in zip(texts, [0, *ends[:-1]], ends, encoder.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids[a:b].tolist() == want.ids, text
 
 
 def test_packing(spark):
