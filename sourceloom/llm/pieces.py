@@ -39,7 +39,7 @@ MARKER = "▁"
 #: At most so many chunks are in the table of the whole corpus, each of at most ``TABLE_BYTES`` bytes.
 TABLE_CHUNKS, TABLE_BYTES = 1 << 18, 64
 #: Chunks, and bytes of chunks, that a task keeps.
-TASK_CHUNKS, TASK_BYTES = 200_000, 16 << 20
+TASK_CHUNKS, TASK_BYTES = 500_000, 24 << 20
 
 _CHUNK = re.compile(rb" +[^ \n]*|\n[^ \n]*")
 
