@@ -266,6 +266,55 @@ WITH l AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op11_conversation_repair": rf"""
+WITH RECURSIVE d AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+           CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+           unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM (SELECT *, {crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fault FROM conversations) WHERE fault <> 0
+), o AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place, left(role, 1) AS initial,
+           right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS last
+    FROM d
+), f AS (
+    SELECT *, lag(initial) OVER w AS before, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv,
+           CASE WHEN last = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'd'
+                WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS fault
+    FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+), moves(state, initial, follows, role) AS (
+    VALUES (0, 's', 1, NULL), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (3, 'u', 2, 'user'), (2, 'a', 3, 'assistant')
+), best AS (
+    SELECT conv, 0::BIGINT AS place, 0 AS state, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}} AS w FROM f GROUP BY conv
+    UNION ALL
+    SELECT conv, place, state, min(w) FROM (
+        SELECT f.conv, f.place, e.state,
+               {{'cost': b.w.cost + e.cost + CASE WHEN f.fault = 't' AND e.letter <> 'D' THEN 3 ELSE 0 END, 'audit': b.w.audit || e.letter,
+                 'lines': CASE e.letter WHEN 'D' THEN b.w.lines ELSE list_append(b.w.lines, coalesce(e.role, f.role) || ':' || f.text) END}} AS w
+        FROM (
+            SELECT conv, place, state, w FROM best
+            UNION ALL
+            SELECT conv, place, follows, {{'cost': w.cost + 3, 'audit': w.audit || 'I', 'lines': list_append(w.lines, role || ':')}}
+            FROM best JOIN moves ON best.state = moves.state WHERE role IS NOT NULL
+        ) b JOIN f ON f.conv = b.conv AND f.place = b.place + 1
+        JOIN (
+            SELECT state AS since, state, 'D' AS letter, 4 AS cost, NULL AS role, NULL AS initial FROM range(4) t(state)
+            UNION ALL SELECT state, follows, 'K', 0, NULL, initial FROM moves
+            UNION ALL SELECT state, follows, 'R', 3, role, NULL FROM moves WHERE role IS NOT NULL
+        ) e ON e.since = b.state AND (e.letter = 'D' OR f.fault IN ('k', 't')) AND (e.initial IS NULL OR e.initial = f.initial)
+    ) GROUP BY conv, place, state
+), done AS (
+    SELECT b.conv, min(CASE WHEN state = 2 THEN {{'cost': w.cost + 3, 'audit': w.audit || 'I', 'lines': list_append(w.lines, 'assistant:')}} ELSE w END) AS w
+    FROM best b JOIN (SELECT conv, max(place) AS n FROM f GROUP BY conv) z ON b.conv = z.conv AND b.place = z.n WHERE state <> 1 GROUP BY b.conv
+), report AS (
+    SELECT conv_id, any_value(conv) AS conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+           count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM f GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(w.cost, 0) AS cost, coalesce(w.audit, '') AS audit, sha256(coalesce(array_to_string(w.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN report ON c.conv_id IS NOT DISTINCT FROM report.conv_id LEFT JOIN done ON report.conv = done.conv
 """,
     "op13_merkle_manifest": f"""
 WITH RECURSIVE d AS (
