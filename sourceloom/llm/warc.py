@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,11 +29,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import saved, ship, text_or_empty
+from sourceloom.llm.common import saved, ship, tasks, text_or_empty
 from sourceloom.session import shared_dir
 
 INDEX = "file string, offset bigint, length bigint, page_id bigint, url string, digest string, type string"
 RECORD = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+#: Spans of the archives that a task reads at most.
+TASK_SPANS = 8
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -152,8 +155,14 @@ def coalesced(ranges: list[tuple[int, int]], gap: int, span: int) -> list[tuple[
 
 
 def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, span: int = 4 << 20) -> DataFrame:
-    """The records that the index rows name."""
-    ship(index.sparkSession)
+    """The records that the index rows name.
+
+    The number of tasks follows from the bytes of the records, not from those of the index, which are few.
+    """
+    spark = index.sparkSession
+    ship(spark)
+    spans = math.ceil((index.agg(F.sum("length")).first()[0] or 0) / span)
+    number = max(1, math.ceil(spans / TASK_SPANS), min(spans, tasks(spark)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pafs.FileSystem.from_uri(folder)
@@ -178,7 +187,7 @@ def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, span: int =
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     part = F.floor(F.col("offset") / span)
-    placed = index.select("file", "offset", "length", part.alias("part")).repartition("file", "part").sortWithinPartitions("file", "offset")
+    placed = index.select("file", "offset", "length", part.alias("part")).repartition(number, "file", "part").sortWithinPartitions("file", "offset")
     return placed.select("file", "offset", "length").mapInArrow(read, RECORD)
 
 
