@@ -37,7 +37,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import Words, buffers, byte_table, components, digest128, mixed, saved, ship, steps, text_or_empty
+from sourceloom.llm.common import Words, buffers, byte_table, components, digest128, mixed, release, saved, ship, steps, text_or_empty
 
 _HASH_BITS = 44
 _HASH_MASK = np.uint64((1 << _HASH_BITS) - 1)
@@ -176,6 +176,7 @@ def _sampled(docs: DataFrame, sketch: Broadcast, n_docs: int, settings: Settings
     """(id, node, bands) of rows (id, node, text)."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             for start, stop in steps(offsets):
@@ -219,6 +220,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, sketch: Broadcast, n_docs: int,
     """(a, b, similar) of all pairs (a, b), by their texts."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             near = similarities(batch.column(2), batch.column(3), sketch.value, n_docs, settings) >= settings.threshold
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["a", "b", "similar"])
@@ -263,6 +265,7 @@ def _entries(members: DataFrame, sketch: Broadcast, n_docs: int, settings: Setti
     names = [x.split()[0] for x in ENTRIES.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             for start, stop in steps(offsets):
