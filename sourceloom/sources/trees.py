@@ -191,9 +191,12 @@ def scan_tree(
 # ----- writing ----------------------------------------------------------------------------------------------------
 
 
-def write_texts(texts: DataFrame, folder: str, path: str = "out_path", content: str = "out_content") -> int:
+def write_texts(texts: DataFrame, folder: str, path: str = "out_path", content: str = "out_content", packed: bool = False) -> int:
     """Writes each text as one UTF-8 file at its path below ``folder``, and returns the number of files.
 
+    ``packed``: the texts of a task become members of one zip archive, ``scan_tree`` reads them back as files below it. Very many
+    small files cost a block of the disk each, and a driver cannot list them; the number of archives is that of tasks.
+
     Paths are relative and inside the folder, else the write fails, as it does for a path that comes twice; a null text is an empty
     file, rows without a path are left out. Existing files at the paths are replaced; on failure none is.
     """
@@ -206,16 +209,25 @@ def write_texts(texts: DataFrame, folder: str, path: str = "out_path", content:
         store.create_dir(f"{base}/{attempt}")
         seen: set[str] = set()
         lines = io.StringIO()
+        archive = zipfile.ZipFile(store.open_output_stream(f"{base}/{attempt}/0"), "w", zipfile.ZIP_DEFLATED) if packed else None
+        now = datetime.now(UTC).timetuple()[:6]
         for out, text in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
             plain = posixpath.normpath(out)
-            if out.startswith("/") or plain.split("/")[0] in ("..", ".") or "\n" in out:
+            if out.startswith("/") or plain.split("/")[0] in ("..", ".") or "\n" in out or "\0" in out:
                 raise ValueError(f"not a path below the folder: {out!r}")
             if plain in seen:
                 raise ValueError(f"two texts for one path: {out!r}")
-            with store.open_output_stream(f"{base}/{attempt}/{len(seen)}") as file:
-                file.write((text or "").encode())
+            if archive:
+                archive.writestr(zipfile.ZipInfo(plain, now), (text or "").encode(), zipfile.ZIP_DEFLATED)
+            else:
+                with store.open_output_stream(f"{base}/{attempt}/{len(seen)}") as file:
+                    file.write((text or "").encode())
+                lines.write(plain + "\n")
             seen.add(plain)
-            lines.write(plain + "\n")
+        if archive:
+            with archive.fp as file:
+                archive.close()
+            lines.write(f"{attempt}.zip\n")
         with store.open_output_stream(f"{base}/{attempt}/paths") as file:
             file.write(lines.getvalue().encode())
         yield pa.RecordBatch.from_arrays([pa.array([attempt]), pa.array([len(seen)])], ["attempt", "files"])
@@ -223,7 +235,6 @@ def write_texts(texts: DataFrame, folder: str, path: str = "out_path", content:
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _filesystem(job)
         _, target = _filesystem(folder)
-        done = 0
         for attempt in (a for b in batches for a in b.column(0).to_pylist()):
             with store.open_input_stream(f"{base}/{attempt}/paths") as file:
                 paths = file.read().decode().split("\n")[:-1]
@@ -232,8 +243,7 @@ def write_texts(texts: DataFrame, folder: str, path: str = "out_path", content:
                 if store.get_file_info(staged).type == fs.FileType.File:  # else an earlier attempt has renamed it
                     store.create_dir(posixpath.dirname(f"{target}/{out}"))
                     store.move(staged, f"{target}/{out}")
-                done += 1
-        yield pa.RecordBatch.from_arrays([pa.array([done])], ["files"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(paths)])], ["files"])
 
     chosen = texts.select(F.col(path).alias("p"), F.col(content).alias("c")).where("p IS NOT NULL")
     store, base = _filesystem(job)
@@ -241,7 +251,8 @@ def write_texts(texts: DataFrame, folder: str, path: str = "out_path", content:
         # one task sees all texts of a path
         accepted = spread(chosen, "p").mapInArrow(stage, "attempt string, files bigint").collect()  # one row for each task
         attempts = spark.createDataFrame([(r.attempt,) for r in accepted if r.files], "attempt string").repartition(max(1, len(accepted)))
-        return attempts.mapInArrow(publish, "files bigint").agg(F.sum("files")).first()[0] or 0
+        attempts.mapInArrow(publish, "files bigint").agg(F.sum("files")).first()
+        return sum(r.files for r in accepted)
     finally:
         if store.get_file_info(base).type == fs.FileType.Directory:
             store.delete_dir(base)
