@@ -74,17 +74,24 @@ def clear_operations(spark: SparkSession, path: str, confirm: bool = False) -> N
 
 
 def load_configs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Configuration files as (config_path, folder, document, error); invalid JSON gives an error. Spark skips files of no bytes."""
+    """Configuration files as (config_path, folder, document, error); invalid JSON gives an error. Spark skips files of no bytes.
+
+    The driver lists the files; for very many there is ``trees.scan_tree``, then ``configs_in``.
+    """
     texts = spark.read.text(paths, wholetext=True).select(
         F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("config_path"), "value"
     )
-    return texts.select(
-        "config_path",
-        F.regexp_extract("config_path", "^(.*)/[^/]*$", 1).alias("folder"),
-        F.col("value").alias("document"),
-        F.when(members(F.col("value")).isNull(), F.concat(F.lit("Invalid JSON in configuration file "), F.col("config_path"))).alias(
-            "error"
-        ),
+    return configs_in(texts.withColumnRenamed("config_path", "path").withColumnRenamed("value", "content"))
+
+
+def configs_in(files: DataFrame) -> DataFrame:
+    """``load_configs`` of files (path, content) that are read already, as by ``trees.scan_tree``, whose tasks list the files."""
+    invalid = F.concat(F.lit("Invalid JSON in configuration file "), F.col("path"))
+    return files.select(
+        F.col("path").alias("config_path"),
+        F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"),
+        F.col("content").alias("document"),
+        F.when(members(F.col("content")).isNull(), invalid).alias("error"),
     )
 
 
