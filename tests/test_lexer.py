@@ -185,3 +185,27 @@ def test_script_counts_in_templates(spark):
         brace_code.script_complexity(F.col("c")).alias("c"), brace_code.script_function_count(F.col("c")).alias("n")
     )
     assert [tuple(r) for r in row.collect()] == [(4, 2), (1, 0), (None, None)]
+
+
+PLAIN = {
+    "python": "x = r'a\\'#' + \"b\" # it's\ny = \"\"\"if (\n\\\n\"\"\" \\\n  + u'('\nz = bar'\\''\n",
+    "script": "f((a), ')') // (\n/* \" \n*/ g({b: \"\\\"(\"});)) h(())\n",
+    "brace": "class A { /* ' */ int f(int a) { return g((a)); } // \"\n String s = \"{(\"; char c = '\\''; }\n",
+}
+
+
+@pytest.mark.parametrize("language", PLAIN)
+def test_plain_texts_are_read_in_one_pass_with_the_same_code(language):
+    text = PLAIN[language]
+    if language == "python":
+        assert "".join(lexer._simple_python(text).parts) == "".join(lexer.scan(text, lexer.RULES[language]).parts)
+    else:
+        assert lexer._simple_braces(text, language) == "".join(lexer.scan(text, lexer.RULES[language], coded=True).parts)
+
+
+def test_texts_that_are_not_plain_are_left_to_the_full_lexer():
+    assert lexer._simple_python("a = f'{b}'\n") is None
+    assert lexer._simple_python("a = '\n") is None
+    for text in ("a = `${b}`", "a = b / c", "a = '"):
+        assert lexer._simple_braces(text, "script") is None
+    assert lexer._simple_braces('s = $"{a}";', "brace") is None
