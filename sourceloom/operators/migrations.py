@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import ormtext, sqltext, text
-from .placement import spread
+from ..functions import nesting, ormtext, sqltext, text
+from .placement import by_copies, spread
 
 UNSPLIT_SQL = "SQL migration does not need splitting"
 UNSPLIT_DJANGO = "Migration does not need splitting"
@@ -93,9 +93,20 @@ def django_operations(files: DataFrame) -> DataFrame:
     """Operations of Django migrations in order: path, n, operation.
 
     A line at nesting zero that ends in a comma closes an operation, and so does one that starts the next.
-    Files are shuffled once by path; a file bounds each window.
+    Files are shuffled once by path.
     """
-    body = spread(files.select("path", "content"), "path")
+    once, shared = by_copies(spread(files.select("path", "content"), "path"))
+    found = once.select("path", F.posexplode(_operations(F.col("content"))).alias("pos", "operation"))
+    found = found.select("path", (F.col("pos") + 1).alias("n"), "operation")
+    return found.unionByName(_operations_by_windows(shared))
+
+
+def _operations(content: Column) -> Column:
+    return nesting.operations_of(operations_text(content))
+
+
+def _operations_by_windows(body: DataFrame) -> DataFrame:
+    """``django_operations`` of files that share their path: lines of the same number stand side by side."""
     body = body.select("path", operations_text(F.col("content")).alias("ops")).where(F.col("ops") != "")
     lines = body.select("path", F.posexplode(F.split("ops", "\n")).alias("pos", "line"))
 
@@ -138,14 +149,16 @@ def _django_file(operations: Column, dependency: Column, title: Column) -> Colum
     )
 
 
-def split_django(files: DataFrame, size: int = 5) -> DataFrame:
-    """Parts of the Django migrations with more than ``size`` operations.
+def _origin(content: Column) -> Column:
+    """First dependency of a migration, as written in Python."""
+    first = F.get(ormtext.dependency_tuples(content), F.lit(0))
+    return F.when(first.isNotNull(), F.concat(F.lit("('"), first.app, F.lit("', '"), first["name"], F.lit("')")))
 
-    Part 1 depends on the first dependency of the original, each later part on the part before it.
-    """
-    files = files.where(split_kind(F.col("path"), F.col("content")) == "django")
+
+def _chunks_by_windows(files: DataFrame, size: int) -> DataFrame:
+    """Parts (path, part, operations, body, origin) of the files that share their path."""
     part = F.floor((F.col("n") - 1) / size).cast("int") + 1
-    operations = django_operations(files).withColumn("part", part)
+    operations = _operations_by_windows(files).withColumn("part", part)
     chunks = operations.groupBy("path", "part").agg(
         F.count(F.lit(1)).alias("operations"),
         F.array_join(
@@ -153,22 +166,37 @@ def split_django(files: DataFrame, size: int = 5) -> DataFrame:
         ).alias("body"),
     )
     whole = W.partitionBy("path")
-    chunks = chunks.withColumn("total", F.sum("operations").over(whole)).where(F.col("total") > size)
-    first = F.get(ormtext.dependency_tuples(F.col("content")), F.lit(0))
-    origin = files.select(
+    chunks = chunks.withColumn("total", F.sum("operations").over(whole)).where(F.col("total") > size).drop("total")
+    # a column that is read in any case, so that both sides of the join share one shuffle
+    origin = files.where(F.col("content").isNotNull()).select("path", _origin(F.col("content")).alias("origin"))
+    return chunks.join(origin, "path")
+
+
+def split_django(files: DataFrame, size: int = 5) -> DataFrame:
+    """Parts of the Django migrations with more than ``size`` operations.
+
+    Part 1 depends on the first dependency of the original, each later part on the part before it.
+    """
+    files = files.where(split_kind(F.col("path"), F.col("content")) == "django").where(F.col("path").isNotNull())
+    once, shared = by_copies(spread(files.select("path", "content"), "path"))
+    script = once.select("path", _origin(F.col("content")).alias("origin"), _operations(F.col("content")).alias("o"))
+    starts = F.sequence(F.lit(0), F.size("o") - 1, F.lit(size))
+    chunks = F.transform(starts, lambda k: F.slice("o", k + 1, size))
+    none = F.array().cast("array<array<string>>")
+    parts = script.select("path", "origin", F.posexplode(F.when(F.size("o") > size, chunks).otherwise(none)).alias("pos", "chunk"))
+    chunks = parts.select(
         "path",
-        F.when(
-            first.isNotNull(), F.concat(F.lit("('"), first.app, F.lit("', '"), first["name"], F.lit("')"))
-        ).alias("origin"),
-    )
+        (F.col("pos") + 1).alias("part"),
+        F.size("chunk").cast("bigint").alias("operations"),
+        F.array_join("chunk", ",\n").alias("body"),
+        "origin",
+    ).unionByName(_chunks_by_windows(shared, size))
     path, number = F.col("path"), F.col("part")
     app = text.basename(text.dirname(path))
     before = F.concat(
         F.lit("('"), app, F.lit("', '"), text.stem(path), F.lit("_part"), (number - 1).cast("string"), F.lit("')")
     )
-    chained = chunks.join(origin, "path").withColumn(
-        "depends_on", F.when(number == 1, F.col("origin")).otherwise(before)
-    )
+    chained = chunks.withColumn("depends_on", F.when(number == 1, F.col("origin")).otherwise(before))
     title = F.concat(text.stem(path), F.lit(" - Part "), number.cast("string"))
     return chained.select(
         "path",
