@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from sourceloom.functions import nesting
-from sourceloom.operators import brace_code, python_code
+from sourceloom.operators import brace_code, migrations, python_code
 
 PIECES = ["function f(a) {\n", "const g = (x) => x\n", "const h = (x) => {", "class K {", "m(a) {", "}", "}\n", ";", "\n", "([", "])", "if (a && b)", "{", "a ? b : c"]
 ROWS = ["def f(a,\n  b): return a or b", "class K(B):", "    def m(self):", "  if a:", "  else:", "for x in y:", "else:", "\t@p", "    x = (1,", "  2)", "", "async def g():", "y = a \\", "    case 1 if a:", "'", "\tdef t(): pass", "]"]
@@ -48,3 +48,24 @@ def test_files_that_share_a_path_are_still_read_as_one(spark):
     rows = spark.createDataFrame([("a.py", "def f():\n  a = 1\n"), ("a.py", "def f():\n  a = 1\n"), ("b.py", "def f():\n  a = 1\n")], "path string, content string")
     code = python_code._placed_code(rows)
     assert _rows(python_code.python_declarations(rows)) == _rows(python_code._declarations_of_lines(python_code.placed_lines(code)))
+
+
+def test_operations_of_random_migrations_are_those_of_the_windows(spark):
+    rng = random.Random(7)
+    parts = ["migrations.A('x'),", "  migrations.B(\n", "  'y', [", "]", "),", ")", ",", "# note", " ", "fields=[(1),]", "('app', 'm1'),"]
+    head = "from django.db import migrations\ndependencies = [('app', 'm0')]\noperations = [\n"
+    texts = [head + "\n".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) + "\n]\n" for _ in range(200)]
+    files = spark.createDataFrame([(f"app/m{k}.py", t) for k, t in enumerate(texts)], "path string, content string")
+    found = _rows(migrations.django_operations(files))
+    assert len(found) > 50 and found == _rows(migrations._operations_by_windows(files))
+    chunk = ["path", "part", "operations"]
+    assert _rows(migrations.split_django(files, 2).select(chunk)) == _rows(migrations._chunks_by_windows(files, 2).select(chunk))
+
+
+def test_imports_that_functions_need_are_those_of_the_windows(spark):
+    rng = random.Random(8)
+    heads = ["import os, json as js", "from a.b import (C, D as E)", "import x.y"]
+    texts = ["\n".join(rng.sample(heads, 2) + [rng.choice(ROWS + ["  os.f(js)", "    return C(E, x)"]) for _ in range(12)]) for _ in range(150)]
+    rows = spark.createDataFrame([(f"d{k}.py", t) for k, t in enumerate(texts)], "path string, content string")
+    found = _rows(python_code.function_dependencies(rows))
+    assert len(found) > 20 and found == _rows(python_code._grouped_needs(python_code._needs_by_windows(python_code._placed_code(rows))))
