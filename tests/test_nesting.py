@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from sourceloom.functions import nesting
-from sourceloom.operators import brace_code, migrations, python_code
+from sourceloom.operators import brace_code, constructs, migrations, python_code
 
 PIECES = ["function f(a) {\n", "const g = (x) => x\n", "const h = (x) => {", "class K {", "m(a) {", "}", "}\n", ";", "\n", "([", "])", "if (a && b)", "{", "a ? b : c"]
 ROWS = ["def f(a,\n  b): return a or b", "class K(B):", "    def m(self):", "  if a:", "  else:", "for x in y:", "else:", "\t@p", "    x = (1,", "  2)", "", "async def g():", "y = a \\", "    case 1 if a:", "'", "\tdef t(): pass", "]"]
@@ -57,3 +57,38 @@ def test_operations_of_random_migrations_are_those_of_the_windows(spark):
     assert len(found) > 50 and found == _rows(migrations._operations_by_windows(files))
     chunk = ["path", "part", "operations"]
     assert _rows(migrations.split_django(files, 2).select(chunk)) == _rows(migrations._chunks_by_windows(files, 2).select(chunk))
+
+
+def _placed(files):
+    language = brace_code.parser_language(F.col("path"))
+    code = files.select("path", language.alias("language"), F.coalesce(python_code.lexer.python_code(F.when(language == "python", F.col("content"))), brace_code.masked(language, F.col("content"))).alias("code"))
+    return code.repartition(3, "path").cache()
+
+
+def test_declarations_of_files_in_one_pass_are_those_of_the_windows(spark):
+    """Files whose path stands once, equal files that share it (two, three, more than a batch holds), empty and NULL texts."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(240):
+        kind = ("js", "ts", "java", "sql", "py")[k % 5]
+        text = "\n".join(rng.choice(ROWS) for _ in range(rng.randint(1, 14))) if kind == "py" else "".join(rng.choice(PIECES + ["CREATE TABLE t", "é"]) for _ in range(rng.randint(1, 25)))
+        rows += [(f"d{k}.{kind}", text)] * (1, 1, 2, 3)[k // 5 % 4]
+    rows += [("n.js", None), ("n.py", None), ("e.js", ""), ("e.py", ""), ("s.js", None), ("s.js", "class A {}"), ("s.py", None), ("s.py", "def f(): pass")]
+    placed = _placed(spark.createDataFrame(rows, "path string, content string"))
+    columns = ["path", "language", "type", "name", "start_line", "end_line", "parameters", "heritage"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = _rows(brace_code.placed_declarations(placed.where("language <> 'python'")).select(columns))
+        python = _rows(python_code.placed_declarations(placed.where("language = 'python'")))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    windows = brace_code.declarations_by_windows(placed.where("language <> 'python'")).select(columns)
+    assert len(found) > 200 and found == _rows(windows)
+    assert brace_code.placed_declarations(placed.where("language <> 'python'")).select(columns).dtypes == windows.dtypes
+    assert len(python) > 50 and python == _rows(python_code.declarations_in(python_code.placed_lines(placed.where("language = 'python'").select("path", "code"))))
+
+
+def test_constructs_sort_files_not_lines(spark, tmp_path, files):
+    files({"n.py": "def f(): pass", "a.js": "class A {}"}).write.parquet(f"{tmp_path}/f")
+    plan = constructs.constructs(spark.read.parquet(f"{tmp_path}/f"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("MapInArrow") == 2
