@@ -221,8 +221,8 @@ def components(edges: DataFrame) -> DataFrame:
     chains halve. Rounds end when nothing changes. A node or root with very many links is no hot task: minima are taken
     before rows are shuffled.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = saved(both.where("a <> b").distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # the links are computed once
+    both = saved(edges.where("a <> b").select(F.inline(ways)).distinct())
     state = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
     state = saved(state)
     while True:

@@ -11,14 +11,16 @@ sum of maxima, is 0.8 or more; a class is what such links connect.
 2. Sampling: for each of ``bands`` x ``rows`` samples the shingle with the smallest a = c / (y e^r), with t = floor(ln w / r +
    b), y = e^(r (t - b)), and r, c from gamma(2, 1), b uniform, all drawn from the shingle's hash. A sample is (shingle, t).
 3. Bands: exact copies count as one node; nodes that agree on a whole band share a bucket.
-4. Links: each bucket's members are compared with two of them, its centres, so a bucket of n gives fewer than 2 n pairs. Members
-   that no centre of the bucket is like are compared with other and more centres, round by round, until a round links nothing.
-5. Classes are connected components of the links. Buckets that still hold several classes get rounds with other centres for the
-   members of other classes, until a round links nothing.
-6. Rounds only save comparisons; they don't end the search. The members of all buckets that still hold several classes are joined
-   exactly: each gives the prefix of its shingles, rarest first, without which no document can be similar to it, and members of
-   two classes that share a shingle of their prefixes are compared unless what is left of both is too light. So every pair
-   that shares a bucket is compared, connected, or shown to be below the threshold, however large and unlike the bucket.
+4. Links: each bucket's members are compared with one of them, its centre, so a bucket of n gives n - 1 pairs. The centre is the
+   member with the highest score, (members of all its buckets) x (weighted mean of ln(1 + df) of its shingles): of a group of
+   near copies the text they were made from, or the nearest to it, which more of them are like than are like each other. Scores
+   are the same in all buckets, so buckets with the same members have the same centre and pairs.
+5. Members of a bucket take the centre they are like as their label, so texts of one label are linked already. Buckets of three or
+   more in which labels differ are not settled: their members are joined exactly. Each gives the prefix of its shingles, rarest
+   first, without which no document can be similar to it, and members of two labels that share a shingle of their prefixes are
+   compared unless what is left of both is too light. So every pair that shares a bucket is compared, connected, or shown to
+   be below the threshold, however large and unlike the bucket.
+6. Classes are connected components of the links of 4 and 5, found once.
 
 Defined results: a text of one to four words is one shingle; a text without words (null, empty) is in a class with exact
 copies only; repeated rows of an id are copies; a null id belongs to the class of its text, and the class id is the smallest
@@ -173,7 +175,11 @@ def band_hashes(row: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n_rows:
 
 
 def _sampled(docs: DataFrame, sketch: Broadcast, n_docs: int, settings: Settings) -> DataFrame:
-    """(id, node, bands) of rows (id, node, text)."""
+    """(id, node, bands, common) of rows (id, node, text); common is the weighted mean of ln(1 + df) of a text's shingles.
+
+    Of a group of near copies it is highest for the text that they were made from: its shingles are those that most others
+    have, while each copy has some of its own.
+    """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -184,14 +190,16 @@ def _sampled(docs: DataFrame, sketch: Broadcast, n_docs: int, settings: Settings
                 row, hashes, times = shingles(data[part[0] : part[-1]], part - part[0], settings.shingle)
                 weight = weights(hashes, times, sketch.value, n_docs, settings)
                 found = band_hashes(row, hashes, weight, stop - start, settings)
+                total = np.bincount(row, weight, stop - start)
+                common = np.bincount(row, weight * np.log1p(_seen(hashes, sketch.value, settings)), stop - start) / np.where(total > 0, total, 1)
                 full = np.zeros(stop - start, bool)
                 full[row] = True
                 lengths = np.where(full, settings.bands, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(found[full].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[start:stop], batch.column(1)[start:stop], lists], ["id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[start:stop], batch.column(1)[start:stop], lists, pa.array(common)], ["id", "node", "bands", "common"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(sample, f"id {kind}, node binary, bands array<bigint>")
+    return docs.mapInArrow(sample, f"id {kind}, node binary, bands array<bigint>, common double")
 
 
 def similarities(left: pa.Array, right: pa.Array, sketch: np.ndarray, n_docs: int, settings: Settings) -> np.ndarray:
@@ -217,18 +225,18 @@ def similarities(left: pa.Array, right: pa.Array, sketch: np.ndarray, n_docs: in
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, sketch: Broadcast, n_docs: int, settings: Settings) -> DataFrame:
-    """(a, b, similar) of all pairs (a, b), by their texts."""
+    """The pairs (a, b, score) whose texts are similar."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            near = similarities(batch.column(2), batch.column(3), sketch.value, n_docs, settings) >= settings.threshold
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["a", "b", "similar"])
+            near = similarities(batch.column(3), batch.column(4), sketch.value, n_docs, settings) >= settings.threshold
+            yield batch.select(["a", "b", "score"]).filter(pa.array(near))
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return rows.mapInArrow(verify, "a binary, b binary, similar boolean")
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "score", "left", "right")
+    return rows.mapInArrow(verify, "a binary, b binary, score double")
 
 
 # ----- the exact join of members still apart ----------------------------------------------------------------------
@@ -281,7 +289,7 @@ def _entries(members: DataFrame, sketch: Broadcast, n_docs: int, settings: Setti
 
 
 def _candidates(members: DataFrame, sketch: Broadcast, n_docs: int, settings: Settings) -> DataFrame:
-    """(a, b) of all pairs of different roots that can be similar, from rows (node, root, text).
+    """(a, b, score) of all pairs of different roots that can be similar, from rows (node, root, text); the score is 0.
 
     Entries of the most frequent root of a shingle are only joined with those of other roots, so one large class is never
     joined with itself.
@@ -297,7 +305,7 @@ def _candidates(members: DataFrame, sketch: Broadcast, n_docs: int, settings: Se
     most = F.least("l_weight", "weight") + F.least("l_rest", "rest")  # no more is shared from the first common shingle on
     able = (F.col("l_root") != F.col("root")) & F.when(lighter, F.col("l_short")).otherwise(F.col("short")) & (most >= need * (F.col("l_total") + F.col("total")))
     pairs = left.join(right, "hash").where(able)
-    return pairs.select(F.least("l_node", "node").alias("a"), F.greatest("l_node", "node").alias("b")).distinct()
+    return pairs.select(F.least("l_node", "node").alias("a"), F.greatest("l_node", "node").alias("b")).distinct().withColumn("score", F.lit(0.0))
 
 
 # ----- classes ----------------------------------------------------------------------------------------------------
@@ -318,65 +326,28 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, settings: Settings) ->
     sketch = spark.sparkContext.broadcast(frequency_sketch(rows.select("text"), settings))
     sampled = saved(_sampled(rows, sketch, n_docs, settings))
 
-    nodes = sampled.groupBy("node").agg(F.first("bands").alias("bands"), F.min("id").alias("rep"))
-    places = nodes.select("node", "rep", F.explode("bands").alias("bucket"))
+    nodes = sampled.groupBy("node").agg(F.first("bands").alias("bands"), F.first("common").alias("common"), F.min("id").alias("rep"))
+    places = nodes.select("node", "rep", "common", F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    places = saved(places.join(shared, "bucket"))
-    wanted = places.select(F.col("node").alias("of"), "rep").distinct()  # one row of each text, however many copies it has
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("node") == F.col("of")))
-    texts = saved(texts.groupBy("node").agg(F.first("text").alias("text")))
-    places = places.drop("rep")
-
-    def centres(members: DataFrame, turn: int) -> DataFrame:
-        """(bucket, centre): two members of each bucket in the first turn, others and twice as many in each later one.
-
-        The same orders of all nodes serve all buckets of a turn, so that buckets with the same members have the same
-        centres and pairs. Later turns have few members left to compare, so more centres end the rounds sooner.
-        """
-        orders = [F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("order"), "node") for k in range(min(2**turn, 16))]
-        ends = [pick(order).alias(f"{name}{k}") for k, order in enumerate(orders) for name, pick in (("first", F.min), ("last", F.max))]
-        nodes = F.array_distinct(F.array(*[f"{name}{k}.node" for k in range(len(orders)) for name in ("first", "last")]))
-        return members.groupBy("bucket").agg(*ends).select("bucket", F.explode(nodes).alias("centre"))
-
-    def ordered(tries: DataFrame) -> DataFrame:
-        return tries.where("node <> centre").withColumn("a", F.least("node", "centre")).withColumn("b", F.greatest("node", "centre"))
-
-    def compare(tries: DataFrame, before: DataFrame | None) -> tuple[DataFrame, bool]:
-        """(a, b, similar) of all pairs so far, and whether any new one is similar."""
-        pairs = tries.select("a", "b").distinct()
-        if before is not None:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        found = saved(_linked(pairs, texts, sketch, n_docs, settings))
-        more = not found.where("similar").isEmpty()
-        return found if before is None else saved(before.unionByName(found).hint("rebalance")), more
-
-    turn, compared, lonely = 0, None, places
-    while True:
-        tries = ordered(lonely.join(centres(places if turn == 0 else places.join(lonely.select("bucket").distinct(), "bucket"), turn), "bucket"))
-        compared, more = compare(tries, compared)
-        turn += 1
-        if not more:
-            break
-        hits = tries.join(compared.where("similar").select("a", "b"), ["a", "b"])
-        hits = hits.select("bucket", F.explode(F.array("node", "centre")).alias("node")).distinct()
-        lonely = saved(lonely.where("n > 2").join(hits, ["bucket", "node"], "left_anti"))
-    while True:
-        roots = components(compared.where("similar"))
-        classes = places.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = classes.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        classes = saved(classes.join(several, "bucket"))
-        heads = centres(classes, turn).join(classes.select("bucket", F.col("node").alias("centre"), F.col("root").alias("centre_root")), ["bucket", "centre"])
-        compared, more = compare(ordered(classes.join(heads, "bucket").where("root <> centre_root")), compared)
-        turn += 1
-        if not more:
-            break
-
-    apart = classes.select("node", "root").distinct()  # members of buckets that hold several classes
-    if not apart.isEmpty():
-        rest = _candidates(apart.join(texts, "node").select("node", "root", "text"), sketch, n_docs, settings)
-        compared, more = compare(rest, compared)
-        if more:
-            roots = components(compared.where("similar"))
+    found = [F.min("rep").alias("rep"), (F.sum("n") * F.first("common")).alias("score"), F.collect_list(F.struct("bucket", "n")).alias("places")]
+    nodes = saved(places.join(shared, "bucket").groupBy("node").agg(*found))  # at most as many places as bands
+    one = F.xxhash64("id", "node").alias("one")  # one row of each text, however many copies it has
+    wanted = nodes.select(F.xxhash64(F.col("rep").alias("id"), "node").alias("one"), "node")
+    texts = saved(rows.select(one, "node", "text").join(wanted, ["one", "node"]).groupBy("one", "node").agg(F.first("text").alias("text")).select("node", "text"))
+
+    members = nodes.select("node", "score", F.explode("places").alias("place")).select("node", "score", "place.bucket")
+    centres = members.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("centre"))
+    stars = members.join(centres, "bucket").where(F.col("node") != F.col("centre.node"))
+    stars = stars.select(F.col("node").alias("a"), F.col("centre.node").alias("b"), F.col("centre.score").alias("score")).distinct()
+    links = saved(_linked(stars, texts, sketch, n_docs, settings))
+
+    labels = links.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("score", "b")).alias("label"))
+    labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("label.b", "node").alias("root"), F.explode("places").alias("place"))
+    labelled = labelled.where("place.n > 2").select("node", "root", "place.bucket")
+    several = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    apart = labelled.join(several, "bucket").groupBy("node").agg(F.first("root").alias("root"))
+    rest = _candidates(apart.join(texts, "node").select("node", "root", "text"), sketch, n_docs, settings)
+    roots = components(links.unionByName(_linked(rest, texts, sketch, n_docs, settings)))
 
     members = sampled.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     best = F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best")

@@ -183,6 +183,24 @@ def test_large_group_of_near_copies(spark):
     assert {r.class_id for r in got} == {0} and {r.class_size for r in got} == {120}
 
 
+def test_pairs_of_a_group_of_copies_grow_with_its_texts(spark, monkeypatch):
+    """Copies of one text, most of them less like each other than like it: the text is the centre, so few pairs are compared."""
+    rng = random.Random(13)
+    base = words(rng, 200)
+    rows = [(0, " ".join(base))]
+    for k in range(1, 160):
+        copy = list(base)
+        for j in rng.sample(range(200), rng.randrange(3, 9)):
+            copy[j] = f"x{k}y{j}"
+        rows.append((k, " ".join(copy)))
+    rows += [(1000 + k, " ".join(words(rng, 200))) for k in range(40)]
+    compared, linked = [], neardup._linked
+    monkeypatch.setattr(neardup, "_linked", lambda pairs, *more: compared.append(pairs.count()) or linked(pairs, *more))
+    got = neardup.near_duplicates(table(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.class_id, r.class_size) for r in got), key=str) == near_by_hand(rows)
+    assert sum(compared) < 3 * len(rows)
+
+
 def test_pairs_hidden_in_a_large_bucket_of_unlike_pages(spark):
     """Pages on one template, 0.71 alike, with a few pairs of 0.81 among them."""
     rng = random.Random(11)
