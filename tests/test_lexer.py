@@ -209,3 +209,31 @@ def test_texts_that_are_not_plain_are_left_to_the_full_lexer():
     for text in ("a = `${b}`", "a = b / c", "a = '"):
         assert lexer._simple_braces(text, "script") is None
     assert lexer._simple_braces('s = $"{a}";', "brace") is None
+
+
+SCRIPT_PIECES = ["`", "${", "}", "{", "(", ")", "((", "))", "a", " ", "\n", "'x'", '"', "/", "//c", "/*\n*/", "/[`/]/", "\\`", "\\\n", "$", "return ", "=>", "=", "`a${b}c`", "`${f(x)}`", "`x`", "é", "`\n`", "`${`${a}`}`", ","]
+PYTHON_PIECES = ["f'", 'f"""', "'", '"""', "{", "}", "{{", "(", "]", ":", "!r", "!=", "a", "if ", "\n", "#c", "\\", "\\\n", "\\N{x}", "\\{", "Rb'", "xf'", "f''", "''", "def f(", "):", "\n@d(", "\nclass K(", "):\n", ">{n}", "f'{a!r:>{b}}'", "f\"{x if y else f'{z}'}\"", "é", "u'a'", "t'{x}'"]
+
+
+def test_texts_whose_literals_end_are_read_with_the_same_code():
+    rng = random.Random(3)
+    ended = [0, 0]
+    for _ in range(6000):
+        text = "".join(rng.choice(SCRIPT_PIECES) for _ in range(rng.randint(1, 14)))
+        code = lexer._ended_script(text)
+        ended[0] += code is not None
+        assert code in (None, "".join(lexer.scan(text, lexer.RULES["script"], coded=True).parts)), text
+        text = "".join(rng.choice(PYTHON_PIECES) for _ in range(rng.randint(1, 14)))
+        code, full = lexer._ended_python(text), lexer.scan(text, lexer.RULES["python"])
+        ended[1] += code is not None
+        assert code is None or "".join(code.parts) == "".join(full.parts) and lexer._gathered(code, text) == lexer._gathered(full, text), text
+    assert min(ended) > 1500
+
+
+def test_ordinary_templates_and_fstrings_do_not_need_the_full_lexer(monkeypatch):
+    monkeypatch.setattr(lexer, "scan", None)
+    deep = "(" * 40 + "1" + ")" * 40
+    script = f"function f(a = g{deep}) {{\n return /[`/\"]/.test(`x ${{a ? `y ${{b && 5}}` : c}} if`) / 2;\n}}\n"
+    assert plain(lexer.lex_script(script)) == f"function f(a = g{deep}) {{\n return .test((a ? (b && 5) : c)) / 2;\n}}\n"
+    source = "@p('/x',\n  [1])\ndef f(a, b='if',\n  c=" + deep + "): return f\"{a or f'{b and 1}'} {{if}} {c!r:>{d}}\"\n"
+    assert plain(lexer.lex_python(source)).endswith("return (a or (b and 1),c,d)\n\n")
