@@ -169,3 +169,12 @@ def test_decisions_of_declarations_in_one_pass_are_those_of_the_windows(spark):
     assert found.count() > 200 and _rows(found) == _rows(windows.select(found.columns)) and found.dtypes == windows.dtypes
     plan = brace_code.script_function_complexity(placed.withColumn("content", F.col("code")))._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_marks_that_touch_each_other(spark):
+    """A rule that finds the same place as another one: two marks side by side, and text with brackets behind them."""
+    rules = brace_code.DECLARATIONS + [("java", "record", r"\bclass\s+(\w+)", "$1", "", "")]
+    text = "class A { int m(int a) { return a; } }\nclass B {\n int n(int b) { return (b); } }\n"
+    placed = _placed(spark.createDataFrame([("a.java", text), ("b.java", text), ("b.java", text)], "path string, content string"))
+    found, windows = brace_code.declarations_in(placed, rules=rules), brace_code.declarations_by_windows(placed, rules=rules)
+    assert found.count() == 12 and _rows(found) == _rows(windows.select(found.columns))
